@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, packing
+from . import decontaminate, katz, near_dedup, packing
 from .common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = katz.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -44,6 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": op2_near_dedup,
     "op4_katz": op4_katz,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
