@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, near_dedup, packing
+from . import decontaminate, katz, language, near_dedup, ngram_logistic, packing, rule_ensemble
 from .common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,15 +19,30 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rule_ensemble.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ngram_logistic.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = katz.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = language.identify(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 0)
+    return said.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -48,8 +63,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_katz": op4_katz,
+    "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
 }
