@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, language, near_dedup, ngram_logistic, packing, rule_ensemble
+from . import decontaminate, katz, language, near_dedup, ngram_logistic, packing, pii, rule_ensemble
 from .common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,13 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    base, every = pii.digest(F.col("spans")), pii.digest(F.concat("spans", "term_spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = language.identify(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 0)
     return said.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_katz": op4_katz,
+    "op7_pii": op7_pii,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, near_dedup as near, rule_ensemble
 from . import packing as packing_op
-from .common import table
+from . import pii as pii_op
+from .common import Scratch, fold, table
 from .queries import tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents whose score falls short of the threshold go."""
+    return rule_ensemble.keep_good(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The document with the smallest id of each group stays; rows without an id stay."""
+    found = near.near_duplicates(docs)
+    gone = Scratch(spark).write(found.where("not kept").select("doc_id").distinct(), "gone")
+    few = gone.count() <= near.BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Personal data is replaced by its kind, and disclosing terms are generalised or removed."""
+    return pii_op.sanitise(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
