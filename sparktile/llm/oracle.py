@@ -44,3 +44,43 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+def _url_filter(steps: int = 12, damping: str = "0.85") -> str:
+    """The fixed number of steps as one table each."""
+    host = "translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = "('allow','com','/'),('block','example.com','/en/'),('allow','www.example.com','/en/'),('block','net','/es/'),('block','net','/fr/')"
+    turns = "".join(
+        f""", m{k} AS (
+  SELECT kind, host, sum(mass) AS mass FROM (
+    SELECT s.kind, s.too AS host, m.mass * s.share * {damping} AS mass FROM share s JOIN m{k - 1} m ON m.kind = s.kind AND m.host = s.host
+    UNION ALL SELECT kind, host, mass * (1 - {damping}) FROM m0) GROUP BY kind, host
+)"""
+        for k in range(1, steps + 1)
+    )
+    return f"""
+WITH p AS (
+  SELECT row_number() OVER () AS uid, page_id, html, CASE WHEN instr(url, '://') > 0 THEN {host} ELSE '' END AS host,
+    CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages
+), r(verdict, h, q) AS (VALUES {rules}), fit AS (
+  SELECT uid, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS ruled
+  FROM p JOIN r ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, q) GROUP BY uid
+), ruled AS (SELECT p.*, rule, ruled FROM p LEFT JOIN fit USING (uid)
+), link AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+  FROM p WHERE host <> ''
+), edge AS (SELECT src, dst, count(*) AS n FROM link WHERE src <> dst GROUP BY ALL
+), flow AS (SELECT 'trust' AS kind, src AS host, dst AS too, n FROM edge UNION ALL SELECT 'distrust', dst, src, n FROM edge
+), share AS (SELECT kind, host, too, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM flow
+), seed AS (
+  SELECT CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM ruled WHERE ruled IS NOT NULL AND host <> '' GROUP BY ALL
+), m0 AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS mass FROM seed){turns}
+, blocked AS (
+  SELECT host FROM m{steps} GROUP BY host
+  HAVING coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) > coalesce(sum(mass) FILTER (WHERE kind = 'trust'), 0)
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""
+
+
+ORACLE["op5_url_filter"] = _url_filter()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, language, near_dedup, ngram_logistic, packing, pii, rule_ensemble
+from . import decontaminate, katz, language, link_graph, near_dedup, ngram_logistic, packing, pii, rule_ensemble, transcripts
 from .common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,16 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = transcripts.recover(table(spark, sf_dir, "conversations"), fold("conv_id", 5) != 0)
+    turn = transcripts.rendered(F.col("role_pred"), F.col("text"))
+    return said.select(F.col("conv").alias("conv_id"), "turn", (fold("conv", 5) == 0).alias("held_out"), "role_pred", F.length(turn).cast("long").alias("n_chars"), F.sha2(turn, 256).alias("turn_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("spans", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
@@ -74,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_katz": op4_katz,
+    "op5_url_filter": op5_url_filter,
+    "op6_transcripts": op6_transcripts,
     "op7_pii": op7_pii,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
