@@ -30,34 +30,68 @@ from .common import Scratch, slices, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000  # of each of two generations
+
+
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 class ChunkTokenizer:
     """Token ids of whole texts through a bounded cache of white-space-free chunks.
 
-    The vocabulary's tokens never span white space, so a text's ids are its chunks'
-    ids in order.
+    The vocabulary's tokens never span white space, nor an ASCII letter and the
+    punctuation after it, and it folds case: so a text's ids are the ids of its
+    chunks, and a chunk's those of its letters and of its closing punctuation. The
+    cache has two generations and lives as long as the Python worker.
     """
 
+    _kept: dict[str, ChunkTokenizer] = {}
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, cache_words
+        self.tokenizer, self.new, self.old, self.most = Tokenizer.from_file(path), {}, {}, cache_words
+
+    @classmethod
+    def of_worker(cls, path: str) -> ChunkTokenizer:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.new) + len(words) > self.most:
+            self.old, self.new = self.new, {}
+        new, old, parts, wanted = self.new, self.old, {}, set()
+        for w in words:
+            if w in new:
+                continue
+            if w in old:
+                new[w] = old[w]
+                continue
+            stem = w.rstrip(_PUNCTUATION)
+            if stem and len(stem) < len(w) and 97 <= stem[-1] <= 122 and b"<|" not in w:
+                parts[w] = (stem, w[len(stem) :])
+            else:
+                wanted.add(w)
+        for pair in parts.values():
+            for p in pair:
+                if p not in new:
+                    if p in old:
+                        new[p] = old[p]
+                    else:
+                        wanted.add(p)
+        listed = list(wanted)
+        for w, e in zip(listed, self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False), strict=True):
+            new[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (stem, tail) in parts.items():
+            new[w] = new[stem] + new[tail]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        cache = self.cache
-        new = list(set().union(*split) - cache.keys())
-        if len(cache) + len(new) > self.most:
-            cache.clear()
-            new = list(set().union(*split))
-        encoded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded, strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # special tokens are taken as written
+        self._learn(set().union(*split))
+        return [b"".join(map(self.new.__getitem__, words)) for words in split]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -65,7 +99,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = ChunkTokenizer.of_worker(tokenizer_path)
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):
                 cols: list[list] = [[], [], [], [], [], []]
