@@ -353,9 +353,8 @@ def _joined(e: Expression) -> tuple[DataFrame, dict[int, Column]]:
         by_frame.setdefault(id(t.df), []).append(t)
     for k, group in enumerate(by_frame.values()):
         part = group[0].df
-        names = {id(t): f"v{k}" for t in group}
         for t in group:
-            cols[id(t)] = F.col(names[id(t)])
+            cols[id(t)] = F.col(t.value_col.replace("v", f"v{k}", 1))
         part = part.select("i", *(["tile"] if frame is None else []), F.col("v").alias(f"v{k}"))
         frame = part if frame is None else frame.join(part, "i")
     for k, t in enumerate(single):

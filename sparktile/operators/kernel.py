@@ -63,14 +63,16 @@ def _run(fn: Callable, bindings: dict[str, Binding], keys: list[str], frame: Dat
     outs = {n: b.dtype if isinstance(b, Out) else b.tensor.dtype for n, b in bindings.items() if isinstance(b, (Out, InOut))}
     arrays = {n for n, b in bindings.items() if isinstance(b, InOut) and b.tensor.is_array}
     members = {n: b.value for n, b in bindings.items() if isinstance(b, Member)}
+    read = [n for n, b in bindings.items() if isinstance(b, (In, InOut))]
+    returned = list(outs)
     wants_worker = "worker" in inspect.signature(fn).parameters
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i").reset_index(drop=True)
         extra = {"worker": int(pdf["worker"].iloc[0])} if wants_worker else {}
-        args = {n: pdf[n].to_numpy() for n, b in bindings.items() if isinstance(b, (In, InOut))}
+        args = {n: pdf[n].to_numpy() for n in read}
         result = fn(**args, **members, **extra)
-        return pd.DataFrame({"i": pdf["i"], "tile": pdf["tile"], **{n: list(result[n]) for n in outs}})
+        return pd.DataFrame({"i": pdf["i"], "tile": pdf["tile"], **{n: list(result[n]) for n in returned}})
 
     schema = "i long, tile int, " + ", ".join(f"{n} {'array<' + t.spark + '>' if n in arrays else t.spark}" for n, t in outs.items())
     return frame.groupBy(*keys).applyInPandas(group, schema)

@@ -37,6 +37,7 @@ class Tensor(Leaf):
     def __init__(self, df: DataFrame, shape: DistributedShape, dtype: DType, name: str = ""):
         self.df, self.shape, self.dtype, self.name = df, shape, dtype, name
         self.tensor, self.metadata = self, {}
+        self.value_col = "v"  # a path, where several tensors are fields of one frame's v
 
     @property
     def is_array(self) -> bool:
@@ -53,6 +54,8 @@ class Tensor(Leaf):
         value, index = (F.col(x) if isinstance(x, str) else x for x in (value, index))
         frame = df.select(index.cast("bigint").alias("i"), value.alias("v"))
         kind = dict(frame.dtypes)["v"]
+        if dtype is not None and not kind.startswith("struct"):
+            frame = frame.withColumn("v", F.col("v").cast(f"array<{dtype.spark}>" if kind.startswith("array") else dtype.spark))
         dtype = dtype or from_spark(kind)
         if dims is None:
             width = (frame.select(F.size("v")).first()[0],) if kind.startswith("array") else ()
@@ -95,6 +98,12 @@ class Tensor(Leaf):
         v = i.cast(dtype.spark) if shape.rank == 1 else F.transform(F.sequence(i * width, i * width + width - 1), lambda x: x.cast(dtype.spark))
         return cls(spark.range(shape.dims[0]).select(i.alias("i"), _tile_of(i, shape).alias("tile"), v.alias("v")), shape, dtype)
 
+    def field(self, name: str, dtype: DType) -> Tensor:
+        """A tensor that is one field of this one's struct values; fields of one frame need no join."""
+        out = Tensor(self.df, self.shape, dtype, name)
+        out.value_col = f"v.{name}"
+        return out
+
     # --- placement ----------------------------------------------------------
     def materialize(self, name: str = "") -> Tensor:
         """Written to the shared folder, where its lineage ends."""

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import elementwise, matrices, tensors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = matrices.QUERIES | elementwise.QUERIES | tensors.QUERIES
+ORACLE: dict[str, str] = matrices.ORACLE | elementwise.ORACLE | tensors.ORACLE

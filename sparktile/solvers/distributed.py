@@ -183,7 +183,7 @@ class DistributedSolver:
     def _preconditioned(self, frame: DataFrame, source: str, name: str) -> DataFrame:
         if self.inner is None:
             return frame.withColumn(name, F.col(source))
-        z = self.inner.solve(self._zeros(), written(frame.select("i", F.col(source).alias("v"))))
+        z = self.inner.solve(self._zeros(), frame.select("i", F.col(source).alias("v")))
         return frame.join(z.select("i", F.col("v").alias(name)), "i")
 
     def _with_product(self, frame: DataFrame, source: str, name: str) -> DataFrame:

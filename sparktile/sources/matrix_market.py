@@ -33,12 +33,13 @@ def read_header(spark: SparkSession, path: str) -> tuple[Header, int]:
     kind, form, field, symmetry = (words[0], words[1], words[2], words[3])
     if kind not in ("matrix", "vector") or form not in ("coordinate", "array") or field not in ("real", "double", "integer", "pattern"):
         raise ValueError(f"unsupported Matrix Market header {banner.value!r}")
-    sizes = lines.where(~F.trim("value").startswith("%") & (F.trim("value") != "")).orderBy("at").first()
+    # The sizes follow the banner; of a folder's other files nothing is known about their order.
+    sizes = lines.where(~F.trim("value").startswith("%") & (F.trim("value") != "") & (F.col("at") > banner["at"])).orderBy("at").first()
     n = [int(x) for x in sizes.value.split()]
     if kind == "vector":
         n = [n[0], 1, *n[1:]]
     entries = n[2] if len(n) > 2 else n[0] * n[1]
-    return Header(kind, form, field, symmetry, n[0], n[1], entries), sizes.at
+    return Header(kind, form, field, symmetry, n[0], n[1], entries), sizes["at"]
 
 
 def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
