@@ -35,7 +35,7 @@ class Expression:
     def children(self) -> tuple[Expression, ...]:
         return ()
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         """Given the column of each leaf: from a flat trailing index to the value's column."""
         raise NotImplementedError
 
@@ -94,9 +94,9 @@ class Leaf(Expression):
     def __init__(self, tensor: Tensor):
         self.tensor, self.dtype, self.shape = tensor, tensor.dtype, tensor.shape
 
-    def at(self, cols: dict[int, Column]) -> At:
-        col = cols[id(self.tensor)]
-        if not self.tensor.is_array:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
+        col, is_array = cols[id(self.tensor)]
+        if not is_array:
             return lambda k: col
         return lambda k: F.get(col, k if isinstance(k, Column) else F.lit(k))
 
@@ -113,7 +113,7 @@ class Constant(Expression):
             raise ValueError("a constant has one row")
         self.shape = DistributedShape(tuple(dims))
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         items = [F.lit(v).cast(self.dtype.spark) for v in self.values]
         if self.shape.rank == 1 and len(items) > 1:
             raise ValueError("a constant list needs a trailing shape")
@@ -172,7 +172,7 @@ class _Node(Expression):
             shape = both
         return shape
 
-    def _parts(self, cols: dict[int, Column]) -> list[At]:
+    def _parts(self, cols: dict[int, tuple[Column, bool]]) -> list[At]:
         parts = []
         for a in self.args:
             get, place = a.at(cols), _trailing(a.shape, self.shape)
@@ -185,7 +185,7 @@ class Unary(_Node):
         super().__init__(x)
         self.op, self.dtype, self.shape = op, infer_unary(op, x.dtype), x.shape
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         get = self.args[0].at(cols)
         return lambda k: ew.unary(self.op, get(k), self.args[0].dtype)[0]
 
@@ -195,7 +195,7 @@ class Binary(_Node):
         super().__init__(a, b)
         self.op, self.dtype, self.shape = op, infer_binary(op, a.dtype, b.dtype), self._meet()
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         a, b = self._parts(cols)
         return lambda k: ew.binary(self.op, a(k), self.args[0].dtype, b(k), self.args[1].dtype)[0]
 
@@ -205,7 +205,7 @@ class Cast(_Node):
         super().__init__(x)
         self.dtype, self.shape = to, x.shape
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         get = self.args[0].at(cols)
         return lambda k: convert(get(k), self.args[0].dtype, self.dtype)
 
@@ -218,7 +218,7 @@ class Broadcast(_Node):
             raise ValueError(f"{x.shape} cannot become {shape}")
         self.dtype, self.shape = x.dtype, shape
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         return self._parts(cols)[0]
 
 
@@ -234,7 +234,7 @@ class Permute(_Node):
         self.order = order
         self.dtype, self.shape = x.dtype, x.shape.with_trailing(tuple(x.shape.dims[d] for d in order[1:]))
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         get = self.args[0].at(cols)
         inner = strides(self.args[0].shape.dims[1:])
         outer, dims = strides(self.shape.dims[1:]), self.shape.dims[1:]
@@ -254,7 +254,7 @@ class Clamp(_Node):
         super().__init__(x, low, high)
         self.dtype, self.shape = infer_clamp(x.dtype, low.dtype, high.dtype), self._meet()
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         x, low, high = self._parts(cols)
         t = [a.dtype for a in self.args]
         return lambda k: ew.clamp(x(k), t[0], low(k), t[1], high(k), t[2])[0]
@@ -265,7 +265,7 @@ class Select(_Node):
         super().__init__(condition, a, b)
         self.dtype, self.shape = infer_select(condition.dtype, a.dtype, b.dtype), self._meet()
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         c, a, b = self._parts(cols)
         t = [x.dtype for x in self.args]
         return lambda k: ew.select(c(k), BOOL, a(k), t[1], b(k), t[2])[0]
@@ -287,7 +287,7 @@ class Dot(_Node):
         self.dtype = infer_binary("dot_product", self.args[0].dtype, self.args[1].dtype)
         self.width, self.shape = self.args[0].shape.dims[1], self._meet().with_trailing((1,))
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         a, b = (x.at(cols) for x in self.args)
         ta, tb = (x.dtype for x in self.args)
 
@@ -312,7 +312,7 @@ class Cross(_Node):
         _rows_of_two(*self.args, 3)
         self.dtype, self.shape = infer_binary("cross_product", self.args[0].dtype, self.args[1].dtype), self._meet()
 
-    def at(self, cols: dict[int, Column]) -> At:
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
         a, b = (x.at(cols) for x in self.args)
         ta, tb = (x.dtype for x in self.args)
 
@@ -339,14 +339,14 @@ def compiled(e: Expression) -> DataFrame:
     return frame.select("i", "tile", value.alias("v"))
 
 
-def _joined(e: Expression) -> tuple[DataFrame, dict[int, Column]]:
+def _joined(e: Expression) -> tuple[DataFrame, dict[int, tuple[Column, bool]]]:
     """Leaves side by side: full ones joined on i (or seen to be one frame), one-row ones broadcast."""
     n, full, single = e.shape.dims[0], [], []
     for leaf in e.leaves():
         t = leaf.tensor
         # A lower rank stands for trailing dimensions, and so for one row.
         (full if t.shape.dims[0] == n and (t.shape.rank == e.shape.rank or n == 1 or not _as_row(t, e)) else single).append(t)
-    cols: dict[int, Column] = {}
+    cols: dict[int, tuple[Column, bool]] = {}
     frame = None
     by_frame: dict[int, list] = {}
     for t in full:
@@ -354,12 +354,12 @@ def _joined(e: Expression) -> tuple[DataFrame, dict[int, Column]]:
     for k, group in enumerate(by_frame.values()):
         part = group[0].df
         for t in group:
-            cols[id(t)] = F.col(t.value_col.replace("v", f"v{k}", 1))
+            cols[id(t)] = (F.col(t.value_col.replace("v", f"v{k}", 1)), t.is_array)
         part = part.select("i", *(["tile"] if frame is None else []), F.col("v").alias(f"v{k}"))
         frame = part if frame is None else frame.join(part, "i")
     for k, t in enumerate(single):
         row = t.df.select(F.col("v").alias(f"s{k}")) if t.shape.dims[0] == 1 else t.as_row().select(F.col("v").alias(f"s{k}"))
-        cols[id(t)] = F.col(f"s{k}")
+        cols[id(t)] = (F.col(f"s{k}"), t.is_array or t.shape.dims[0] > 1)
         frame = row.select(F.lit(0).cast("bigint").alias("i"), F.lit(0).alias("tile"), f"s{k}") if frame is None else frame.crossJoin(F.broadcast(row))
     if frame is None:
         from pyspark.sql import SparkSession
