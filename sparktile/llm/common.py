@@ -12,6 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20  # text handled at once inside a Python worker
+BATCH_BYTES = 8 << 20  # of one Arrow batch, unless the session says otherwise
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, so that rows of long texts do not add up in a worker.
+
+    Set on the session, as plans read it when they run; a smaller setting is kept.
+    """
+    now = spark.conf.get(_BATCH_CONF, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +50,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` frees those no longer read."""
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, replace_columns, slices, text_bytes
+from .common import Scratch, bound_batches, replace_columns, slices, text_bytes
 
 WINDOW = 10
 SHARD_WORDS = 1_500_000
@@ -251,6 +251,7 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col:
     Items are searched in blocks of at most about ``block_bytes`` of text, so what
     is broadcast is bounded whatever the benchmark's size; documents stay in place.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = replace_columns(docs, list(_ADDED))
     pairs = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null and i is not null")

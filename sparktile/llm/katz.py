@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, pack_array, slices, text_bytes, unpack_array
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 STATS = 20  # counts of counts kept for the discounts
 TURING = 5  # counts up to which Turing's estimate itself is used
 _END_HASH = np.uint64(0x5DEECE66D1234567)  # of the end token, which is no word
@@ -125,8 +125,8 @@ def _cuts(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 def _asks(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
+            for k in range(batch.num_rows):  # one block at a time
+                b = Block(batch.slice(k, 1).to_pylist()[0])
                 out: list[list] = [[], [], [], [], [], []]
                 for kind, keys, counts, bits in ((1, b.word_keys, b.word_counts, 64), (2, b.pair_keys, b.pair_counts, 56)):
                     cuts = _cuts(keys, bits, buckets)

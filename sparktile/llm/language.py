@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack_array, slices, text_bytes, unpack_array
+from .common import bound_batches, pack_array, slices, text_bytes, unpack_array
 from .features import lengths_of, sums_between
 
 SAMPLE_PER_LANGUAGE = 1000
@@ -139,6 +139,7 @@ def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
 
 def identify(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Per document: doc_id, lang_pred and score, learned from the rows that ``allowed`` admits."""
+    bound_batches(docs.sparkSession)
     filters = docs.sparkSession.sparkContext.broadcast(learn(docs, allowed, id_col, text_col, lang_col, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, text_bytes
+from .common import bound_batches, mix64, slices, text_bytes
 from .features import Counted, class_table, duplicate_lines, lengths_of, sums_between
 
 SAMPLE_ROWS = 3000
@@ -182,6 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT, **options) -> DataFrame:
     """Per document: the base counts, base_failed, the probability of good quality, and kept."""
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
