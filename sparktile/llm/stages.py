@@ -18,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without an id stay."""
+    """The document with the smallest id of each group (five words, 0.8) stays; rows without an id stay."""
     found = near.near_duplicates(docs)
     gone = Scratch(spark).write(found.where("not kept").select("doc_id").distinct(), "gone")
     few = gone.count() <= near.BROADCAST_ROWS
