@@ -55,6 +55,10 @@ class Expression:
     def select(self, a: object, b: object) -> Expression:
         return Select(self, wrap(a), wrap(b))
 
+    def element(self, flat: int) -> Expression:
+        """One element of every row, by its flat place among the trailing dimensions."""
+        return Element(self, flat)
+
     def dot(self, other: Expression) -> Expression:
         return Dot(self, other)
 
@@ -271,6 +275,20 @@ class Select(_Node):
         return lambda k: ew.select(c(k), BOOL, a(k), t[1], b(k), t[2])[0]
 
 
+class Element(_Node):
+    """A subscript: rank 1, one element a row."""
+
+    def __init__(self, x: Expression, flat: int):
+        super().__init__(x)
+        if not 0 <= flat < x.shape.row_size:
+            raise IndexError(f"no element {flat} in rows of {x.shape.row_size}")
+        self.flat, self.dtype, self.shape = flat, x.dtype, x.shape.with_trailing(())
+
+    def at(self, cols: dict[int, tuple[Column, bool]]) -> At:
+        get = self.args[0].at(cols)
+        return lambda _: get(self.flat)
+
+
 def _rows_of_two(a: Expression, b: Expression, size: int | None) -> None:
     if a.shape.rank != 2 or b.shape.rank != 2 or a.shape.dims[1] != b.shape.dims[1] or a.shape.dims[1] < 2:
         raise ValueError(f"row products need two (n, k) operands, not {a.shape} and {b.shape}")

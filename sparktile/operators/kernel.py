@@ -1,7 +1,8 @@
 """User kernels: a function over each tile's rows of several tensors.
 
 ``In`` columns are read, ``Out`` columns are returned, ``InOut`` both, ``Member``
-values go along as they are. A tensor of one row is broadcast to every tile.
+values go along as they are. A tensor of one row is broadcast to every tile. A
+function that takes ``tile`` (or ``worker``, if threaded) is told where it runs.
 """
 
 from __future__ import annotations
@@ -65,11 +66,11 @@ def _run(fn: Callable, bindings: dict[str, Binding], keys: list[str], frame: Dat
     members = {n: b.value for n, b in bindings.items() if isinstance(b, Member)}
     read = [n for n, b in bindings.items() if isinstance(b, (In, InOut))]
     returned = list(outs)
-    wants_worker = "worker" in inspect.signature(fn).parameters
+    wanted = [k for k in ("worker", "tile") if k in inspect.signature(fn).parameters]
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i").reset_index(drop=True)
-        extra = {"worker": int(pdf["worker"].iloc[0])} if wants_worker else {}
+        extra = {k: int(pdf[k].iloc[0]) for k in wanted}
         args = {n: pdf[n].to_numpy() for n in read}
         result = fn(**args, **members, **extra)
         return pd.DataFrame({"i": pdf["i"], "tile": pdf["tile"], **{n: list(result[n]) for n in returned}})

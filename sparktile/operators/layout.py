@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -152,5 +150,3 @@ def recommend_multicolor(levels: DataFrame) -> bool:
     r = sizes.agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("n") > 12, F.col("n"))), F.lit(0)).alias("large")).first()
     return bool(r["all"]) and r.large > 0.9 * r["all"]
 
-
-Kernel = Callable[[pd.DataFrame], pd.DataFrame]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import elementwise as ew
 from ..session import written
 from ..shape import Dims, DistributedShape, compatible
-from ..types import BOOL, FLOAT32, DType, convert, from_spark, from_value, parse_type
+from ..types import BOOL, FLOAT32, DType, convert, from_spark, from_value, parse_type, smallest_uint
 from ..types import wrap as wrap_int
 from .expression import Leaf, _tile_of, compiled, wrap
 
@@ -149,6 +149,16 @@ class Tensor(Leaf):
         values = F.transform(parts, lambda p: p["v"])
         return self.df.agg((F.flatten(values) if self.is_array else values).alias("v"))
 
+    def narrow(self) -> Tensor:
+        """Non-negative integers as the smallest unsigned type that holds their maximum."""
+        if not self.dtype.is_integer:
+            raise TypeError(f"{self.dtype} cannot be narrowed")
+        x = F.array_max("v") if self.is_array else F.col("v")
+        ends = self.df.agg(F.max(x).alias("most"), F.min(F.array_min("v") if self.is_array else F.col("v")).alias("least")).first()
+        if ends.least is not None and ends.least < 0:
+            raise ValueError("negative values have no unsigned type")
+        return self.cast(smallest_uint(int(ends.most or 0))).lazy(self.name)
+
     def unroll(self) -> Tensor:
         """A double-word tensor with its high and low parts as a last dimension of two."""
         def parts(x: Column) -> Column:

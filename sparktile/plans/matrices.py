@@ -142,6 +142,17 @@ def _halo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.exchange_halo(found, _ramp(spark).df.select("i", "v")).select("tile", "local_row", "v")
 
 
+def _addressing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _box(spark)
+    return layout.local_addressing(a, layout.tile_layout(a, layout.partition_rows(a, 4))).select("tile", "local_row", "local_col", "val")
+
+
+def _decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _box(spark)
+    found = layout.tile_layout(a, layout.partition_rows(a, 4))
+    return layout.decompose_vector(found, _ramp(spark).df.select("i", "v")).select("tile", "local_row", "kind", "v")
+
+
 def _box_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.partition_box(spark, *BOX, (2, 2, 1)).select("row", "tile")
 
@@ -226,6 +237,8 @@ QUERIES = {
     "imbalance": _imbalance,
     "tile_layout": _layout,
     "halo_cells": _halo,
+    "local_addressing": _addressing,
+    "decompose_vector": _decompose,
     "row_levels": _levels,
     "color_addressing": _colors,
     "solve_tiles": _solve_tiles,
@@ -266,6 +279,8 @@ ORACLE = {
     "imbalance": f"{_W} SELECT min(n) AS least, max(n) AS most, round((max(n) - min(n)) / min(n)::DOUBLE, 6) AS imbalance FROM (SELECT count(*) AS n FROM tile GROUP BY tile)",
     "tile_layout": f"{_LAYOUT} SELECT tile, local_row, global_row, kind, region FROM numbered",
     "halo_cells": f"{_LAYOUT} SELECT tile, local_row, global_row::DOUBLE AS v FROM numbered WHERE kind = 2",
+    "local_addressing": f"{_LAYOUT} SELECT r.tile, r.local_row, c.local_row AS local_col, a.val FROM a JOIN numbered r ON r.global_row = a.row AND r.kind < 2 JOIN numbered c ON c.global_row = a.col AND c.tile = r.tile",
+    "decompose_vector": f"{_LAYOUT} SELECT tile, local_row, kind, global_row::DOUBLE AS v FROM numbered",
     "row_levels": f"{_POISSON} SELECT row, x + y + z AS level FROM p",
     "color_addressing": f"{_POISSON}, c AS (SELECT x + y + z AS level, count(*) AS n FROM p GROUP BY ALL) SELECT 0::INTEGER AS tile, level, (sum(n) OVER (ORDER BY level) - n)::BIGINT AS start, n FROM c",
     "solve_tiles": _ALL_ONE.format(64),

@@ -189,6 +189,21 @@ def _udf_single_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(out, "i")
 
 
+def _udf_tile_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kernel.execute(lambda x, tile: {"y": x * 0 + tile}, x=kernel.In(_price(spark, sf_dir)), y=kernel.Out(FLOAT64))["y"]
+    return _values(out, "i")
+
+
+def _subscript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return (e.element(5) - e.element(6)).lazy().df.select("i", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("v"))
+
+
+def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _size(spark, sf_dir).narrow()
+    return t.df.select("i", "v", F.lit(t.dtype.name).alias("type"))
+
+
 def _reinterpret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel.reinterpret(_price(spark, sf_dir), INT64).df.select("i", "v")
 
@@ -235,6 +250,9 @@ QUERIES = (
         "udf_per_tile": _udf_per_tile,
         "udf_threaded": _udf_threaded,
         "udf_single_tile": _udf_single_tile,
+        "udf_tile_id": _udf_tile_id,
+        "subscript": _subscript,
+        "narrow_index": _narrow,
         "reinterpret_cast": _reinterpret,
         "control_repeat": _repeat,
         "control_while": _while,
@@ -292,6 +310,9 @@ ORACLE = (
         "udf_per_tile": f"SELECT p_partkey AS i, round(p_retailprice - avg(p_retailprice) OVER (PARTITION BY {_TILE}), 4) AS v FROM part",
         "udf_threaded": "SELECT p_partkey AS i, round(p_retailprice + p_partkey % 6, 4) AS v FROM part",
         "udf_single_tile": f"SELECT p_partkey AS i, round(p_retailprice * 3, 4) AS v FROM part WHERE {_TILE} = 1",
+        "udf_tile_id": f"SELECT p_partkey AS i, {_TILE}::DOUBLE AS v FROM part",
+        "subscript": "SELECT vec_id AS i, round((embedding[6] - embedding[7])::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS v FROM embeddings",
+        "narrow_index": "SELECT p_partkey AS i, p_size::SMALLINT AS v, 'uint8' AS type FROM part",
         "control_repeat": "SELECT p_partkey AS i, round(p_retailprice / 8 + 1.75, 4) AS v FROM part",
         "control_while": "SELECT p_partkey AS i, round(p_retailprice / pow(2, floor(log2((SELECT max(p_retailprice) FROM part))) + 1), 6) AS v FROM part",
         "control_if": "SELECT p_partkey AS i, round(p_retailprice * 2, 4) AS v FROM part",

@@ -118,7 +118,7 @@ def test_ieee_edges(spark):
     assert values(x.round())[[0, 1, 4]].tolist() == [-3, -1, 3]
     assert values(x.nearby_int())[[0, 1, 4]].tolist() == [-2, 0, 2]
     assert values(x.erf())[4] == pytest.approx(math.erf(2.5), abs=1e-15)
-    assert values((x * 0.0) / 0.0).tolist() != [0.0] * 7
+    assert np.isnan(values((x * 0.0) / 0.0)).all()
 
 
 @pytest.mark.parametrize("name", ["int8", "uint8", "int16", "uint16", "int32", "uint32", "int64"])
@@ -147,7 +147,8 @@ def test_every_operator_compiles(spark):
     for op in BINARY:
         source = k if op.startswith(("bitwise", "shift", "remainder")) else x
         assert values(getattr(source, op)(source)).shape == (2, 2)
-    assert values(x.clamp(0.3, 0.6)).ravel().tolist() == [0.3 if v < 0.3 else v for v in [0.25, 0.5, 0.6, 0.6]] or True
+    low, high = np.float32(0.3), np.float32(0.6)
+    assert np.allclose(values(x.clamp(0.3, 0.6)).ravel(), [low, 0.5, high, high])
     assert values((x > 0.5).select(x, -x)).ravel().tolist() == [-0.25, -0.5, 0.75, 1.0]
 
 
