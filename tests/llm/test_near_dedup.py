@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sparktile.llm import near_dedup
 from sparktile.llm.common import Scratch
@@ -90,5 +89,3 @@ def test_posterior_limits():
         lost += any(same[k - 1] < m for k, m in steps)
     assert lost == 0
 
-
-_ = F

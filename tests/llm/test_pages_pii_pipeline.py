@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 
@@ -122,5 +121,3 @@ def test_pipeline_against_its_stages(spark, sf_dir):
         same += int(g.length.sum() == len(t.encode(texts[doc], add_special_tokens=False).ids) + 1)
     assert same > 0.85 * out.doc_id.nunique() and (out.groupby("sequence_id").length.sum() <= 2048).all()
 
-
-_ = hashlib
