@@ -8,8 +8,9 @@ probability that its similarity reaches the threshold (uniform prior) is below
 
 Two rounds keep large groups from being compared pair by pair: first each tile of
 a bucket (tiles are dealt by a hash that differs from band to band) sends only a
-spanning forest of its best survivors to verification; then, in buckets that still
-hold several components, every pair across components that survives is verified.
+spanning forest of its best survivors to verification; then buckets that still hold
+several components are cut into units of two tiles with their full sets, and every
+pair across components that survives is verified there, the likeliest first.
 Nothing is capped: a link is missed only with the chosen probabilities.
 
 Cases: null or empty text has an empty set and is linked with nothing; a row
@@ -22,7 +23,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,23 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix64, slices, text_bytes
 from .components import components
 
-SHINGLE = 3
-PERCENT = 85  # links: 100 * intersection >= PERCENT * union
-BANDS, ROWS = 20, 4  # a pair at the threshold shares no band with probability 4e-7
+SHINGLE = 5
+PERCENT = 80  # links: 100 * intersection >= PERCENT * union
+ROWS = 4  # signature values in a band
 HASHES, BATCH = 128, 16
-MISS = 1e-6
-TILE = 256
+MISS = 1e-6  # probability that a pair at the threshold shares no band, and that a batch drops it
+TILE = 128
 BROADCAST_ROWS = 1_000_000  # of 16 bytes; beyond it a shuffled join is used
 
 _RNG = np.random.default_rng(20240229)
 _FACTORS = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
+def band_count(percent: int = PERCENT, miss: float = MISS) -> int:
+    """Bands that a pair at the threshold all misses with probability ``miss`` at most (or all that the signature has)."""
+    return max(1, min(HASHES // ROWS, ceil(log(miss) / log(1 - (percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
 def least_matches(percent: int = PERCENT, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> list[tuple[int, int]]:
     """(k, m): after k values, pairs with fewer than m equal ones are dropped.
 
@@ -93,27 +99,31 @@ def _class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            sets = shingle_sets(text_bytes(part.column(1)))
-            sigs, bands, names = [], [], []
-            for s in sets:
-                if not len(s):
-                    sigs.append(None), bands.append(None), names.append(None)
-                    continue
-                sig = signature(s)
-                pairs = sig[: BANDS * ROWS].reshape(BANDS, ROWS // 2, 2).astype(np.uint64)
-                halves = pairs[:, :, 0] | pairs[:, :, 1] << np.uint64(32)
-                key = mix64(mix64(halves[:, 0] + salt) + halves[:, 1])
-                sigs.append(sig.astype(np.uint16).tobytes())
-                bands.append(key.view(np.int64).tolist())
-                names.append(_class_of(s))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "cid", "sig", "bands"],
-            )
+def _sign(size: int, bands: int):
+    salt = np.arange(1, bands + 1, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                sets = shingle_sets(text_bytes(part.column(1)), size)
+                sigs, keys, names = [], [], []
+                for s in sets:
+                    if not len(s):
+                        sigs.append(None), keys.append(None), names.append(None)
+                        continue
+                    sig = signature(s)
+                    pairs = sig[: bands * ROWS].reshape(bands, ROWS // 2, 2).astype(np.uint64)
+                    halves = pairs[:, :, 0] | pairs[:, :, 1] << np.uint64(32)
+                    key = mix64(mix64(halves[:, 0] + salt) + halves[:, 1])
+                    sigs.append(sig.astype(np.uint16).tobytes())
+                    keys.append(key.view(np.int64).tolist())
+                    names.append(_class_of(s))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "cid", "sig", "bands"],
+                )
+
+    return run
 
 
 def _survivors(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +161,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict
 def _cut(rows: pa.Table, edges: list[int]) -> Iterator[dict]:
     if not rows.num_rows:
         return
-    cols = {c: rows.column(c).to_numpy() for c in rows.column_names if c != "sig"}
+    cols = {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("sig", "s")}
+    if "s" in rows.column_names:
+        cols["s"] = rows.column("s").to_pylist()
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield {c: v[a:b] for c, v in cols.items()} | {"sig": sig[a:b]}
@@ -200,7 +212,7 @@ def _within_tiles(steps, percent):
     return run
 
 
-def _across(steps, percent):
+def _across(steps, percent, bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["key", "i", "j"]):
             # A unit is one tile with itself, or two tiles: rows of side 0 against rows of side 1.
@@ -212,58 +224,90 @@ def _across(steps, percent):
                 left, right = np.repeat(first, len(second)), np.tile(second, len(first))
             apart = label[left] != label[right]
             left, right = left[apart], right[apart]
-            live, _ = _survivors(g["sig"], g["n"], left, right, steps, percent)
+            live, same = _survivors(g["sig"], g["n"], left, right, steps, percent)
             left, right = left[live], right[live]
-            # Pairs meet in several bands; the first band that they share reports them.
-            sig = g["sig"][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+            # Pairs meet in several bands; the first band that they share sees to them.
+            sig = g["sig"][:, : bands * ROWS].reshape(-1, bands, ROWS)
             met = (sig[left] == sig[right]).all(2).argmax(1) == band
-            yield _emit([g["cid"][left[met]]], [g["cid"][right[met]]])
+            left, right, same = left[met], right[met], same[met]
+            sets = [np.frombuffer(x, np.uint64) for x in g["s"]]
+            root = {x: x for x in label.tolist()}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            chosen = []
+            for k in np.argsort(-same, kind="stable").tolist():  # the likeliest first: later pairs of one component need no look
+                a, b = int(left[k]), int(right[k])
+                x, y = find(int(label[a])), find(int(label[b]))
+                if x != y and _similar(sets[a], sets[b], percent):
+                    root[x] = y
+                    chosen.append(k)
+            yield _emit([g["cid"][left[chosen]]], [g["cid"][right[chosen]]])
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verify(percent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb")]
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                ok[i] = _similar(x, y, percent)
             mask = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            rows = [(c, s.tobytes()) for c, s in zip(part.column(0).to_pylist(), shingle_sets(text_bytes(part.column(1))), strict=True) if len(s) and _class_of(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cid", "s"])
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                sets = shingle_sets(text_bytes(part.column(1)), size)
+                rows = [(c, s.tobytes()) for c, s in zip(part.column(0).to_pylist(), sets, strict=True) if len(s) and _class_of(s) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cid", "s"])
 
+    return run
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, tag: str, percent: int) -> DataFrame:
-    """The pairs of classes whose full sets are similar enough."""
-    pairs = scratch.write(pairs.distinct(), f"{tag}_pairs")
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = scratch.write(ends.join(reps.select("cid", F.col("rep").alias("doc_id")), "cid"), f"{tag}_wanted")
+
+def _sets_of(cids: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, tag: str, size: int) -> DataFrame:
+    """(cid, s): the full sets of some classes, from one text each."""
+    wanted = scratch.write(cids.distinct().join(reps.select("cid", F.col("rep").alias("doc_id")), "cid"), f"{tag}_wanted")
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("cid", "text")
-    sets = scratch.write(texts.mapInArrow(_sets, "cid long, s binary").dropDuplicates(["cid"]) if not few else texts.mapInArrow(_sets, "cid long, s binary"), f"{tag}_sets")
+    # Rows that share an id and a text give a set twice; what is found with them is made distinct later.
+    sets = scratch.write(texts.mapInArrow(_sets(size), "cid long, s binary"), f"{tag}_sets")
+    scratch.drop(f"{tag}_wanted")
+    return sets
+
+
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, tag: str, size: int, percent: int) -> DataFrame:
+    """The pairs of classes whose full sets are similar enough."""
+    pairs = scratch.write(pairs.distinct(), f"{tag}_pairs")
+    sets = _sets_of(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))), reps, docs, scratch, tag, size)
     joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
     joined = joined.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     out = scratch.write(joined.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long"), f"{tag}_links")
-    scratch.drop(f"{tag}_sets", f"{tag}_wanted")
+    scratch.drop(f"{tag}_sets", f"{tag}_pairs")
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, miss: float = MISS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, tile: int = TILE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept; kept rows are the first of their component."""
     spark = docs.sparkSession
-    scratch, steps = Scratch(spark), least_matches(percent, miss)
+    scratch, steps, bands = Scratch(spark), least_matches(percent, miss), band_count(percent, miss)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.write(docs.mapInArrow(_sign, "doc_id long, n long, cid long, sig binary, bands array<long>"), "signed")
+    signed = scratch.write(docs.mapInArrow(_sign(size, bands), "doc_id long, n long, cid long, sig binary, bands array<long>"), "signed")
     named = signed.where("cid is not null and doc_id is not null")
     reps = scratch.write(named.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
     rows = reps.select("cid", F.posexplode("bands").alias("band", "key"))
@@ -273,15 +317,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tiles = members.withColumn("tile", F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("size") / tile)).cast("int"))
     tiled = tiles.join(sigs, "cid").select("key", "tile", "cid", "n", "sig").repartition("key", "tile").sortWithinPartitions("key", "tile")
-    first = _links(tiled.mapInArrow(_within_tiles(steps, percent), "a long, b long"), reps, docs, scratch, "one", percent)
+    first = _links(tiled.mapInArrow(_within_tiles(steps, percent), "a long, b long"), reps, docs, scratch, "one", size, percent)
     labels = components(first, scratch, "cc1")
 
     labelled = scratch.write(members.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("key", "band", "cid", F.coalesce("label", "cid").alias("label")), "labelled")
     shares = labelled.groupBy("key", "label").agg(F.count("*").alias("n_label"))
     mixed = scratch.write(
-        shares.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n_label").alias("size"), F.max(F.struct("n_label", "label")).alias("top")).where("kinds > 1").select("key", "size", F.col("top.n_label").alias("n_top"), F.col("top.label").alias("top")),
+        shares.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n_label").alias("size"), F.max(F.struct("n_label", "label")).alias("top")).where("kinds > 1 and size > 2").select("key", "size", F.col("top.n_label").alias("n_top"), F.col("top.label").alias("top")),
         "mixed",
     )
+    # In a bucket of two the first round has seen the only pair.
     # The largest component's rows meet only the other rows; those meet each other too.
     unit = labelled.join(mixed, "key").withColumns({
         "is_top": F.col("label") == F.col("top"),
@@ -295,14 +340,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to_top = F.transform(F.sequence(F.lit(0), F.col("top_tiles") - 1), lambda k: F.struct((-1 - k).cast("int").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")).cast(cell))
     from_top = F.transform(F.sequence(F.lit(0), F.col("rest_tiles") - 1), lambda k: F.struct((-1 - F.col("own")).cast("int").alias("i"), k.cast("int").alias("j"), F.lit(0).alias("side")).cast(cell))
     cells = unit.select("key", "band", "cid", "label", F.explode(F.when(F.col("is_top"), from_top).otherwise(F.concat(rest, to_top))).alias("c"))
-    units = cells.select("key", "band", "cid", "label", "c.i", "c.j", "c.side").join(sigs, "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = _links(units.mapInArrow(_across(steps, percent), "a long, b long"), reps, docs, scratch, "two", percent)
+    cells = scratch.write(cells.select("key", "band", "cid", "label", "c.i", "c.j", "c.side"), "cells")
+    full = sigs.join(_sets_of(cells.select("cid"), reps, docs, scratch, "two", size), "cid")
+    units = cells.join(scratch.write(full, "full"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    second = scratch.write(units.mapInArrow(_across(steps, percent, bands), "a long, b long"), "two_links")
+    scratch.drop("two_sets", "full", "cells")
     labels = components(first.union(second), scratch, "cc2")
 
     classes = reps.select("cid", "rep").join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = scratch.write(classes.join(least, "label").select("cid", "component_id"), "of_class")
-    scratch.drop("multi", "members", "labelled", "mixed", "one_pairs", "two_pairs", "one_links", "two_links", "reps")
+    scratch.drop("multi", "members", "labelled", "mixed", "one_links", "two_links", "reps")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of_class, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
