@@ -46,12 +46,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[Scratch] = []
+
+
+def clean() -> None:
+    """Delete every table that operators have written for this driver, once their results are no longer read."""
+    while _MADE:
+        _MADE.pop().drop()
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` frees those no longer read."""
 
     def __init__(self, spark: SparkSession):
         bound_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.root}/{tag}"
@@ -59,9 +69,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:
+        """Delete tables of this scratch; without a tag, all of it."""
         jvm = self.spark.sparkContext._jvm
-        for tag in tags:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}")
+        for tag in tags or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
