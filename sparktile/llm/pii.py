@@ -65,19 +65,21 @@ def _passes(kind: str, hit: Column) -> Column:
 
 
 def _found(text: Column, pattern: Column, kind: str) -> Column:
-    """Every match of a pattern with its place: matches and the pieces between them add up to the text."""
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.lit(0)
-    state = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    """Every match of a pattern with its place: matches and the pieces between them add up to the text.
 
-    def step(acc: Column, i: Column) -> Column:
-        hit, begin = F.get(hits, i), acc["at"] + F.length(F.get(pieces, i))
-        end = begin + F.length(hit)
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), hit.alias("value"))
-        return F.struct(end.alias("at"), F.when(_passes(kind, hit), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    Matches and pieces are made once, as the aggregate's argument; the lambda only walks them.
+    """
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda piece, hit: F.struct(F.length(piece).alias("gap"), hit.alias("hit")))
+    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        end = begin + F.length(x["hit"])
+        span = F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("value"))
+        return F.struct(F.coalesce(end, begin).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(start, F.size(hits) - 1), state, step)["out"]).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    found = F.filter(F.aggregate(pairs, state, step)["out"], lambda s: _passes(kind, s["value"]))
+    return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
 
 def base_spans(text: Column) -> Column:
@@ -114,23 +116,34 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, suppor
     counts = scratch.write(counts.where(F.col("contexts") >= support), "pairs")
     if counts.isEmpty():
         return None
-    entities = found.groupBy("entity").agg(F.count_distinct("th").alias("df_e"))
     n = docs.count()
+    entities = found.groupBy("entity").agg(F.count_distinct("th").alias("df_e"))
+    # Texts that hold an entity bound a term's frequency from below, and so its disclosure from above:
+    # only terms that can still reach the threshold are counted over the whole corpus.
+    near = pairs.groupBy("term").agg(F.count_distinct("th").alias("df_near"))
+    scored = counts.join(entities, "entity").join(near, "term").where(F.col("df_e") < n)
+    possible = scratch.write(scored.where(_disclosure(F.col("df_near"), n) >= least).select("term", "together", "df_e"), "possible")
+    candidates = scratch.write(possible.select("term").distinct(), "candidates")
+    if candidates.isEmpty():
+        return None
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}]){TERM}(?![\p{{L}}\p{{N}}])"), F.lit(0)))
-    candidates = counts.select("term").distinct()
     df_t = _joined(docs.select("th", F.explode(words).alias("term")), candidates, "term", "left_semi").groupBy("term").agg(F.count_distinct("th").alias("df_t"))
-    scored = counts.join(entities, "entity").join(df_t, "term").where(F.col("df_e") < n)
-    disclosure = 1 - F.log(F.greatest(F.col("df_t") / F.col("together"), F.lit(1.0))) / F.log(F.lit(float(n)) / F.col("df_e"))
-    terms = scored.groupBy("term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= least)
-    return scratch.write(terms, "terms")
+    terms = possible.join(df_t, "term").groupBy("term").agg(F.max(_disclosure(F.col("df_t"), n)).alias("disclosure"))
+    return scratch.write(terms.where(F.col("disclosure") >= least), "terms")
+
+
+def _disclosure(df_t: Column, n: int) -> Column:
+    """PMI over information content, from columns together and df_e."""
+    return 1 - F.log(F.greatest(df_t / F.col("together"), F.lit(1.0))) / F.log(F.lit(float(n)) / F.col("df_e"))
 
 
-def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def _term_spans(docs: DataFrame, terms: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, th, term_spans) of the documents that hold a disclosing term."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}]){TERM}(?![\p{{L}}\p{{N}}])"), F.lit(0)))
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "th", F.explode(words).alias("term"))
     by_doc = _joined(rows, terms, "term").groupBy("doc_id", "th").agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("all_terms"), F.concat_ws("|", F.array_sort(F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))))).alias("gone"))
-    held = _joined(docs.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"]), by_doc, ["doc_id", "th"])
+    by_doc = scratch.write(by_doc, "by_doc")
+    held = _joined(docs.select("doc_id", "th", "text"), by_doc, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col("all_terms"), F.lit(r")(?![\p{L}\p{N}])"))
     return held.select("doc_id", "th", _found(F.col("text"), pattern, "term").alias("term_spans"), F.split("gone", r"\|").alias("gone"))
 
@@ -147,7 +160,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     no_terms = F.expr(f"cast(array() as {SPAN})")
     if terms is None or terms.isEmpty():
         return base.select("doc_id", "th", "spans", no_terms.alias("term_spans"), F.expr("cast(array() as array<string>)").alias("gone"))
-    more = scratch.write(_term_spans(texts, terms), "term_spans")
+    more = scratch.write(_term_spans(texts, terms, scratch), "term_spans")
     out = _joined(base.select("doc_id", "th", "spans"), more, ["doc_id", "th"], "left")
     return out.select("doc_id", "th", "spans", F.coalesce("term_spans", no_terms).alias("term_spans"), F.coalesce("gone", F.expr("cast(array() as array<string>)")).alias("gone"))
 
