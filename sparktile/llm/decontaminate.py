@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches, replace_columns, slices, text_bytes
+from .common import Scratch, bound_batches, release, replace_columns, slices, text_bytes, trimmed
 
 WINDOW = 10
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
 SAMPLE_RATE = 8
 BLOCK_BYTES = 16 << 20  # benchmark text that is broadcast at once
 
@@ -223,7 +223,7 @@ def _searcher(shared, text_col: str, keep: list[str], window: int, shard_words:
 
         parts, texts, size = [], [], 0
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 2 << 20):
                 parts.append(part)
                 for text in text_bytes(part.column(text_col)):
                     texts.append([known(w, 1) for w in words_of(text)])
@@ -231,10 +231,11 @@ def _searcher(shared, text_col: str, keep: list[str], window: int, shard_words:
                 if size >= shard_words:
                     yield from finish(parts, texts)
                     parts, texts, size = [], [], 0
+                    release()
         if parts:
             yield from finish(parts, texts)
 
-    return run
+    return trimmed(run)
 
 
 def word_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, slices, text_bytes
+from .common import Scratch, mix64, slices, text_bytes, trimmed
 from .components import components
 
 SHINGLE = 5
@@ -104,7 +104,7 @@ def _sign(size: int, bands: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(text_bytes(part.column(1)), size)
                 sigs, keys, names = [], [], []
                 for s in sets:
@@ -123,7 +123,7 @@ def _sign(size: int, bands: int):
                     names=["doc_id", "n", "cid", "sig", "bands"],
                 )
 
-    return run
+    return trimmed(run)
 
 
 def _survivors(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, steps: list[tuple[int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def _within_tiles(steps, percent):
                 a, b = [], []
         yield _emit(a, b)
 
-    return run
+    return trimmed(run)
 
 
 def _across(steps, percent, bands):
@@ -248,7 +248,7 @@ def _across(steps, percent, bands):
                     chosen.append(k)
             yield _emit([g["cid"][left[chosen]]], [g["cid"][right[chosen]]])
 
-    return run
+    return trimmed(run)
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -266,18 +266,18 @@ def _verify(percent):
             mask = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(text_bytes(part.column(1)), size)
                 rows = [(c, s.tobytes()) for c, s in zip(part.column(0).to_pylist(), sets, strict=True) if len(s) and _class_of(s) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cid", "s"])
 
-    return run
+    return trimmed(run)
 
 
 def _sets_of(cids: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, tag: str, size: int) -> DataFrame:

@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, text_bytes
+from .common import Scratch, slices, text_bytes, trimmed
 
 CAPACITY = 2048
 END_ID = 0
@@ -60,12 +60,11 @@ class ChunkTokenizer:
         return cls._kept[path]
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.new) + len(words) > self.most:
-            self.old, self.new = self.new, {}
+        unknown = [w for w in words if w not in self.new]
+        if len(self.new) + len(unknown) > self.most:
+            self.old, self.new, unknown = self.new, {}, list(words)
         new, old, parts, wanted = self.new, self.old, {}, set()
-        for w in words:
-            if w in new:
-                continue
+        for w in unknown:
             if w in old:
                 new[w] = old[w]
                 continue
@@ -83,7 +82,7 @@ class ChunkTokenizer:
                         wanted.add(p)
         listed = list(wanted)
         for w, e in zip(listed, self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False), strict=True):
-            new[w] = np.array(e.ids, "<u4").tobytes()
+            new[w] = array("I", e.ids).tobytes()
         for w, (stem, tail) in parts.items():
             new[w] = new[stem] + new[tail]
 
@@ -116,7 +115,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias(text_col))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def sweep(runs: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, text_bytes
+from .common import Scratch, release, text_bytes
 from .features import Counted, class_table, duplicate_lines, lengths_of
 
 SAMPLE_ROWS = 8000  # labelled rows that the trees and the lasso are fitted on, at most
+SLICE = 2 << 20  # bytes of text whose words are held at once
 TREES, DEPTH, CUTS = 40, 3, 24
 LASSO = 0.002
 THRESHOLD = 0.3
@@ -69,7 +70,7 @@ def _statistics(texts: pa.Array) -> pa.Array:
     sizes = np.cumsum(lengths_of(raw))
     while at < len(raw):
         base = int(sizes[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(sizes, base + SLICE, side="right")))
         parts.append(statistics_of(raw[at:end]))
         at = end
     cols = [np.concatenate([p[s] for p in parts]) if parts else np.empty(0) for s in STATS]
@@ -80,7 +81,9 @@ def statistics(text_col: str) -> Column:
     """The statistics of a text column, computed in Arrow batches."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return _statistics(texts)
+        out = _statistics(texts)
+        release()
+        return out
 
     return F.arrow_udf(run, _SCHEMA)(F.col(text_col).cast("string"))
 
