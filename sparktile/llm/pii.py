@@ -1,22 +1,32 @@
 """Personal data: base patterns, and terms that disclose the entities they stand with.
 
 Only DataFrame functions are used. Base spans are found by patterns. Then the
-corpus says how strongly a term reveals an entity: with n documents, df(e) of them
-holding entity e, df(t) holding term t and n(t, e) holding t near e, the term's
+corpus says how strongly a term reveals an entity: with n distinct texts, df(e) of
+them holding entity e, df(t) holding term t and n(t, e) holding t near e, the term's
 disclosure is PMI(t; e) / IC(e) = 1 - ln(df(t) / n(t, e)) / ln(n / df(e)). Terms
 that reach ``GENERALISE`` are replaced by a general word and those that reach
-``REMOVE`` are removed, wherever they occur. A pair counts only with at least
-``SUPPORT`` different contexts, so that copies of one passage prove nothing.
+``REMOVE`` are removed, wherever they occur. An entity is a value and also what it
+backs off to, the domain of an address or the network of an IP, so that values that
+occur once still add up.
+
+No fixed count is asked of a pair. The first time a term stands near an entity only
+proposes the pair; k - 1 further texts with contexts of their own must be too many for
+chance: by Hoeffding's bound on the hypergeometric tail, and over all proposed pairs, at
+most ``LEVEL``. Copies of one passage therefore prove nothing, and two texts are enough
+where the corpus is large against the pairs in it.
 
 Positions count code points; ends are exclusive.
 
 Cases: null or empty text has no spans; repeated rows are judged one by one, and
-their equal contexts count once; a row without an id gets base spans only; an
-empty table gives no rows; clashing columns are replaced.
+their equal texts and contexts count once; rows are matched by their text, so a missing
+or shared id changes nothing; words cut by a context's edge and words of other
+entities do not count; an empty table gives no rows; clashing columns are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +42,8 @@ PATTERNS = {
 }
 _IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 CONTEXT = 80  # characters on either side of an entity
-TERM = r"[\p{L}\p{N}]{4,40}"
-SUPPORT = 3
+TERM = r"[\p{L}\p{N}]{1,40}"
+LEVEL = 0.01
 GENERALISE, REMOVE = 0.85, 0.95
 BROADCAST_ROWS = 200_000  # of terms or ids; beyond it joins are shuffled
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -90,15 +100,27 @@ def base_spans(text: Column) -> Column:
     return F.coalesce(F.concat(*parts), none)
 
 
+def _groups(span: Column) -> Column:
+    """Keys of what a span discloses: its value, and the domain or network that it is part of."""
+    value = F.lower(span["value"])
+    wider = F.when(span["kind"] == "email", F.substring_index(value, "@", -1)).when(span["kind"] == "ip", F.substring_index(value, ".", 3))
+    return F.array_compact(F.array(F.xxhash64(span["kind"], value), F.when(wider.isNotNull(), F.xxhash64(F.lit("in"), span["kind"], wider))))
+
+
 def _contexts(docs: DataFrame) -> DataFrame:
     """One row for each entity and document: the entity and the distinct terms near it."""
-    one = docs.where(F.size("spans") > 0).select("th", "spans", "text").select("th", "text", F.explode("spans").alias("s"))
-    left = F.substr("text", F.greatest(F.col("s.start") + 1 - CONTEXT, F.lit(1)), F.least(F.lit(CONTEXT), F.col("s.start")))
-    right = F.substr("text", F.col("s.end") + 1, F.lit(CONTEXT))
+    # Entities are masked anyway, so no part of one is a term of another.
+    blank = F.aggregate("spans", F.col("text"), lambda acc, x: F.overlay(acc, F.repeat(F.lit(" "), x["end"] - x["start"]), x["start"] + 1, x["end"] - x["start"]))
+    one = docs.where(F.size("spans") > 0).select("th", "spans", blank.alias("text")).select("th", "text", F.explode("spans").alias("s"))
+    # One character more than the context tells whether its outermost word is whole.
+    left = F.substr("text", F.greatest(F.col("s.start") - CONTEXT, F.lit(1)), F.least(F.lit(CONTEXT + 1), F.col("s.start")))
+    right = F.substr("text", F.col("s.end") + 1, F.lit(CONTEXT + 1))
+    left = F.when(F.length(left) > CONTEXT, F.regexp_replace(left, r"^(?:[\p{L}\p{N}]+|.)", "")).otherwise(left)
+    right = F.when(F.length(right) > CONTEXT, F.regexp_replace(right, r"(?:(?<![\p{L}\p{N}])[\p{L}\p{N}]+|[^\p{L}\p{N}])\z", "")).otherwise(right)
     around = F.lower(F.concat(left, F.lit(" "), right))
     terms = F.array_distinct(F.regexp_extract_all(around, F.lit(rf"(?<![\p{{L}}\p{{N}}]){TERM}(?![\p{{L}}\p{{N}}])"), F.lit(0)))
-    entity = F.xxhash64(F.col("s.kind"), F.lower("s.value"))
-    return one.select("th", entity.alias("entity"), F.xxhash64(around).alias("context"), terms.alias("terms"))
+    near = one.select("th", F.explode(_groups(F.col("s"))).alias("entity"), around.alias("around"), terms.alias("terms"))
+    return near.select("th", "entity", F.xxhash64("around").alias("context"), "terms")
 
 
 def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -106,30 +128,47 @@ def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFr
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame | None:
-    """Terms (term, disclosure) that reveal an entity; None where no pair has enough support.
+def disclosing_terms(docs: DataFrame, found: DataFrame, n: int, scratch: Scratch, level: float = LEVEL, least: float = GENERALISE) -> DataFrame | None:
+    """Terms (term, disclosure) that reveal an entity; None where no pair is beyond chance.
 
-    ``docs`` has text, ``found`` the contexts of its entities.
+    ``docs`` has text, ``n`` is the number of distinct texts, ``found`` the contexts of their entities.
     """
     pairs = found.select("entity", "context", "th", F.explode("terms").alias("term"))
     counts = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("th").alias("together"))
-    counts = scratch.write(counts.where(F.col("contexts") >= support), "pairs")
-    if counts.isEmpty():
+    counts = scratch.write(counts, "pairs")
+    proposed = counts.count()
+    again = counts.where((F.col("contexts") > 1) & (F.col("together") > 1))
+    if again.isEmpty():
         return None
-    n = docs.count()
     entities = found.groupBy("entity").agg(F.count_distinct("th").alias("df_e"))
-    # Texts that hold an entity bound a term's frequency from below, and so its disclosure from above:
-    # only terms that can still reach the threshold are counted over the whole corpus.
+    # Texts that hold an entity bound a term's frequency from below, and so its disclosure from above and
+    # its chance from below: only terms that can still pass are counted over the whole corpus.
     near = pairs.groupBy("term").agg(F.count_distinct("th").alias("df_near"))
-    scored = counts.join(entities, "entity").join(near, "term").where(F.col("df_e") < n)
-    possible = scratch.write(scored.where(_disclosure(F.col("df_near"), n) >= least).select("term", "together", "df_e"), "possible")
+    scored = again.join(entities, "entity").join(near, "term").where(F.col("df_e") < n)
+
+    def passes(df_t: Column) -> Column:
+        return (_disclosure(df_t, n) >= least) & (_log_chance(df_t, n) + F.log(F.lit(float(proposed))) <= math.log(level))
+
+    possible = scratch.write(scored.where(passes(F.col("df_near"))).select("term", "contexts", "together", "df_e"), "possible")
     candidates = scratch.write(possible.select("term").distinct(), "candidates")
     if candidates.isEmpty():
         return None
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}]){TERM}(?![\p{{L}}\p{{N}}])"), F.lit(0)))
     df_t = _joined(docs.select("th", F.explode(words).alias("term")), candidates, "term", "left_semi").groupBy("term").agg(F.count_distinct("th").alias("df_t"))
-    terms = possible.join(df_t, "term").groupBy("term").agg(F.max(_disclosure(F.col("df_t"), n)).alias("disclosure"))
-    return scratch.write(terms.where(F.col("disclosure") >= least), "terms")
+    terms = possible.join(df_t, "term").where(passes(F.col("df_t"))).groupBy("term").agg(F.max(_disclosure(F.col("df_t"), n)).alias("disclosure"))
+    return scratch.write(terms, "terms")
+
+
+def _log_chance(df_t: Column, n: int) -> Column:
+    """Upper bound on the log of the chance that, after the first, k - 1 more of the term's texts hold the entity.
+
+    Hoeffding: -a KL(q || p) for a further texts of the term, a share q of them with the entity, p of all others.
+    """
+    more = (F.least("contexts", "together") - 1).cast("double")
+    a = F.greatest(df_t - 1, more).cast("double")
+    q, p = more / a, (F.col("df_e") - 1) / F.lit(float(n - 1))
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    return F.when(q > p, -a * (q * F.log(q / p) + rest)).otherwise(0.0)
 
 
 def _disclosure(df_t: Column, n: int) -> Column:
@@ -138,30 +177,31 @@ def _disclosure(df_t: Column, n: int) -> Column:
 
 
 def _term_spans(docs: DataFrame, terms: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, th, term_spans) of the documents that hold a disclosing term."""
+    """(th, term_spans, gone) of the texts that hold a disclosing term."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}]){TERM}(?![\p{{L}}\p{{N}}])"), F.lit(0)))
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "th", F.explode(words).alias("term"))
-    by_doc = _joined(rows, terms, "term").groupBy("doc_id", "th").agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("all_terms"), F.concat_ws("|", F.array_sort(F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))))).alias("gone"))
-    by_doc = scratch.write(by_doc, "by_doc")
-    held = _joined(docs.select("doc_id", "th", "text"), by_doc, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    rows = docs.where("text is not null").select("th", F.explode(words).alias("term"))
+    by_text = _joined(rows, terms, "term").groupBy("th").agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("all_terms"), F.concat_ws("|", F.array_sort(F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))))).alias("gone"))
+    by_text = scratch.write(by_text, "by_text")
+    held = _joined(docs.select("th", "text"), by_text, "th").dropDuplicates(["th"])
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col("all_terms"), F.lit(r")(?![\p{L}\p{N}])"))
-    return held.select("doc_id", "th", _found(F.col("text"), pattern, "term").alias("term_spans"), F.split("gone", r"\|").alias("gone"))
+    return held.select("th", _found(F.col("text"), pattern, "term").alias("term_spans"), F.split("gone", r"\|").alias("gone"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: doc_id, spans (base kinds, then disclosing terms) and gone (the terms to remove)."""
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     spans = texts.withColumn("spans", base_spans(F.col("text")))
     # Texts that hold an entity go along, for their contexts.
     base = scratch.write(spans.select("doc_id", "th", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "base")
     found = scratch.write(_contexts(base), "contexts")
-    terms = disclosing_terms(texts, found, scratch, **options)
+    n = base.agg(F.count_distinct("th")).first()[0]
+    terms = disclosing_terms(texts, found, n, scratch, **options)
     no_terms = F.expr(f"cast(array() as {SPAN})")
     if terms is None or terms.isEmpty():
         return base.select("doc_id", "th", "spans", no_terms.alias("term_spans"), F.expr("cast(array() as array<string>)").alias("gone"))
     more = scratch.write(_term_spans(texts, terms, scratch), "term_spans")
-    out = _joined(base.select("doc_id", "th", "spans"), more, ["doc_id", "th"], "left")
+    out = _joined(base.select("doc_id", "th", "spans"), more, "th", "left")
     return out.select("doc_id", "th", "spans", F.coalesce("term_spans", no_terms).alias("term_spans"), F.coalesce("gone", F.expr("cast(array() as array<string>)")).alias("gone"))
 
 
@@ -177,15 +217,14 @@ def digest(spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with entities replaced by their kind, terms by ``[term]`` or nothing; n_chars follows."""
     columns, spark = docs.columns, docs.sparkSession
-    found = detect(docs, id_col, text_col, **options).where((F.size("spans") > 0) | (F.size("term_spans") > 0))
-    found = Scratch(spark).write(found.dropDuplicates(["doc_id", "th"]), "found")
     # Base spans come again from the text itself; only term spans need the corpus, and so a join.
-    with_terms = found.where((F.size("term_spans") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "term_spans", "gone")
+    found = detect(docs, id_col, text_col, **options).where(F.size("term_spans") > 0)
+    with_terms = Scratch(spark).write(found.select(F.col("th").alias("__th"), "term_spans", "gone").dropDuplicates(["__th"]), "found")
     raw = docs.withColumn("__text", F.col(text_col).cast("string"))
     if with_terms.isEmpty():
         joined = raw.withColumn("__spans", base_spans(F.col("__text"))).withColumn("__gone", F.expr("cast(array() as array<string>)"))
     else:
-        joined = _joined(raw, with_terms, (F.col(id_col) == F.col("__id")) & (F.xxhash64("__text") == F.col("__th")), "left")
+        joined = _joined(raw, with_terms, F.xxhash64("__text") == F.col("__th"), "left")
         joined = joined.withColumn("__spans", F.concat(base_spans(F.col("__text")), F.coalesce("term_spans", F.expr(f"cast(array() as {SPAN})")))).withColumn("__gone", F.coalesce("gone", F.expr("cast(array() as array<string>)")))
     ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
 

@@ -90,6 +90,21 @@ def test_disclosing_terms_and_sanitising(spark):
     assert pii.detect(docs(spark, [])).count() == 0 and pii.sanitise(docs(spark, [])).count() == 0
 
 
+def test_rare_entities_short_terms_and_missing_ids(spark):
+    filler = [f"filler text number {k} of many" for k in range(20_000)]
+    rare = ["Xu: ann@mail.org 9.8.77.6", "9.8.77.6 ann@mail.org (Xu)"]  # two contexts, a term of two letters
+    domain = [f"Zanzibarius {k}{k}@corp.net q{k}" for k in "abcdef"]  # no address occurs twice
+    once = ["Unicorniana dan@else.org"] * 4
+    table = docs(spark, filler + rare + domain + once)
+    extra = spark.createDataFrame([(None, "Zanzibarius and Xu", "en", "s", 18)], table.schema)
+    found = pii.detect(table.union(extra)).collect()
+    terms = {s.value for r in found for s in r.term_spans}
+    assert terms == {"Xu", "Zanzibarius"}
+    assert [s.value for r in found if r.doc_id is None for s in r.term_spans] == ["Zanzibarius", "Xu"]
+    clean = [r.text for r in pii.sanitise(table.union(extra)).where("doc_id is null").collect()]
+    assert clean and "Zanzibarius" not in clean[0] and "Xu" not in clean[0]
+
+
 @pytest.mark.parametrize("name", ["op2_near_dedup", "op5_url_filter", "op10_decontaminate"])
 def test_queries_against_sql(spark, sf_dir, name):
     found = queries.QUERIES[name](spark, sf_dir).toPandas()
