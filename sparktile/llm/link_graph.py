@@ -3,8 +3,10 @@
 Only DataFrame functions are used. Pages that a rule allows seed trust at their
 host, pages that one blocks seed distrust. Trust is personalised PageRank along
 links; distrust is the same against their direction (a host that links to a
-distrusted one becomes distrusted). A page without a rule gets its host's verdict:
-block where distrust exceeds ``RATIO`` times trust.
+distrusted one becomes distrusted). Steps go on until no host is reached anew and
+no mass grows by more than ``TOLERANCE`` of itself, so that the smallest masses settle
+as the largest do. A page without a rule gets its host's verdict: block where distrust
+exceeds ``RATIO`` times trust.
 
 Links are counted by pair of hosts before anything else, so that a host with many
 pages is one row an edge; each step joins two written tables, so that a host with
@@ -19,6 +21,7 @@ each counts as a seed; empty tables give no rows; without seeds all is allowed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-DAMPING, STEPS, RATIO = 0.85, 12, 1.0
+DAMPING, TOLERANCE, RATIO = 0.85, 1e-6, 1.0
 BROADCAST_ROWS = 200_000  # of host verdicts; beyond it the join is shuffled
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -81,22 +84,28 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pairs.withColumn("dst", F.translate("dst", _UPPER, _LOWER)).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, kind, mass) after ``steps`` steps from seeds (host, kind, mass); kind is trust or distrust."""
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, kind, mass) that seeds (host, kind, mass) settle at; kind is trust or distrust.
+
+    Sums begin with the seeds' own part and so only grow: the set of reached hosts and every mass have an end.
+    """
     flows = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links").union(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "links")
     )
     out = scratch.write(flows.groupBy("kind", "host").agg(F.sum("links").alias("all_links")), "out")
     flows = scratch.write(scratch.write(flows, "flows").join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all_links")).alias("share")), "shares")
     base = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-    mass = scratch.write(seeds, "mass0")
     if flows.isEmpty():  # nothing flows: every step gives the same
         return base
-    for k in range(1, steps + 1):
+    mass = scratch.write(base, "mass0")
+    for k in count(1):
         moved = flows.join(mass, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        mass = scratch.write(moved.union(base).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), f"mass{k}")
-        if k > 1:
-            scratch.drop(f"mass{k - 1}")
+        both = moved.union(base).withColumn("before", F.lit(0.0)).union(mass.select("kind", "host", F.lit(0.0), "mass"))
+        sums = scratch.write(both.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before")), f"mass{k}")
+        mass = sums.select("kind", "host", "mass")
+        scratch.drop(f"mass{k - 1}")
+        if sums.where(F.col("mass") - F.col("before") > tolerance * F.col("mass")).isEmpty():
+            break
     return mass
 
 

@@ -42,6 +42,15 @@ def test_trust_and_distrust_follow_links(spark):
     assert link_graph.judge(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_long_chains_and_cycles_settle(spark):
+    link = lambda host: f'<a href="http://{host}/">x</a>'
+    chain = [(k, f"http://h{k}.org/", link(f"h{k - 1}.org") if k else link("evil.net")) for k in range(16)]
+    loop = [(20, "http://a.org/", link("b.org")), (21, "http://b.org/", link("a.org") + link("evil.net"))]
+    table = spark.createDataFrame([*chain, *loop, (30, "http://evil.net/es/", None), (31, "http://apart.org/", link("h3.org"))], PAGES)
+    found = {r.page_id: r.verdict for r in link_graph.judge(table).collect()}
+    assert all(v == "block" for v in found.values()) and len(found) == 20
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
