@@ -119,8 +119,8 @@ def _sign(size: int, bands: int):
                     keys.append(key.view(np.int64).tolist())
                     names.append(_class_of(s))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "cid", "sig", "bands"],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "th", "n", "cid", "sig", "bands"],
                 )
 
     return trimmed(run)
@@ -304,10 +304,15 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, tile: int = TILE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept; kept rows are the first of their component."""
+    return judged(docs, id_col, text_col, size, percent, miss, tile).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, tile: int = TILE) -> DataFrame:
+    """``near_duplicates`` with th (the hash of the row's text) and label (one a component, which shared ids are not)."""
     spark = docs.sparkSession
     scratch, steps, bands = Scratch(spark), least_matches(percent, miss), band_count(percent, miss)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.write(docs.mapInArrow(_sign(size, bands), "doc_id long, n long, cid long, sig binary, bands array<long>"), "signed")
+    signed = scratch.write(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_sign(size, bands), "doc_id long, th long, n long, cid long, sig binary, bands array<long>"), "signed")
     named = signed.where("cid is not null and doc_id is not null")
     reps = scratch.write(named.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
     rows = reps.select("cid", F.posexplode("bands").alias("band", "key"))
@@ -349,8 +354,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = reps.select("cid", "rep").join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = scratch.write(classes.join(least, "label").select("cid", "component_id"), "of_class")
+    of_class = scratch.write(classes.join(least, "label").select("cid", "component_id", "label"), "of_class")
     scratch.drop("multi", "members", "labelled", "mixed", "one_links", "two_links", "reps")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of_class, "cid", "left")
+    out = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), "cid").join(of_class, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "th", "label")

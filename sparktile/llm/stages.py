@@ -18,11 +18,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group (five words, 0.8) stays; rows without an id stay."""
-    found = near.near_duplicates(docs)
-    gone = Scratch(spark).write(found.where("not kept").select("doc_id").distinct(), "gone")
-    few = gone.count() <= near.BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group (five words, 0.8) stays, with the smallest id; rows without an id or words stay.
+
+    Rows are told apart by id and text, as ids may be shared; of equal rows one stays.
+    """
+    scratch, key = Scratch(spark), ["doc_id", "__th"]
+    rows = near.judged(docs).where("doc_id is not null and label is not null").withColumnRenamed("th", "__th")
+    rows = scratch.write(rows.select(*key, "label", "kept"), "rows")
+    # Rows of the smallest id may be several: those of the first text stay, and of them one.
+    many = rows.where("kept").groupBy("label").agg(F.count("*").alias("n"), F.min("__th").alias("first")).where("n > 1")
+    many = scratch.write(many, "many")
+    others = rows.where("kept").join(many, "label").where("__th <> first")
+    gone = scratch.write(rows.where("not kept").select(*key).union(others.select(*key)).distinct(), "gone")
+    few = lambda df: F.broadcast(df) if df.count() <= near.BROADCAST_ROWS else df
+    left = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string"))).join(few(gone), key, "left_anti")
+    if not many.isEmpty():
+        again = scratch.write(rows.where("kept").join(many.select("label", F.col("first").alias("__th")), ["label", "__th"]).select(*key).distinct(), "again")
+        left = left.join(few(again), key, "left_anti").unionByName(left.join(few(again), key, "left_semi").dropDuplicates(key))
+    return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

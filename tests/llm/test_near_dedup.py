@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparktile.llm import near_dedup
+from sparktile.llm import near_dedup, stages
 from sparktile.llm.common import Scratch
 from sparktile.llm.components import components
 
@@ -71,6 +71,19 @@ def test_missing_and_shared_ids_and_empty(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_stage_keeps_one_row_of_each_group(spark):
+    base = " ".join(f"word{k}" for k in range(60))
+    rows = [(5, "a b c d e f"), (7, "a b c d e f"), (7, "q r s t u v"), (7, "q r s t u v"), (8, "q r s t u v"), (9, base), (9, base + " more"), (None, "a b c d e f"), (None, "a b c d e f"), (3, ""), (3, None)]
+    table = spark.createDataFrame([(k, t, len(t or "")) for k, t in rows], "doc_id long, text string, n_chars long")
+    out = stages.near_dedup(spark, table, "")
+    assert out.columns == table.columns
+    found = [(r.doc_id, r.text) for r in out.collect()]
+    nine = [r for r in found if r[0] == 9]
+    assert len(nine) == 1 and nine[0] in rows
+    expected = [(5, "a b c d e f"), (7, "q r s t u v"), (None, "a b c d e f"), (None, "a b c d e f"), (3, ""), (3, None)]
+    assert sorted(map(repr, found)) == sorted(map(repr, [*expected, *nine]))
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001 + k) for k in range(300)] + [(5000, 5000)]
     df = spark.createDataFrame([(max(e), min(e)) for e in edges], "a long, b long")
