@@ -61,7 +61,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         bound_batches(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+        self.name = f"llm_{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{self.name}"
+        self.named: dict[str, str] = {}  # tables that the catalogue knows
         _MADE.append(self)
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
@@ -69,8 +71,17 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, tag: str, key: str, n: int) -> DataFrame:
+        """A table whose rows are dealt to ``n`` buckets by a key: what groups by it later moves only the other side."""
+        self.named[tag] = f"{self.name}_{tag}"
+        df.write.mode("overwrite").option("path", f"{self.root}/{tag}").bucketBy(n, key).saveAsTable(self.named[tag])
+        return self.spark.table(self.named[tag])
+
     def drop(self, *tags: str) -> None:
         """Delete tables of this scratch; without a tag, all of it."""
+        for tag in tags or tuple(self.named):
+            if tag in self.named:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop(tag)}")
         jvm = self.spark.sparkContext._jvm
         for tag in tags or ("",):
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{tag}".rstrip("/"))

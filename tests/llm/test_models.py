@@ -2,7 +2,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,36 +87,81 @@ def test_quality_rules(spark):
     assert all(not (r.kept and r.base_failed) for r in found)
 
 
-def test_katz_against_brute_force(spark):
-    rng = random.Random(2)
-    texts = [prose(rng, rng.randrange(1, 60), 60) for _ in range(120)] + EDGES[:6] + [" The the THE ", "new words unseen"]
-    table = docs(spark, texts)
-    found = katz.score(table, fold("doc_id", 7) == 2, block_bytes=1500).orderBy("doc_id").collect()
-    tokens = [(t or "").encode().lower().split() + [b""] for t in texts]
-    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
-    one, two = Counter(), Counter()
+def brute_katz(tokens, held, order):
+    """Counts, probabilities and weights of every order, one n-gram at a time; START stands before a document."""
+    grams = [Counter() for _ in range(order + 1)]
     for t, h in zip(tokens, held, strict=True):
-        if not h:
-            one.update(t)
-            two.update(zip([b"", *t[:-1]], t, strict=True))
-    n, v = sum(one.values()), len(one)
+        row = ["START"] * (order - 1) + t
+        for i in range(order - 1, len(row)) if not h else ():
+            for k in range(1, order + 1):
+                grams[k][tuple(row[i - k + 1 : i + 1])] += 1
     of = lambda c: [sum(1 for x in c.values() if x == r) for r in range(1, katz.STATS + 1)]
-    words, pairs = katz.Discount(of(one)), katz.Discount(of(two))
-    kept = lambda d, c: float(d.kept(np.array([c]))[0])
-    p = {w: kept(words, c) / n for w, c in one.items()}
-    unknown = 1 - sum(p.values())
-    after = defaultdict(dict)
-    for (h, w), c in two.items():
-        after[h][w] = kept(pairs, c) / one[h]
-    alpha = {h: (1 - sum(x.values())) / (1 - sum(p[w] for w in x)) for h, x in after.items()}
-    for h, x in after.items():  # every context sums to one over all words and the unknown one
-        rest = [w for w in p if w not in x]
-        assert sum(x.values()) + alpha[h] * (sum(p[w] for w in rest) + unknown) == pytest.approx(1)
+    discounts = [None] + [katz.Discount(of(c)) for c in grams[1:]]
+    totals = [Counter() for _ in range(order + 1)]  # of contexts, by the order of what follows them
+    for k in range(2, order + 1):
+        for g, c in grams[k].items():
+            totals[k][g[:-1]] += c
+    n = sum(grams[1].values())
+    p = [None] * (order + 1)
+    for k in range(1, order + 1):
+        p[k] = {g: float(discounts[k].kept(np.array([c]))[0]) / (n if k == 1 else totals[k][g[:-1]]) for g, c in grams[k].items()}
+    unknown = 1 - sum(p[1].values())
+    alpha = [{} for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        kept, lower = Counter(), Counter()
+        for g in grams[k]:
+            kept[g[:-1]] += p[k][g]
+            lower[g[:-1]] += p[k - 1][g[1:]]
+        alpha[k] = {h: (1 - kept[h]) / (1 - lower[h]) for h in kept}
+
+    def prob(g):
+        k = len(g)
+        if g in p[k]:
+            return p[k][g]
+        return unknown if k == 1 else alpha[k].get(g[:-1], 1.0) * prob(g[1:])
+
+    return grams, alpha, prob, n
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_against_brute_force(spark, tmp_path, order):
+    rng = random.Random(2)
+    texts = [prose(rng, rng.randrange(1, 60), 25) for _ in range(120)] + EDGES[:6] + [" The the THE ", "new words unseen"] + ["w1 w2 w3 w4 w5 w6"] * 9
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    keep = str(tmp_path / "model")
+    table = docs(spark, texts).withColumn("block", F.lit(1)).withColumn("kind", F.lit("x"))  # names that the operator uses itself
+    found = katz.score(table, fold("doc_id", 7) == 2, order=order, block_bytes=4000, bucket_bytes=4000, keep=keep).orderBy("doc_id").collect()
+    tokens = [(t or "").encode().lower().split() + [b""] for t in texts]
+    grams, alpha, prob, n = brute_katz(tokens, held, order)
+    vocabulary = [(w,) for (w,) in grams[1]]
+    for k in range(2, order + 1):  # every context sums to one over all words and the unknown one
+        for h in list(alpha[k])[::7]:
+            assert sum(prob(h + w) for w in vocabulary) + prob((*h, "unheard")) == pytest.approx(1)
     for r, t, h in zip(found, tokens, held, strict=True):
-        score = sum(math.log10(after[a][w]) if w in after.get(a, {}) else math.log10(alpha.get(a, 1) * p.get(w, unknown)) for a, w in zip([b"", *t[:-1]], t, strict=True))
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(t), sum(w in one for w in t), n)
+        row = ["START"] * (order - 1) + t
+        score = sum(math.log10(prob(tuple(row[i : i + order]))) for i in range(len(t)))
+        base = sum(math.log10((grams[1][(w,)] + 1) / (n + len(grams[1]) + 1)) for w in t)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, len(t), sum((w,) in grams[1] for w in t), n)
         assert r.score == pytest.approx(score) and r.base_score == pytest.approx(base)
+    # The kept tables hold every n-gram once, and a weight for every context.
+    kept = spark.read.parquet(f"{keep}/ngrams").collect()
+    for k in range(1, order + 1):
+        assert sorted(r["count"] for r in kept if r.order == k) == sorted(grams[k].values())
+    if order > 1:
+        weights = spark.read.parquet(f"{keep}/weights").collect()
+        for k in range(2, order + 1):
+            assert np.allclose(sorted(r.log_alpha for r in weights if r.order == k), sorted(np.log10(list(alpha[k].values()))))
+
+
+def test_katz_counts_do_not_wrap():
+    """Totals beyond 2^32, as a frequent word has in a large corpus."""
+    key, most = pack_array(np.array([7, 9], np.uint64)), np.iinfo(np.uint32).max
+    rows = [[1, 0, b, 2, key, pack_array(np.array([most, 1], np.uint32)), pack_array(np.array([0, 3], np.uint32)), None] for b in range(3)]
+    import pyarrow as pa
+
+    out = katz._count(pa.table(katz._arrays(katz._ASK, rows), names=list(katz._ASK))).to_pylist()
+    assert [unpack_array(r["totals"], np.uint64, 2).tolist() for r in out[:3]] == [[3 * most, 3]] * 3
+    assert out[3]["stats"][:2] == [3 * most + 3, 2]
 
 
 def test_katz_empty_and_untrained(spark):
