@@ -1,17 +1,23 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity.
 
-Supersteps: documents' last pieces are range-sorted by length, so that equal
-lengths form runs whose members have ranks. In each superstep the longest
-unplaced run sweeps over the sorted gaps for its successor (the smallest gap
-that fits), the matches are resolved by rank, gaps shrink, and the sweep goes on
-with what is left. A run and a gap size are at most ``capacity`` many, so the
-swept state is bounded by the capacity whatever the number of documents; the
-sort, the ranks and the placement of every document are distributed.
+Bulk-synchronous supersteps over Spark tables. Documents' last pieces are range-sorted
+by length, so that equal lengths form runs whose members have ranks; gaps are runs of
+sequences with equal room, sorted by size. A superstep deals both by rank to shards of
+about ``SHARD_SEQUENCES`` sequences; every shard, in its own task, sweeps its runs from
+the longest down: a run's successor is the smallest gap that it fits, equal claims are
+settled by rank, gaps shrink, and the sweep goes on with what is left. A shard opens
+only as many sequences as its tokens fill; documents that then find no gap, and gaps
+that are left, are the next superstep's tables, dealt to a ``FAN``-th of the shards,
+until one shard is left, which opens what it still needs. A shard whose rest exceeds
+``REST`` of its tokens (or two sequences) opens sequences for it at once, so that rests
+fall by a fixed factor from step to step. A task's state are runs and gap sizes, at most ``capacity``
+of each and few ranges of them, whatever the number of documents.
 
 Cases: null text is an empty document of one token (the end id); a document
 longer than the capacity is cut and its full pieces fill sequences alone; equal
-lengths are ranked by range order; repeated rows are packed one by one; an empty
-table gives no rows.
+lengths are ranked by range order; repeated rows, and rows that share an id, are packed
+one by one; an empty table gives no rows; only the id and the text are read, so
+columns of other names, whatever they are called, change nothing.
 """
 
 from __future__ import annotations
@@ -22,27 +28,35 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, slices, text_bytes, trimmed
 
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 400_000  # of each of two generations
-
+SHARD_SEQUENCES = 1024  # that the tokens of one shard fill
+FAN = 16  # shards of a superstep for each one of the next
+REST = 0.05  # of a shard's tokens that may wait for the next superstep
+BROADCAST_ROWS = 100_000  # of 32 bytes; beyond it joins are shuffled
 
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_JOINED = 512  # plain words encoded in one call
 
 
 class ChunkTokenizer:
     """Token ids of whole texts through a bounded cache of white-space-free chunks.
 
-    The vocabulary's tokens never span white space, nor an ASCII letter and the
-    punctuation after it, and it folds case: so a text's ids are the ids of its
-    chunks, and a chunk's those of its letters and of its closing punctuation. The
-    cache has two generations and lives as long as the Python worker.
+    Where the vocabulary's tokens never span white space, nor an ASCII letter and the
+    punctuation after it, and it folds case, a text's ids are the ids of its chunks, and
+    a chunk's those of its letters and of its closing punctuation. Whether a tokenizer
+    does so is tried when it is loaded, over all pairs of ASCII characters; one that does
+    not encodes whole texts. The cache has two generations and lives as long as the
+    Python worker.
     """
 
     _kept: dict[str, ChunkTokenizer] = {}
@@ -52,6 +66,28 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.new, self.old, self.most = Tokenizer.from_file(path), {}, {}, cache_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+        self.chunked = not any(c.isspace() for w in vocabulary for c in w) and self._falls_into_chunks()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _falls_into_chunks(self) -> bool:
+        """Whether probes' ids are those of their parts."""
+        seen = [chr(k) for k in range(33, 127)]
+        pairs = [x + y for x in seen for y in seen]
+        apart = dict(zip(pairs, self._encoded(pairs), strict=True))
+        for space in (" ", "\n", "\t \r\x0b\x0c"):
+            if self._encoded([space.join(pairs)])[0] != b"".join(apart.values()):
+                return False
+        tails = [chr(k) for k in _PUNCTUATION]
+        tails += [x + y for x in tails for y in tails]
+        stem, *ends = self._encoded(["word", *tails])
+        if self._encoded(["word" + t for t in tails]) != [stem + t for t in ends]:
+            return False
+        return self._encoded(["A Mixed WORD"]) == self._encoded(["a mixed word"])
 
     @classmethod
     def of_worker(cls, path: str) -> ChunkTokenizer:
@@ -60,34 +96,50 @@ class ChunkTokenizer:
         return cls._kept[path]
 
     def _learn(self, words: set[bytes]) -> None:
-        unknown = [w for w in words if w not in self.new]
+        unknown = words.difference(self.new)
         if len(self.new) + len(unknown) > self.most:
-            self.old, self.new, unknown = self.new, {}, list(words)
-        new, old, parts, wanted = self.new, self.old, {}, set()
+            self.old, self.new, unknown = self.new, {}, words
+        new, old, parts, wanted = self.new, self.old, [], set()
         for w in unknown:
             if w in old:
                 new[w] = old[w]
                 continue
             stem = w.rstrip(_PUNCTUATION)
-            if stem and len(stem) < len(w) and 97 <= stem[-1] <= 122 and b"<|" not in w:
-                parts[w] = (stem, w[len(stem) :])
+            if len(stem) < len(w) and stem and 97 <= stem[-1] <= 122 and b"<|" not in w:
+                tail = w[len(stem) :]
+                parts.append((w, stem, tail))
+                wanted.add(stem)
+                wanted.add(tail)
             else:
                 wanted.add(w)
-        for pair in parts.values():
-            for p in pair:
-                if p not in new:
-                    if p in old:
-                        new[p] = old[p]
-                    else:
-                        wanted.add(p)
-        listed = list(wanted)
-        for w, e in zip(listed, self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False), strict=True):
-            new[w] = array("I", e.ids).tobytes()
-        for w, (stem, tail) in parts.items():
+        plain, odd = [], []
+        for w in wanted.difference(new):
+            if w in old:
+                new[w] = old[w]
+            else:
+                (plain if w.isalpha() else odd).append(w)
+        for at in range(0, len(plain), _JOINED):
+            self._learn_plain(plain[at : at + _JOINED])
+        new.update(zip(odd, self._encoded([w.decode() for w in odd]), strict=True))
+        for w, stem, tail in parts:
             new[w] = new[stem] + new[tail]
 
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Words of ASCII letters in one call; each ends with its only token that ends a word."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cuts) != len(words) or cuts[-1] != 4 * len(ids):
+            self.new.update(zip(words, self._encoded([w.decode() for w in words]), strict=True))
+            return
+        blob, at = ids.tobytes(), 0
+        for w, end in zip(words, cuts, strict=True):
+            self.new[w] = blob[at:end]
+            at = end
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not self.chunked:
+            return self._encoded([t.decode() for t in texts])
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # special tokens are taken as written
         self._learn(set().union(*split))
         return [b"".join(map(self.new.__getitem__, words)) for words in split]
@@ -118,90 +170,148 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     return source.mapInArrow(trimmed(run), schema)
 
 
-def sweep(runs: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit supersteps over runs of equal lengths (length -> count).
+Run = tuple[int, int, int, int]  # length, shard of origin, first local rank, members
+Placed = tuple[int, int, int, int, int, int]  # length, shard of origin, first local rank, members, first sequence, offset
+Gap = tuple[int, int, int]  # size, first sequence, sequences
+
+
+def sweep(runs: list[Run], gaps: list[Gap], capacity: int, first: int, most: int | None) -> tuple[list[Placed], list[Run], list[Gap]]:
+    """Best fit of runs, longest first, into the tightest gaps: what was placed, what found no place, and gaps left.
 
-    Returns rows (length, first rank, members, first sequence, offset): member k of
-    the row sits in sequence first + k. Gaps of one size are kept as ranges of
-    sequences, so a superstep moves whole ranges.
+    At most ``most`` sequences are opened (None: any number), numbered from ``first``.
+    Member k of a placed row sits in the row's first sequence + k. Gaps of one size are
+    kept as ranges of sequences, so that whole ranges move at once.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> ranges (first sequence, count)
+    room: dict[int, list[tuple[int, int]]] = {}
     order: list[int] = []
-    placed, opened = [], 0
+    placed, rest, opened = [], [], 0
 
-    def give(size: int, first: int, count: int) -> None:
+    def give(size: int, at: int, count: int) -> None:
         if size and count:
-            if size not in gaps:
-                gaps[size] = []
+            if size not in room:
+                room[size] = []
                 insort(order, size)
-            gaps[size].append((first, count))
+            room[size].append((at, count))
 
-    for length in sorted(runs, reverse=True):
-        rank, left = 0, runs[length]
+    for size, at, count in sorted(gaps, reverse=True):
+        give(size, at, count)
+    for length, origin, rank, left in sorted(runs, key=lambda r: (-r[0], r[1], r[2])):
         while left:
             at = bisect_left(order, length)  # the successor among the gaps
             if at < len(order):
                 size = order[at]
-                first, count = gaps[size].pop()
+                begin, count = room[size].pop()
                 take = min(left, count)
                 if take < count:
-                    gaps[size].append((first + take, count - take))
-                if not gaps[size]:
-                    del gaps[size], order[at]
+                    room[size].append((begin + take, count - take))
+                if not room[size]:
+                    del room[size], order[at]
             else:
-                size, first = capacity, opened
-                take = -(-left // (capacity // length)) if length <= capacity // 2 else left
-                take = min(left, max(1, take))
+                size, begin = capacity, first + opened
+                take = -(-left // (capacity // length))
+                if most is not None:
+                    take = min(take, most - opened)
+                if not take:
+                    rest.append((length, origin, rank, left))
+                    break
                 opened += take
-            placed.append((length, rank, take, first, capacity - size))
-            give(size - length, first, take)
+            placed.append((length, origin, rank, take, begin, capacity - size))
+            give(size - length, begin, take)
             rank, left = rank + take, left - take
-    return placed
+    return placed, rest, [(size, at, count) for size in order for at, count in room[size]]
+
+
+_STEP = {"kind": ("int", pa.int32()), "length": ("long", pa.int64()), "origin": ("long", pa.int64()), "rank": ("long", pa.int64()), "n": ("long", pa.int64()), "sequence": ("long", pa.int64()), "offset": ("long", pa.int64())}
+_PLACED, _RUN, _GAP = 0, 1, 2  # kinds of rows; a gap's length is its size
+
 
+def _superstep(step: int, last: bool, capacity: int):
+    """One shard's sweep over its rows."""
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, **options) -> DataFrame:
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        cols = [c.to_pylist() for c in (group.column(k) for k in ("kind", "length", "origin", "rank", "n", "sequence"))]
+        rows = list(zip(*cols, strict=True))
+        runs = [(length, origin, rank, n) for kind, length, origin, rank, n, _ in rows if kind == _RUN]
+        gaps = [(length, sequence, n) for kind, length, _, _, n, sequence in rows if kind == _GAP]
+        tokens = sum(r[0] * r[3] for r in runs)
+        full = (tokens - sum(g[0] * g[2] for g in gaps)) // capacity
+        first = (step << 56) + (int(key[0].as_py()) << 24)  # a shard opens fewer sequences than 2^24
+        placed, rest, left = sweep(runs, gaps, capacity, first, None if last else max(0, full))
+        if not last and sum(r[0] * r[3] for r in rest) > max(REST * tokens, 2 * capacity):
+            placed, rest, left = sweep(runs, gaps, capacity, first, None)
+        out = [(_PLACED, *p) for p in placed] + [(_RUN, *r, None, None) for r in rest]
+        out += [(_GAP, size, None, None, n, sequence, None) for size, sequence, n in left] if rest or not last else []
+        return pa.table([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(_STEP.values())], names=list(_STEP))
+
+    return run
+
+
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows of the next superstep, range-sorted and dealt by rank; gaps that no run fits stay behind."""
+    least = rows.where(F.col("kind") == _RUN).agg(F.min("length")).first()[0]
+    rows = rows.where((F.col("kind") == _RUN) | (F.col("length") >= F.lit(least)))
+    if shards == 1:
+        return rows.withColumn("shard", F.lit(0).cast("long"))
+    ordered = rows.repartitionByRange("kind", "length", "origin", "rank", "sequence").sortWithinPartitions("kind", "length", "origin", "rank", "sequence")
+    return ordered.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, shard_sequences: int = SHARD_SEQUENCES, **options) -> DataFrame:
     """Pieces with sequence_id and offset; sequences hold at most ``capacity`` tokens without gaps."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     pieces = tokenized(docs, tokenizer_path, capacity=capacity, **options)
     table = scratch.write(pieces, "pieces")
     # Equal lengths side by side, ties cut at any row: no length can fill one task.
     ordered = table.repartitionByRange("length", "doc_id", "piece", "start").sortWithinPartitions("length", "doc_id", "piece")
-    ranked = scratch.write(ordered.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    at = F.monotonically_increasing_id()
+    ranked = scratch.write(ordered.withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33)), "ranked")
     scratch.drop("pieces")
-    # At most one row a partition and length that meet: range order bounds this by partitions + capacity.
-    parts = ranked.groupBy(F.shiftright("_at", 33).alias("part"), "length").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect()
-    runs: dict[int, int] = {}
-    pieces_of: list[tuple[int, int, int, int]] = []
-    for r in sorted(parts, key=lambda r: (r.length, r.first)):
-        pieces_of.append((r.part, r.length, r.first, runs.get(r.length, 0)))
-        runs[r.length] = runs.get(r.length, 0) + r.n
-    placed = sweep(runs, capacity)
-    by_length: dict[int, list[tuple[int, int, int]]] = {}
-    for length, rank, _, first, offset in placed:
-        by_length.setdefault(length, []).append((rank, first, offset))
-    segment = "struct<rank:bigint,first:bigint,offset:bigint>"
-    runs_df = spark.createDataFrame(
-        [(p, n, first, base) for p, n, first, base in pieces_of], "part long, length long, first long, base long"
-    )
-    plan_df = spark.createDataFrame(list(by_length.items()), f"length long, segments array<{segment}>")
-    rank = F.col("_at") - F.col("first") + F.col("base")
-    out = (
-        ranked.withColumn("part", F.shiftright("_at", 33))
-        .join(F.broadcast(runs_df), ["part", "length"])
-        .join(F.broadcast(plan_df), "length")
-        .withColumn("_rank", rank)
-    )
-    # The last segment that starts at or before the rank: segments are in rank order.
-    at = F.aggregate("segments", F.lit(None).cast(segment), lambda acc, s: F.when(s["rank"] <= F.col("_rank"), s).otherwise(acc))
-    out = out.withColumn("_s", at)
+    # At most one row for each partition and length that meet: range order bounds this by partitions + capacity.
+    met = ranked.groupBy("_part", "length").agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("_part")) - F.col("n")
+    met = scratch.write(met.withColumn("_base", before), "met")
+    tokens = met.agg(F.sum(F.col("length") * F.col("n"))).first()[0] or 0
+    shards = max(1, -(-tokens // (capacity * shard_sequences)))
+    # A length's members go round the shards: member r is number r // shards of shard r % shards.
+    runs = met.groupBy("length").agg(F.sum("n").alias("_n"))
+    runs = runs.select("length", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n"), F.lit(shards)) - 1)).alias("origin"))
+    n = F.floor((F.col("_n") - F.col("origin") - 1) / shards) + 1
+    null = F.lit(None).cast("long")
+    rows = runs.select(F.lit(_RUN).alias("kind"), "length", "origin", F.lit(0).cast("long").alias("rank"), n.alias("n"), null.alias("sequence"), null.alias("offset"), F.col("origin").alias("shard"))
+    placed, step, now = [], 0, shards
+    while True:
+        swept = rows.groupBy("shard").applyInArrow(_superstep(step, now == 1, capacity), ", ".join(f"{k} {t}" for k, (t, _) in _STEP.items()))
+        done = scratch.write(swept, f"step{step}")
+        placed.append(done.where(F.col("kind") == _PLACED).drop("kind"))
+        rest = done.where(F.col("kind") != _PLACED)
+        if now == 1 or rest.where(F.col("kind") == _RUN).isEmpty():
+            break
+        step, now = step + 1, -(-now // FAN)
+        rows = _dealt(rest, now)
+    every = placed[0]
+    for p in placed[1:]:
+        every = every.union(p)
+    segment = F.struct("rank", "sequence", "offset")
+    plan = scratch.write(every.groupBy("length", "origin").agg(F.array_sort(F.collect_list(segment)).alias("segments")), "plan")
+    nth = F.col("_at") - F.col("_first") + F.col("_base")
+    out = ranked.join(_sized(met.drop("n")), ["_part", "length"]).withColumn("origin", nth % shards).withColumn("_rank", F.floor(nth / shards))
+    out = out.join(_sized(plan), ["length", "origin"]).withColumn("_s", _last_begun(F.col("segments"), F.col("_rank")))
     return out.select(
-        *[c for c in ranked.columns if c != "_at"],
-        (F.col("_s")["first"] + F.col("_rank") - F.col("_s")["rank"]).alias("sequence_id"),
+        *[c for c in ranked.columns if not c.startswith("_")],
+        (F.col("_s")["sequence"] + F.col("_rank") - F.col("_s")["rank"]).alias("sequence_id"),
         F.col("_s")["offset"].alias("offset"),
     )
 
 
+def _last_begun(segments: Column, rank: Column) -> Column:
+    """The last segment that starts at or before a rank: segments are in rank order and start at 0."""
+    return F.element_at(segments, F.size(F.filter(segments, lambda s: s["rank"] <= rank)))
+
+
 def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, **options) -> DataFrame:
     """The real output: one row a sequence with its token ids (binary, little-endian 32-bit) and its pieces."""
     packed = pack(docs, tokenizer_path, capacity=capacity, with_ids=True, **options)

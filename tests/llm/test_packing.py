@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -29,14 +30,21 @@ def test_ids_equal_the_tokenizers(text):
     assert t.ids([text.encode()]) == [expected]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=60))
-def test_sweep_is_best_fit(lengths):
-    """The same fill as placing one by one, longest first, into the tightest gap."""
-    runs = {x: lengths.count(x) for x in lengths}
-    placed = packing.sweep(runs, 20)
+def best_fit(lengths, capacity):
+    """Gaps left by placing one by one, longest first, into the tightest gap."""
+    gaps: list[int] = []
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - x)
+    return gaps
+
+
+def filled(placed, capacity):
+    """Each sequence's parts, which must follow one another from 0."""
     used: dict[int, list[tuple[int, int]]] = {}
-    for length, _, n, first, offset in placed:
+    for length, _, _, n, first, offset in placed:
         for k in range(n):
             used.setdefault(first + k, []).append((offset, length))
     for parts in used.values():
@@ -44,17 +52,63 @@ def test_sweep_is_best_fit(lengths):
         for offset, length in sorted(parts):
             assert offset == end
             end += length
-        assert end <= 20
-    assert sum(map(len, used.values())) == len(lengths)
-    gaps: list[int] = []
-    for x in sorted(lengths, reverse=True):
-        fits = [g for g in gaps if g >= x]
-        if fits:
-            gaps.remove(min(fits))
-            gaps.append(min(fits) - x)
-        else:
-            gaps.append(20 - x)
-    assert len(used) <= len(gaps) + (len(gaps) // 8)
+        assert end <= capacity
+    return used
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60))
+def test_sweep_is_best_fit(lengths):
+    runs = [(x, 0, 0, lengths.count(x)) for x in set(lengths)]
+    placed, rest, left = packing.sweep(runs, [], 20, 0, None)
+    used = filled(placed, 20)
+    assert not rest and sum(map(len, used.values())) == len(lengths)
+    gaps = best_fit(lengths, 20)
+    assert len(used) <= len(gaps) and sorted(size for size, _, n in left for _ in range(n)) == sorted(20 - sum(x for _, x in p) for p in used.values() if sum(x for _, x in p) < 20)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60), st.integers(0, 6))
+def test_sweep_opens_no_more_than_told_and_goes_on(lengths, most):
+    """What finds no place is told, and a second sweep over the gaps places it."""
+    runs = [(x, 3, 5, lengths.count(x)) for x in set(lengths)]
+    placed, rest, left = packing.sweep(runs, [], 20, 100, most)
+    assert all(100 <= p[4] and p[4] + p[3] <= 100 + most for p in placed)
+    again, none, _ = packing.sweep(rest, left, 20, 1000, None)
+    used = filled(placed + again, 20)
+    assert not none and sum(map(len, used.values())) == len(lengths)
+    members = sorted((p[0], p[2] + k) for p in placed + again for k in range(p[3]))
+    assert members == sorted((x, 5 + k) for x in set(lengths) for k in range(lengths.count(x)))
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    """A vocabulary whose tokens take in the space before them is found out when it is loaded."""
+    t = tokenizer()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = packing.ChunkTokenizer(path)
+    assert packing.ChunkTokenizer(tokenizer_path()).chunked and not own.chunked and t
+    texts = ["Two words, and  MORE.", "", "x" * 50, "a b " * 300]
+    whole = [np.array(Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert own.ids([x.encode() for x in texts]) == whole
+
+
+@pytest.mark.parametrize("shard_sequences", [1, 3])
+def test_shards_and_supersteps(spark, shard_sequences):
+    """Many shards: every piece once, gapless, and hardly more sequences than the tokens need."""
+    rng = random.Random(3)
+    texts = ["many words " * rng.choice([1, 3, 30, 100, 200, rng.randrange(1, 300)]) for _ in range(400)] + ["same length"] * 300
+    found = packing.pack(docs(spark, texts), tokenizer_path(), capacity=256, shard_sequences=shard_sequences).collect()
+    seen: dict[int, list] = {}
+    for r in found:
+        seen.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in seen.values():
+        parts.sort()
+        assert [p[0] for p in parts] == list(np.cumsum([0, *[p[1] for p in parts[:-1]]])) and sum(p[1] for p in parts) <= 256
+    assert len({(r.doc_id, r.piece) for r in found}) == len(found)
+    assert len(seen) <= 1.03 * len(best_fit([r.length for r in found], 256)) + 1
 
 
 def test_pack_and_sequences(spark):
