@@ -6,24 +6,32 @@ of signature values by batch; a pair is dropped as soon as the posterior
 probability that its similarity reaches the threshold (uniform prior) is below
 ``MISS``. Survivors are verified on the full shingle sets.
 
-Two rounds keep large groups from being compared pair by pair: first each tile of
+Two rounds keep large groups from being compared pair by pair. First each tile of
 a bucket (tiles are dealt by a hash that differs from band to band) sends only a
-spanning forest of its best survivors to verification; then buckets that still hold
-several components are cut into units of two tiles with their full sets, and every
-pair across components that survives is verified there, the likeliest first.
-Nothing is capped: a link is missed only with the chosen probabilities.
-
-Cases: null or empty text has an empty set and is linked with nothing; a row
-without an id is linked with nothing and kept; of rows that share an id each is
-judged by its own text; an empty table gives no rows; other columns are ignored.
+spanning forest of its best survivors to verification. Then buckets that still hold
+several components are cut into units of two tiles; a bucket with many rows outside
+its largest component is dealt again by a second shared band before that, and by a
+third, so that documents that only share a passage part and units grow with the rows. Units are
+compared on signatures alone; only rows of pairs across components that survive go
+on with their full sets, and are verified there, the likeliest first.
+
+Nothing is capped: a link is missed only with the chosen probabilities. There are so
+many bands that a pair at the threshold shares at least ``DEPTH`` but with ``MISS``.
+
+Cases: null or empty text has an empty set and is linked with nothing; a text of any
+length is one set; a row without an id is linked with nothing and kept; of rows that
+share an id each is judged by its own text; repeated rows are one class; of equal ids
+all rows are kept; an empty table gives no rows; other columns are ignored, whatever
+they are called.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import count
-from math import ceil, comb, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +44,34 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 80  # links: 100 * intersection >= PERCENT * union
-ROWS = 4  # signature values in a band
-HASHES, BATCH = 128, 16
-MISS = 1e-6  # probability that a pair at the threshold shares no band, and that a batch drops it
+ROWS = 5  # signature values in a band
+DEPTH = 3  # bands by which a pair may be dealt
+HASHES, BATCH = 128, 16  # signature values at least, and those compared at once
+MISS = 1e-6  # probability that a pair at the threshold shares fewer than DEPTH bands, and that a batch drops it
 TILE = 128
+SPLIT = 4  # a bucket with more than this part of a tile outside its largest component is dealt again
 BROADCAST_ROWS = 1_000_000  # of 16 bytes; beyond it a shuffled join is used
 
-_RNG = np.random.default_rng(20240229)
-_FACTORS = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
-def band_count(percent: int = PERCENT, miss: float = MISS) -> int:
-    """Bands that a pair at the threshold all misses with probability ``miss`` at most (or all that the signature has)."""
-    return max(1, min(HASHES // ROWS, ceil(log(miss) / log(1 - (percent / 100) ** ROWS)))) if percent < 100 else 1
+@cache
+def _factors(hashes: int) -> np.ndarray:
+    """Odd multipliers, one for each hash function; fewer are the first of more."""
+    rng = np.random.default_rng(20240229)
+    return (rng.integers(0, 1 << 32, hashes, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+
+
+def band_count(percent: int = PERCENT, miss: float = MISS, depth: int = DEPTH) -> int:
+    """Bands of which a pair at the threshold shares fewer than ``depth`` with probability ``miss`` at most."""
+    p, bands = (percent / 100) ** ROWS, depth
+    while sum(comb(bands, k) * p**k * (1 - p) ** (bands - k) for k in range(depth)) > miss:
+        bands += 1
+    return bands
+
+
+def hash_count(bands: int) -> int:
+    """Signature values, in whole batches: those of the bands, and ``HASHES`` at least."""
+    return -(-max(HASHES, bands * ROWS) // BATCH) * BATCH
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -85,12 +108,12 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """The least value of each hash function over a set."""
     low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    best, factors = np.full(hashes, np.iinfo(np.uint32).max, np.uint32), _factors(hashes)[:, None]
     for at in range(0, len(low), 512):
-        best = np.minimum(best, (low[None, at : at + 512] * _FACTORS[:, None] + high[None, at : at + 512]).min(1))
+        best = np.minimum(best, (low[None, at : at + 512] * factors + high[None, at : at + 512]).min(1))
     return best
 
 
@@ -100,26 +123,24 @@ def _class_of(shingles: np.ndarray) -> int:
 
 
 def _sign(size: int, bands: int):
+    hashes = hash_count(bands)
     salt = np.arange(1, bands + 1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(text_bytes(part.column(1)), size)
-                sigs, keys, names = [], [], []
-                for s in sets:
-                    if not len(s):
-                        sigs.append(None), keys.append(None), names.append(None)
-                        continue
-                    sig = signature(s)
-                    pairs = sig[: bands * ROWS].reshape(bands, ROWS // 2, 2).astype(np.uint64)
-                    halves = pairs[:, :, 0] | pairs[:, :, 1] << np.uint64(32)
-                    key = mix64(mix64(halves[:, 0] + salt) + halves[:, 1])
-                    sigs.append(sig.astype(np.uint16).tobytes())
-                    keys.append(key.view(np.int64).tolist())
-                    names.append(_class_of(s))
+                full = np.array([len(x) > 0 for x in sets], bool)
+                sigs = np.stack([signature(x, hashes) for x in sets if len(x)]) if full.any() else np.empty((0, hashes), np.uint32)
+                keys = np.tile(salt, (len(sigs), 1))
+                for k in range(ROWS):
+                    keys = mix64(keys + sigs[:, k : bands * ROWS : ROWS])
+                nth, sigs = np.cumsum(full) - 1, sigs.astype(np.uint16)
+                keys = keys.view(np.int64)
+                told = [(_class_of(x), sigs[i].tobytes(), keys[i].tolist()) if len(x) else (None, None, None) for x, i in zip(sets, nth.tolist(), strict=True)]
+                names, sigs, keys = zip(*told, strict=True) if told else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    [part.column(0), part.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "th", "n", "cid", "sig", "bands"],
                 )
 
@@ -161,12 +182,14 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict
 def _cut(rows: pa.Table, edges: list[int]) -> Iterator[dict]:
     if not rows.num_rows:
         return
-    cols = {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("sig", "s")}
+    cols = {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("sig", "s", "bands")}
     if "s" in rows.column_names:
         cols["s"] = rows.column("s").to_pylist()
-    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+    if "bands" in rows.column_names:
+        cols["bands"] = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    cols["sig"] = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(rows.num_rows, -1)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield {c: v[a:b] for c, v in cols.items()} | {"sig": sig[a:b]}
+        yield {c: v[a:b] for c, v in cols.items()}
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> list[int]:
@@ -212,25 +235,65 @@ def _within_tiles(steps, percent):
     return trimmed(run)
 
 
-def _across(steps, percent, bands):
+def _crossing(g: dict, steps, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A unit's pairs across components that no batch drops, and their equal values.
+
+    A unit is one tile with itself, or two tiles: rows of side 0 against rows of side 1.
+    Pairs meet in several bands; those that they share first see to them.
+    """
+    side, label = g["side"], g["label"]
+    if side.min() == side.max():
+        left, right = np.triu_indices(len(side), 1)
+    else:
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        left, right = np.repeat(first, len(second)), np.tile(second, len(first))
+    apart = label[left] != label[right]
+    left, right = left[apart], right[apart]
+    live, same = _survivors(g["sig"], g["n"], left, right, steps, percent)
+    left, right = left[live], right[live]
+    met = g["bands"][left] == g["bands"][right]
+    own, path = np.ones(len(left), bool), int(g["path"][0])
+    while path:
+        band = path % _PLACE - 1
+        own &= met.argmax(1) == band
+        met[:, band] = False
+        path //= _PLACE
+    return left[own], right[own], same[own]
+
+
+_PLACE = 1 << 12  # a path holds a unit's bands, the first one lowest, each as a digit from 1
+_UNIT = ("key", "i", "j", "side", "path", "cid", "label")
+
+
+def _possible(steps, percent):
+    """The rows of units that stand in a pair that may be a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for g in _groups(batches, ["key", "i", "j"]):
-            # A unit is one tile with itself, or two tiles: rows of side 0 against rows of side 1.
-            side, label, band = g["side"], g["label"], int(g["band"][0])
-            if side.min() == side.max():
-                left, right = np.triu_indices(len(side), 1)
-            else:
-                first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                left, right = np.repeat(first, len(second)), np.tile(second, len(first))
-            apart = label[left] != label[right]
-            left, right = left[apart], right[apart]
-            live, same = _survivors(g["sig"], g["n"], left, right, steps, percent)
-            left, right = left[live], right[live]
-            # Pairs meet in several bands; the first band that they share sees to them.
-            sig = g["sig"][:, : bands * ROWS].reshape(-1, bands, ROWS)
-            met = (sig[left] == sig[right]).all(2).argmax(1) == band
-            left, right, same = left[met], right[met], same[met]
-            sets = [np.frombuffer(x, np.uint64) for x in g["s"]]
+            left, right, _ = _crossing(g, steps, percent)
+            if len(left):
+                use = np.union1d(left, right)
+                held.append({c: g[c][use] for c in _UNIT})
+            if len(held) > 2000:
+                yield _rows(held)
+                held = []
+        if held:
+            yield _rows(held)
+
+    return trimmed(run)
+
+
+def _rows(held: list[dict]) -> pa.RecordBatch:
+    kinds = {"key": pa.int64(), "path": pa.int64(), "cid": pa.int64(), "label": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[c] for h in held]), kinds.get(c, pa.int32())) for c in _UNIT], names=list(_UNIT))
+
+
+def _across(steps, percent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["key", "i", "j"]):
+            left, right, same = _crossing(g, steps, percent)
+            label, sets = g["label"], [np.frombuffer(x, np.uint64) for x in g["s"]]
             root = {x: x for x in label.tolist()}
 
             def find(x: int, root: dict[int, int] = root) -> int:
@@ -302,6 +365,34 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch,
     return out
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Buckets of several components: their sizes, and their largest component with its rows."""
+    shares = rows.groupBy("key", "label").agg(F.count("*").alias("n_label"))
+    whole = shares.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n_label").alias("size"), F.max(F.struct("n_label", "label")).alias("top"))
+    return whole.where("kinds > 1").select("key", "size", F.col("top.n_label").alias("n_top"), F.col("top.label").alias("top"))
+
+
+def _cells(rows: DataFrame, tile: int) -> DataFrame:
+    """Units of two tiles: the largest component's rows meet only the other rows; those meet each other too.
+
+    What fits into two tiles is one unit.
+    """
+    unit = rows.withColumns({
+        "is_top": F.col("label") == F.col("top"),
+        "top_tiles": F.ceil(F.col("n_top") / tile).cast("int"),
+        "rest_tiles": F.ceil((F.col("size") - F.col("n_top")) / tile).cast("int"),
+    })
+    own = F.pmod(F.xxhash64("cid", "key"), F.when(F.col("is_top"), F.col("top_tiles")).otherwise(F.col("rest_tiles"))).cast("int")
+    unit = unit.withColumn("own", own)
+    cell = "struct<i:int,j:int,side:int>"
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")).cast(cell))
+    rest = F.transform(F.sequence(F.lit(0), F.col("rest_tiles") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") > k).cast("int").alias("side")).cast(cell))
+    to_top = F.transform(F.sequence(F.lit(0), F.col("top_tiles") - 1), lambda k: F.struct((-1 - k).cast("int").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")).cast(cell))
+    from_top = F.transform(F.sequence(F.lit(0), F.col("rest_tiles") - 1), lambda k: F.struct((-1 - F.col("own")).cast("int").alias("i"), k.cast("int").alias("j"), F.lit(0).alias("side")).cast(cell))
+    cells = unit.select("key", "path", "cid", "label", F.explode(F.when(F.col("size") <= 2 * tile, whole).when(F.col("is_top"), from_top).otherwise(F.concat(rest, to_top))).alias("c"))
+    return cells.select("key", "c.i", "c.j", "c.side", "path", "cid", "label")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, tile: int = TILE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept; kept rows are the first of their component."""
     return judged(docs, id_col, text_col, size, percent, miss, tile).select("doc_id", "n_shingles", "component_id", "kept")
@@ -310,7 +401,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, miss: float = MISS, tile: int = TILE) -> DataFrame:
     """``near_duplicates`` with th (the hash of the row's text) and label (one a component, which shared ids are not)."""
     spark = docs.sparkSession
-    scratch, steps, bands = Scratch(spark), least_matches(percent, miss), band_count(percent, miss)
+    scratch, bands = Scratch(spark), band_count(percent, miss)
+    steps = least_matches(percent, miss, hash_count(bands))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.write(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_sign(size, bands), "doc_id long, th long, n long, cid long, sig binary, bands array<long>"), "signed")
     named = signed.where("cid is not null and doc_id is not null")
@@ -325,31 +417,33 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     first = _links(tiled.mapInArrow(_within_tiles(steps, percent), "a long, b long"), reps, docs, scratch, "one", size, percent)
     labels = components(first, scratch, "cc1")
 
-    labelled = scratch.write(members.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("key", "band", "cid", F.coalesce("label", "cid").alias("label")), "labelled")
-    shares = labelled.groupBy("key", "label").agg(F.count("*").alias("n_label"))
-    mixed = scratch.write(
-        shares.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n_label").alias("size"), F.max(F.struct("n_label", "label")).alias("top")).where("kinds > 1 and size > 2").select("key", "size", F.col("top.n_label").alias("n_top"), F.col("top.label").alias("top")),
-        "mixed",
-    )
-    # In a bucket of two the first round has seen the only pair.
-    # The largest component's rows meet only the other rows; those meet each other too.
-    unit = labelled.join(mixed, "key").withColumns({
-        "is_top": F.col("label") == F.col("top"),
-        "top_tiles": F.ceil(F.col("n_top") / tile).cast("int"),
-        "rest_tiles": F.ceil((F.col("size") - F.col("n_top")) / tile).cast("int"),
-    })
-    own = F.pmod(F.xxhash64("cid", "key"), F.when(F.col("is_top"), F.col("top_tiles")).otherwise(F.col("rest_tiles"))).cast("int")
-    unit = unit.withColumn("own", own)
-    cell = "struct<i:int,j:int,side:int>"
-    rest = F.transform(F.sequence(F.lit(0), F.col("rest_tiles") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") > k).cast("int").alias("side")).cast(cell))
-    to_top = F.transform(F.sequence(F.lit(0), F.col("top_tiles") - 1), lambda k: F.struct((-1 - k).cast("int").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")).cast(cell))
-    from_top = F.transform(F.sequence(F.lit(0), F.col("rest_tiles") - 1), lambda k: F.struct((-1 - F.col("own")).cast("int").alias("i"), k.cast("int").alias("j"), F.lit(0).alias("side")).cast(cell))
-    cells = unit.select("key", "band", "cid", "label", F.explode(F.when(F.col("is_top"), from_top).otherwise(F.concat(rest, to_top))).alias("c"))
-    cells = scratch.write(cells.select("key", "band", "cid", "label", "c.i", "c.j", "c.side"), "cells")
-    full = sigs.join(_sets_of(cells.select("cid"), reps, docs, scratch, "two", size), "cid")
-    units = cells.join(scratch.write(full, "full"), "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = scratch.write(units.mapInArrow(_across(steps, percent, bands), "a long, b long"), "two_links")
-    scratch.drop("two_sets", "full", "cells")
+    labelled = members.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("key", "band", "cid", F.coalesce("label", "cid").alias("label"))
+    labelled = scratch.write(labelled, "labelled")
+    mixed = scratch.write(_mixed(labelled).where("size > 2"), "mixed")  # in a bucket of two the first round has seen the only pair
+    live = scratch.write(labelled.join(mixed, "key"), "live")
+    rows, cells, depth = live.withColumn("path", (F.col("band") + 1).cast("long")), None, 1
+    others = live.select("cid", F.col("band").alias("next"), F.col("key").alias("second"))
+    while True:
+        # Where many rows stand outside the largest component, another shared band deals them out again.
+        wide = (F.col("size") - F.col("n_top") > tile // SPLIT) if depth < DEPTH else F.lit(False)
+        some = _cells(rows.where(~wide), tile)
+        cells = some if cells is None else cells.union(some)
+        if depth == DEPTH or rows.where(wide).isEmpty():
+            break
+        again = rows.where(wide).select("key", "path", "band", "cid", "label").join(others, "cid").where("next > band")
+        again = again.select(F.xxhash64("key", "second").alias("key"), (F.col("path") + (F.col("next") + 1) * F.lit(_PLACE**depth)).alias("path"), F.col("next").alias("band"), "cid", "label")
+        dealt = scratch.write(again, f"dealt{depth}")
+        rows, depth = scratch.write(dealt.join(_mixed(dealt), "key"), f"rows{depth}"), depth + 1
+    cells = scratch.write(cells, "cells")
+    signatures = reps.select("cid", "n", "sig", "bands")
+    units = cells.join(signatures, "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    kinds = {"key": "long", "path": "long", "cid": "long", "label": "long"}
+    likely = scratch.write(units.mapInArrow(_possible(steps, percent), ", ".join(f"{c} {kinds.get(c, 'int')}" for c in _UNIT)), "likely")
+    scratch.drop("cells", "live", *[f"{t}{k}" for t in ("dealt", "rows") for k in range(1, DEPTH)])
+    full = signatures.join(_sets_of(likely.select("cid"), reps, docs, scratch, "two", size), "cid")
+    units = likely.join(full, "cid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    second = scratch.write(units.mapInArrow(_across(steps, percent), "a long, b long"), "two_links")
+    scratch.drop("two_sets", "likely")
     labels = components(first.union(second), scratch, "cc2")
 
     classes = reps.select("cid", "rep").join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))

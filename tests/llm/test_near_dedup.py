@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -102,3 +103,34 @@ def test_posterior_limits():
         lost += any(same[k - 1] < m for k, m in steps)
     assert lost == 0
 
+
+
+def test_units_grow_with_the_rows(spark, monkeypatch):
+    """Documents that share a long passage and are no links: four times the rows make less than six times the units' rows."""
+    rows: dict[str, int] = {}
+
+    class Counting(near_dedup.Scratch):
+        def write(self, df, tag):
+            out = super().write(df, tag)
+            rows[tag] = out.count()
+            return out
+
+    monkeypatch.setattr(near_dedup, "Scratch", Counting)
+    made = {}
+    for n in (1000, 4000):
+        rng = random.Random(3)
+        passage = prose(rng, 100, 100_000)
+        texts = [prose(rng, 30, 100_000) + " " + passage + " " + prose(rng, 30, 100_000) for _ in range(n)]
+        rows.clear()
+        found = near_dedup.near_duplicates(docs(spark, texts), size=3, percent=85)
+        assert found.where("not kept").isEmpty()
+        made[n] = rows["cells"] + sum(c for t, c in rows.items() if t.startswith("dealt")) + rows["likely"]
+    assert made[4000] <= 1.5 * 4 * made[1000]
+
+
+def test_shared_bands_are_enough():
+    """A pair at the threshold shares fewer bands than it may be dealt by with the chosen probability at most."""
+    for percent in (80, 85, 95):
+        b, p = near_dedup.band_count(percent), (percent / 100) ** near_dedup.ROWS
+        few = sum(math.comb(b, k) * p**k * (1 - p) ** (b - k) for k in range(near_dedup.DEPTH))
+        assert few <= near_dedup.MISS and near_dedup.hash_count(b) >= b * near_dedup.ROWS
