@@ -28,7 +28,7 @@ def _vector(spark: SparkSession, value: float | str, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("i"), F.lit(float(value)).alias("v"))
 
 
-def run(spark: SparkSession, config: dict[str, Any], matrix: Matrix, tiles: int = 1) -> dict[str, Any]:
+def run(spark: SparkSession, config: dict[str, Any], matrix: Matrix, tiles: int | None = None) -> dict[str, Any]:
     """Solve, or one product; returns seconds, and a solver's stats."""
     n, kind = matrix.n_rows, config.get("benchmark")
     matrix = matrix.materialize()
@@ -48,7 +48,7 @@ def run(spark: SparkSession, config: dict[str, Any], matrix: Matrix, tiles: int
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sparktile")
     parser.add_argument("-c", "--config", required=True)
-    parser.add_argument("-t", "--tiles", type=int, default=1)
+    parser.add_argument("-t", "--tiles", type=int, help="as many as the system asks for, if not given")
     parser.add_argument("-d", "--explain", action="store_true", help="print the plan of one product")
     source = parser.add_mutually_exclusive_group(required=True)
     source.add_argument("-m", "--matrix")

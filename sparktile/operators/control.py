@@ -35,11 +35,9 @@ def _settled(state: State) -> State:
     return {k: v.materialize() if isinstance(v, Expression) else v for k, v in state.items()}
 
 
-def while_(condition: Callable[[State], object], body: Callable[[State], State], state: State, most: int = 1_000_000) -> State:
+def while_(condition: Callable[[State], object], body: Callable[[State], State], state: State) -> State:
     """Repeat while the condition holds; each turn's tensors are written, so plans do not grow."""
-    for _ in range(most):
-        if not truth(condition(state)):
-            break
+    while truth(condition(state)):
         new = _settled(body(state))
         dropped(*(v.df for k, v in state.items() if isinstance(v, Tensor) and new.get(k) is not v and not any(v is x for x in new.values())))
         state = new
@@ -48,7 +46,7 @@ def while_(condition: Callable[[State], object], body: Callable[[State], State],
 
 def repeat(times: int, body: Callable[[State], State], state: State) -> State:
     turns = iter(range(times))
-    return while_(lambda _: next(turns, None) is not None, body, state, times + 1)
+    return while_(lambda _: next(turns, None) is not None, body, state)
 
 
 def timed(body: Callable[[], Any]) -> tuple[Any, int]:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import elementwise as ew
 from ..shape import Dims, DistributedShape, strides
 from ..types import BOOL, DType, convert, from_value, infer_binary, infer_clamp, infer_select, infer_unary
+from .placement import tile_of
 
 if TYPE_CHECKING:
     from .tensor import Tensor
@@ -385,7 +386,7 @@ def _joined(e: Expression) -> tuple[DataFrame, dict[int, tuple[Column, bool]]]:
         frame = SparkSession.getActiveSession().range(1).select(F.col("id").alias("i"), F.lit(0).alias("tile"))
     have = max([1, *(t.shape.dims[0] for t in full)])
     if n > have:  # only one-row operands, spread over all rows
-        spread = frame.sparkSession.range(n).select(F.col("id").alias("i"), _tile_of(F.col("id"), e.shape).alias("tile"))
+        spread = frame.sparkSession.range(n).select(F.col("id").alias("i"), tile_of(F.col("id"), e.shape).alias("tile"))
         frame = spread.crossJoin(F.broadcast(frame.drop("i", "tile")))
     return frame, cols
 
@@ -394,15 +395,6 @@ def _as_row(t: Tensor, e: Expression) -> bool:
     return t.shape.rank < e.shape.rank
 
 
-def _tile_of(i: Column, shape: DistributedShape) -> Column:
-    """The tile of a row, from the ranges of the distribution."""
-    out, at = F.lit(shape.rows.max_key()), shape.dims[0]
-    for tile, n in reversed(list(shape.rows.items())):
-        at -= n
-        out = F.when(i >= at + n, out).otherwise(F.lit(tile))
-    return out
-
-
 for _op in ew.UNARY:
     setattr(Expression, _op, lambda self, _op=_op: Unary(_op, self))
 for _op in ew.BINARY:

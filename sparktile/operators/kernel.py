@@ -1,8 +1,8 @@
 """User kernels: a function over each tile's rows of several tensors.
 
 ``In`` columns are read, ``Out`` columns are returned, ``InOut`` both, ``Member``
-values go along as they are. A tensor of one row is broadcast to every tile. A
-function that takes ``tile`` (or ``worker``, if threaded) is told where it runs.
+values go along as they are. A tensor of one row is broadcast to every tile, and so is
+one of lower rank, whose values stand as one array beside every row. A function that takes ``tile`` (or ``worker``, if threaded) is told where it runs.
 """
 
 from __future__ import annotations
@@ -42,15 +42,24 @@ class Member:
 Binding = In | Out | InOut | Member
 
 
+def _rows(bindings: dict[str, Binding]) -> tuple[int, int]:
+    """The rank and the rows of the tensors that a kernel runs over."""
+    return max((b.tensor.shape.rank, b.tensor.shape.dims[0]) for b in bindings.values() if isinstance(b, (In, InOut)))
+
+
 def _frame(bindings: dict[str, Binding]) -> DataFrame:
     frame, single = None, []
-    for name, b in bindings.items():
-        if not isinstance(b, (In, InOut)):
-            continue
-        t = b.tensor
+    tensors = {name: b.tensor for name, b in bindings.items() if isinstance(b, (In, InOut))}
+    n = _rows(bindings)[1] if tensors else 1
+    for name, t in tensors.items():
         if t.shape.dims[0] == 1:
             single.append(t.df.select(F.col("v").alias(name)))
             continue
+        if t.shape.dims[0] != n:
+            if isinstance(bindings[name], InOut):
+                raise ValueError(f"{name} of {t.shape} has other rows than the kernel")
+            single.append(t.as_row().select(F.col("v").alias(name)))
+            continue
         part = t.df.select("i", "tile", F.col("v").alias(name))
         frame = part if frame is None else frame.join(part.drop("tile"), "i")
     if frame is None:
@@ -80,7 +89,8 @@ def _run(fn: Callable, bindings: dict[str, Binding], keys: list[str], frame: Dat
 
 
 def _results(df: DataFrame, bindings: dict[str, Binding]) -> dict[str, Tensor]:
-    shape = next(b.tensor.shape for b in bindings.values() if isinstance(b, (In, InOut)) and b.tensor.shape.dims[0] > 1)
+    n = _rows(bindings)[1]
+    shape = next(b.tensor.shape for b in bindings.values() if isinstance(b, (In, InOut)) and b.tensor.shape.dims[0] == n)
     out = {}
     for n, b in bindings.items():
         if isinstance(b, (Out, InOut)):

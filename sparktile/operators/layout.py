@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .levels import levels_of
 from .sparse import Matrix
 
 INTERIOR, SEPARATOR, HALO = 0, 1, 2
@@ -109,28 +110,14 @@ def local_addressing(matrix: Matrix, layout: DataFrame) -> DataFrame:
     return matrix.df.join(own, "row").join(seen, ["tile", "col"]).select("tile", "local_row", "local_col", "val")
 
 
-def _levels_of(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
-    """Level of each of n local rows: one more than the highest level among the rows before it that it refers to."""
-    level = np.zeros(n, np.int64)
-    lower = cols < rows
-    rows, cols = rows[lower], cols[lower]
-    order = np.argsort(rows, kind="stable")
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, np.arange(n + 1))
-    for r in range(n):
-        a, b = starts[r], starts[r + 1]
-        if b > a:
-            level[r] = level[cols[a:b]].max() + 1
-    return level
-
-
 def row_levels(matrix: Matrix, partition: DataFrame) -> DataFrame:
     """(tile, row, level) of the lower triangle inside each tile; references to other tiles do not count."""
     inside = edge_tiles(matrix, partition).where("row_tile = col_tile").select(F.col("row_tile").alias("tile"), "row", "col")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["row"], pdf["col"]]))
-        level = _levels_of(np.searchsorted(ids, pdf["row"]), np.searchsorted(ids, pdf["col"]), len(ids))
+        rows, cols = np.searchsorted(ids, pdf["row"]), np.searchsorted(ids, pdf["col"])
+        level = levels_of(rows[cols < rows], cols[cols < rows], len(ids))
         return pd.DataFrame({"tile": pdf["tile"].iloc[0], "row": ids, "level": level})
 
     found = inside.groupBy("tile").applyInPandas(run, "tile int, row long, level long")

@@ -11,7 +11,7 @@ from ..session import written
 from ..shape import DistributedShape
 from ..sources import matrix_market, poisson
 from ..types import FLOAT64, DType, parse_type
-from .expression import _tile_of
+from .placement import tile_of
 from .tensor import Tensor
 
 #: A vector of up to so many entries of 16 bytes may be broadcast; longer ones are shuffled.
@@ -28,6 +28,7 @@ class Matrix:
     n_cols: int
     dtype: DType = FLOAT64
     name: str = ""
+    entries: DataFrame | None = None  # as they came, duplicates apart: a product is linear and needs no sums before it
 
     @property
     def spark(self) -> SparkSession:
@@ -37,13 +38,13 @@ class Matrix:
     def from_coo(cls, df: DataFrame, row: str | Column = "row", col: str | Column = "col", val: str | Column = "val", n_rows: int | None = None, n_cols: int | None = None, dtype: DType = FLOAT64, unique: bool = False, name: str = "") -> Matrix:
         """Entries of one place are added; ``unique`` says that there are none."""
         row, col, val = (F.col(x) if isinstance(x, str) else x for x in (row, col, val))
-        df = df.select(row.cast("bigint").alias("row"), col.cast("bigint").alias("col"), val.cast(dtype.spark).alias("val"))
+        df = entries = df.select(row.cast("bigint").alias("row"), col.cast("bigint").alias("col"), val.cast(dtype.spark).alias("val"))
         if not unique:
             df = df.groupBy("row", "col").agg(F.sum("val").cast(dtype.spark).alias("val"))
         if n_rows is None or n_cols is None:
             ends = df.agg((F.max("row") + 1).alias("r"), (F.max("col") + 1).alias("c")).first()
             n_rows, n_cols = n_rows or ends.r or 1, n_cols or ends.c or 1
-        return cls(df, n_rows, n_cols, dtype, name)
+        return cls(df, n_rows, n_cols, dtype, name, entries if dtype == FLOAT64 and not unique else None)
 
     @classmethod
     def from_matrix_market(cls, spark: SparkSession, path: str, dtype: DType | str = FLOAT64, name: str = "") -> Matrix:
@@ -104,7 +105,7 @@ class Matrix:
         kind = (intermediate or self.dtype).spark
         x = x.select(F.col("i").alias("col"), F.col("v").alias("x"))
         side = F.broadcast(x) if self.n_cols <= BROADCAST_ROWS else x
-        terms = self.df.join(side, "col").select(F.col("row").alias("i"), (F.col("val").cast(kind) * F.col("x").cast(kind)).cast("double").alias("v"))
+        terms = (self.df if self.entries is None else self.entries).join(side, "col").select(F.col("row").alias("i"), (F.col("val").cast(kind) * F.col("x").cast(kind)).cast("double").alias("v"))
         zeros = self.spark.range(self.n_rows).select(F.col("id").alias("i"), F.lit(0.0).alias("v"))
         return terms.unionAll(zeros).groupBy("i").agg(F.sum("v").alias("v"))
 
@@ -114,7 +115,7 @@ class Matrix:
         dest = dest or x.dtype
         shape = DistributedShape((self.n_rows,), x.shape.rows) if self.n_rows == x.shape.dims[0] else DistributedShape((self.n_rows,))
         y = self.products(x.df.select("i", "v"), intermediate)
-        return Tensor(y.select("i", _tile_of(F.col("i"), shape).alias("tile"), F.col("v").cast(dest.spark).alias("v")), shape, dest)
+        return Tensor(y.select("i", tile_of(F.col("i"), shape).alias("tile"), F.col("v").cast(dest.spark).alias("v")), shape, dest)
 
     def __matmul__(self, x: Tensor) -> Tensor:
         return self.spmv(x)

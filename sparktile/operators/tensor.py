@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from math import prod
-from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,15 +13,12 @@ from ..session import written
 from ..shape import Dims, DistributedShape, compatible
 from ..types import BOOL, FLOAT32, DType, convert, from_spark, from_value, parse_type, smallest_uint
 from ..types import wrap as wrap_int
-from .expression import Leaf, _tile_of, compiled, wrap
-
-if TYPE_CHECKING:
-    from collections.abc import Callable
+from .expression import Leaf, compiled, wrap
+from .placement import of_tile, tile_of
 
 REDUCTIONS = ("add", "mul", "square_add", "logical_and", "logical_or", "min", "max")
 NORMS = ("L1", "L2", "LINF")
 WORKERS = 6
-AS_ROW = 100_000  # elements of a lower-rank operand that may stand beside every row
 
 
 def parse_norm(name: str) -> str:
@@ -71,7 +67,7 @@ class Tensor(Leaf):
         rows = values.reshape(shape.dims[0], -1).tolist()
         kind = dtype.spark if shape.rank == 1 else f"array<{dtype.spark}>"
         df = spark.createDataFrame([(k, r[0] if shape.rank == 1 else r) for k, r in enumerate(rows)], f"i bigint, v {kind}")
-        return cls(df.select("i", _tile_of(F.col("i"), shape).alias("tile"), "v"), shape, dtype, name)
+        return cls(df.select("i", tile_of(F.col("i"), shape).alias("tile"), "v"), shape, dtype, name)
 
     @classmethod
     def with_initial_value(cls, spark: SparkSession, value: object, shape: DistributedShape, dtype: DType | None = None) -> Tensor:
@@ -83,7 +79,7 @@ class Tensor(Leaf):
         one = F.lit(value).cast(dtype.spark)
         v = one if shape.rank == 1 else F.array_repeat(one, shape.row_size)
         i = F.col("id")
-        return cls(spark.range(shape.dims[0]).select(i.alias("i"), _tile_of(i, shape).alias("tile"), v.alias("v")), shape, dtype)
+        return cls(spark.range(shape.dims[0]).select(i.alias("i"), tile_of(i, shape).alias("tile"), v.alias("v")), shape, dtype)
 
     @classmethod
     def uninitialised(cls, spark: SparkSession, shape: DistributedShape, dtype: DType = FLOAT32, mapping: dict | None = None) -> Tensor:
@@ -96,7 +92,7 @@ class Tensor(Leaf):
     def iota(cls, spark: SparkSession, shape: DistributedShape, dtype: DType = FLOAT32) -> Tensor:
         i, width = F.col("id"), shape.row_size
         v = i.cast(dtype.spark) if shape.rank == 1 else F.transform(F.sequence(i * width, i * width + width - 1), lambda x: x.cast(dtype.spark))
-        return cls(spark.range(shape.dims[0]).select(i.alias("i"), _tile_of(i, shape).alias("tile"), v.alias("v")), shape, dtype)
+        return cls(spark.range(shape.dims[0]).select(i.alias("i"), tile_of(i, shape).alias("tile"), v.alias("v")), shape, dtype)
 
     def field(self, name: str, dtype: DType) -> Tensor:
         """A tensor that is one field of this one's struct values; fields of one frame need no join."""
@@ -127,7 +123,7 @@ class Tensor(Leaf):
     def rearrange(self, shape: DistributedShape) -> Tensor:
         if shape.dims != self.shape.dims:
             raise ValueError(f"{self.shape} cannot be rearranged as {shape}")
-        return Tensor(self.df.withColumn("tile", _tile_of(F.col("i"), shape)), shape, self.dtype, self.name)
+        return Tensor(self.df.withColumn("tile", tile_of(F.col("i"), shape)), shape, self.dtype, self.name)
 
     def slice_tile(self, tile: int) -> Tensor:
         """The rows of one tile; a tensor of one row stays whole."""
@@ -142,9 +138,10 @@ class Tensor(Leaf):
         return Tensor(rows, DistributedShape.on_tiles((sum(inside.values()), *self.shape.dims[1:]), inside), self.dtype, self.name)
 
     def as_row(self) -> DataFrame:
-        """All elements as one array in one row, for a lower rank beside a higher one; its size is checked."""
-        if self.shape.elements > AS_ROW:
-            raise ValueError(f"{self.shape} is too large to stand beside every row")
+        """All elements as one array in one row, for a lower rank beside a higher one.
+
+        It stands for trailing dimensions, so it is as wide as any row of the result, which hold that many elements too.
+        """
         parts = F.array_sort(F.collect_list(F.struct("i", "v")))
         values = F.transform(parts, lambda p: p["v"])
         return self.df.agg((F.flatten(values) if self.is_array else values).alias("v"))
@@ -175,7 +172,7 @@ class Tensor(Leaf):
             raise ValueError(f"no dimension {dim} in {self.shape}")
         if dim > 0:
             return self._reduce_trailing(dim, op)
-        return self._grouped([F.lit(0).cast("bigint").alias("i")], DistributedShape((1, *self.shape.dims[1:])), op, lambda i: F.lit(0))
+        return self._grouped([F.lit(0).cast("bigint").alias("i")], DistributedShape((1, *self.shape.dims[1:])), op)
 
     def reduce_per_tile(self, dim: int = 0, op: str = "add") -> Tensor:
         if dim > 0:
@@ -187,28 +184,21 @@ class Tensor(Leaf):
         group = (F.col("tile") - F.col("tile") % size).cast("int")
         rows = self.shape.group(size).rows
         shape = DistributedShape.on_tiles((len(rows), *self.shape.dims[1:]), {t: 1 for t in rows})
-        place = {t: k for k, t in enumerate(rows)}
-        return self._grouped([group.alias("tile")], shape, op, None, place)
+        return self._grouped([group.alias("tile")], shape, op)
 
     def reduce_per_worker(self, op: str = "add") -> Tensor:
         """Six partial rows a tile: aligned chunks of the tile's rows, the last worker takes the rest."""
-        begin, starts = 0, []
-        for t, n in self.shape.rows.items():
-            starts.append((t, begin, n))
-            begin += n
-        at, n = F.lit(0), F.lit(1)
-        for t, b, m in starts:
-            at, n = F.when(F.col("tile") == t, F.lit(b)).otherwise(at), F.when(F.col("tile") == t, F.lit(m)).otherwise(n)
-        chunk = F.floor(F.floor(n / WORKERS) / 4) * 4
-        local = F.col("i") - at
+        here = of_tile(F.col("tile"), self.shape)
+        chunk = F.floor(F.floor(here.rows / WORKERS) / 4) * 4
+        local = F.col("i") - here.begin
         worker = F.when(chunk == 0, F.lit(WORKERS - 1)).otherwise(F.least(F.floor(local / F.greatest(chunk, F.lit(1))), F.lit(WORKERS - 1))).cast("int")
         tiles = self.shape.rows.keys()
         shape = DistributedShape.on_tiles((WORKERS * len(tiles), *self.shape.dims[1:]), {t: WORKERS for t in tiles})
-        part = self._grouped([F.col("tile"), worker.alias("worker")], shape, op, None, {t: k for k, t in enumerate(tiles)})
+        part = self._grouped([F.col("tile"), worker.alias("worker")], shape, op)
         neutral = self._neutral(op, part.dtype)
         if self.is_array:
             neutral = F.array_repeat(neutral, self.shape.row_size)
-        every = self.spark.range(shape.dims[0]).select(F.col("id").alias("i"), _tile_of(F.col("id"), shape).alias("tile"))
+        every = self.spark.range(shape.dims[0]).select(F.col("id").alias("i"), tile_of(F.col("id"), shape).alias("tile"))
         part.df = every.join(part.df.drop("tile"), "i", "left").select("i", "tile", F.coalesce("v", neutral).alias("v"))
         return part
 
@@ -246,7 +236,8 @@ class Tensor(Leaf):
     def _reduced_type(self, op: str) -> DType:
         return BOOL if op in ("logical_and", "logical_or") else self.dtype
 
-    def _grouped(self, keys: list[Column], shape: DistributedShape, op: str, tile: Callable | None, place: dict[int, int] | None = None) -> Tensor:
+    def _grouped(self, keys: list[Column], shape: DistributedShape, op: str) -> Tensor:
+        """One row for each of the keys: i alone, or tile with or without worker, whose places give i."""
         width = self.shape.row_size
         if not self.is_array:
             out = self.df.groupBy(*keys).agg(self._aggregate(F.col("v"), op).alias("v"))
@@ -254,16 +245,12 @@ class Tensor(Leaf):
             each = [self._aggregate(F.get("v", F.lit(k)), op).alias(f"e{k}") for k in range(width)]
             out = self.df.groupBy(*keys).agg(*each)
             out = out.withColumn("v", F.array(*[f"e{k}" for k in range(width)])).drop(*[f"e{k}" for k in range(width)])
-        if place is not None:
-            nth = F.lit(None).cast("bigint")
-            for t, k in place.items():
-                nth = F.when(F.col("tile") == t, F.lit(k).cast("bigint")).otherwise(nth)
-            if "worker" in out.columns:
-                out = out.withColumn("i", nth * WORKERS + F.col("worker")).drop("worker")
-            else:
-                out = out.withColumn("i", nth)
-        if tile is not None:
-            out = out.withColumn("tile", tile(F.col("i")).cast("int"))
+        if "tile" not in out.columns:
+            out = out.withColumn("tile", F.lit(0))
+        elif "worker" in out.columns:
+            out = out.withColumn("i", of_tile(F.col("tile"), shape).place * WORKERS + F.col("worker"))
+        else:
+            out = out.withColumn("i", of_tile(F.col("tile"), shape).place)
         return Tensor(out.select("i", "tile", "v"), shape, self._reduced_type(op), self.name)
 
     def _reduce_trailing(self, dim: int, op: str) -> Tensor:

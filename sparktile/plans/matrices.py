@@ -211,10 +211,61 @@ def _solve_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(x)
 
 
+#: Solvers over four tiles of a system of the orders' size, distributed.
+TILE_SOLVERS = {
+    "bicgstab": {"type": "PBiCGStab", "relResidual": 1e-7, "maxIterations": 50, "preconditioner": _ILU},
+    "gauss_seidel": {"type": "GaussSeidel", "relResidual": 1e-7, "maxIterations": 50},
+    "refinement": {"type": "IterativeRefinement", "relResidual": 1e-7, "maxIterations": 20, "extendedPrecisionType": "float64", "innerSolver": {"type": "PBiCGStab", "workingType": "float32", "relResidual": 1e-3, "maxIterations": 10}},
+    "dilu": {"type": "IterativeRefinement", "relResidual": 1e-7, "maxIterations": 50, "innerSolver": {"type": "ILU", "diagonalBased": True}},
+    "restarter": {"type": "restarter", "maxRestarts": 10, "innerSolver": {"type": "PBiCGStab", "relResidual": 1e-3, "maxIterations": 3, "preconditioner": _ILU}},
+}
+
+
+def _order_system(spark: SparkSession, sf_dir: str) -> tuple[Matrix, DataFrame]:
+    """Each order is coupled to its neighbours and to one that its customer picks; x is o_custkey % 7 + 1."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("row"), F.col("o_custkey").cast("bigint").alias("c"))
+    n = orders.count()
+    entry = lambda col, val: F.struct(col.cast("bigint").alias("col"), F.lit(val).alias("val"))
+    k = F.col("row")
+    entries = F.array(entry(k, 16.0), entry((k + 1) % n, -1.0), entry((k + n - 1) % n, -2.0), entry((k * 7 + F.col("c")) % n, -1.0))
+    a = Matrix.from_coo(orders.select("row", F.explode(entries).alias("e")), "row", "e.col", "e.val", n, n).materialize()
+    return a, orders.select(F.col("row").alias("i"), (F.col("c") % 7 + 1).cast("double").alias("v"))
+
+
+def _solve_order_tiles(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, x = _order_system(spark, sf_dir)
+    found, _ = solve(a, a.products(x), from_json(TILE_SOLVERS[name]), tiles=4, where="distributed")
+    return _rounded(found, 2)
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _box(spark).materialize()
-    _, stats = solve(a, a.spmv(_ones(spark)), from_json(SOLVERS["bicgstab_ilu"]))
-    return stats.to_dataframe(spark)
+    """Residuals of Gauss-Seidel on a bidiagonal matrix of the parts' size, which are known in closed form."""
+    n = table(spark, sf_dir, "part").count()
+    row = F.col("id")
+    entries = spark.range(n).select(row, row, F.lit(4.0)).union(spark.range(n - 1).select(row, row + 1, F.lit(1.0))).toDF("row", "col", "val")
+    a = Matrix.from_coo(entries, n_rows=n, n_cols=n, unique=True).materialize()
+    _, stats = solve(a, a.spmv(_ones(spark, n)), from_json({"type": "GaussSeidel", "maxIterations": 8}))
+    return stats.to_dataframe(spark).select("iteration", F.round("residual", 6).alias("residual"))
+
+
+def _vector_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by tile of a vector over a layout, with and without the halo."""
+    a = _box(spark)
+    found = layout.tile_layout(a, layout.partition_rows(a, 4))
+    own, every = layout.vector_shape(found), layout.vector_shape(found, True)
+    return spark.createDataFrame([(t, own[t], every[t]) for t in sorted(every)], "tile int, own long, every long")
+
+
+def _recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether level sets pay: on a wide box they do, on a chain they do not."""
+    wide, chain = Matrix.poisson3d(spark, 12, 12, 12), Matrix.poisson3d(spark, 100, 1, 1)
+    told = [(name, layout.recommend_multicolor(layout.row_levels(a, layout.partition_rows(a, 1)))) for name, a in (("box", wide), ("chain", chain))]
+    return spark.createDataFrame(told, "name string, multicolor boolean")
+
+
+def _million(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row sums of a Poisson box of a million rows."""
+    return _rounded(Matrix.poisson3d(spark, 100, 100, 100).spmv(_ones(spark, 1_000_000)))
 
 
 QUERIES = {
@@ -244,7 +295,10 @@ QUERIES = {
     "solve_tiles": _solve_tiles,
     "solve_nations": _solve_graph,
     "solver_stats": _stats,
-} | {f"solve_{k}": partial(_solve, k) for k in SOLVERS}
+    "vector_shape": _vector_shape,
+    "recommend_multicolor": _recommend,
+    "poisson_million": _million,
+} | {f"solve_tiles_{k}": partial(_solve_order_tiles, k) for k in TILE_SOLVERS} | {f"solve_{k}": partial(_solve, k) for k in SOLVERS}
 
 _CP = "SELECT o_custkey AS row, l_partkey AS col, sum(l_quantity) AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"
 _W = f"""{_POISSON}, w AS (SELECT row, count(*) + 1 AS w FROM a GROUP BY row),
@@ -285,4 +339,8 @@ ORACLE = {
     "color_addressing": f"{_POISSON}, c AS (SELECT x + y + z AS level, count(*) AS n FROM p GROUP BY ALL) SELECT 0::INTEGER AS tile, level, (sum(n) OVER (ORDER BY level) - n)::BIGINT AS start, n FROM c",
     "solve_tiles": _ALL_ONE.format(64),
     "solve_nations": _ALL_ONE.format(25),
-} | {f"solve_{k}": _ALL_ONE.format(_N) for k in SOLVERS}
+    "solver_stats": "SELECT range::INTEGER AS iteration, round(pow(0.25, range) * sqrt(25 * ((SELECT count(*) FROM part) - range - 1) + 16), 6) AS residual FROM range(9)",
+    "vector_shape": f"{_LAYOUT} SELECT tile, count(*) FILTER (WHERE kind < 2) AS own, count(*) AS every FROM numbered GROUP BY tile",
+    "recommend_multicolor": "SELECT * FROM (VALUES ('box', true), ('chain', false)) AS t(name, multicolor)",
+    "poisson_million": "SELECT range AS i, round(6.0::DOUBLE - (range % 100 > 0)::INTEGER - (range % 100 < 99)::INTEGER - (range // 100 % 100 > 0)::INTEGER - (range // 100 % 100 < 99)::INTEGER - (range // 10000 > 0)::INTEGER - (range // 10000 < 99)::INTEGER, 3) AS v FROM range(1000000)",
+} | {f"solve_tiles_{k}": "SELECT o_orderkey AS i, (o_custkey % 7 + 1)::DOUBLE AS v FROM orders" for k in TILE_SOLVERS} | {f"solve_{k}": _ALL_ONE.format(_N) for k in SOLVERS}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 from ..operators import control, kernel
 from ..operators.expression import Constant
 from ..operators.tensor import REDUCTIONS, Tensor
+from ..session import shared_dir
 from ..shape import DistributedShape
 from ..sources.host import HostTensor, RemoteTensor, format_tensor
+from ..streaming.streams import spmv_stream
 from ..types import FLOAT32, FLOAT64, INT32, INT64
-from .tables import embeddings, part_vector
+from .tables import embeddings, part_vector, supplier_part, table
 
 TILES = 4
+DEVICE = 1472  # tiles of a device
 _N = "(SELECT count(*) FROM part)"
 #: The tile of row i of n over four tiles: equal parts, the rest on the last.
 _TILE = f"least(p_partkey // greatest({_N} // {TILES}, 1), {TILES - 1})"
@@ -85,6 +89,47 @@ def _reduce_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _size(spark, sf_dir).reduce_grouped(2, "add").df.select("tile", "v")
 
 
+# Orders' prices over a device's tiles, and over four devices'; the distribution is regular, or a table of its own.
+def _orders(spark: SparkSession, sf_dir: str, tiles: int) -> Tensor:
+    orders = table(spark, sf_dir, "orders")
+    return Tensor.from_dataframe(orders, F.col("o_custkey").cast("bigint"), F.col("o_orderkey"), (orders.count(),), tiles, INT64)
+
+
+def _reduce_tile_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, DEVICE).reduce_per_tile().df.select("i", "tile", "v")
+
+
+def _reduce_worker_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, DEVICE).reduce_per_worker("max").df.select("i", "tile", "v")
+
+
+def _reduce_group_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, 4 * DEVICE).reduce_grouped(DEVICE).df.select("i", "tile", "v")
+
+
+def _reduce_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile t holds t % 5 + 1 rows of 3 * DEVICE, and the last one the rest: no two neighbours alike."""
+    n = 3 * DEVICE
+    rows = {t: t % 5 + 1 for t in range(DEVICE - 1)}
+    rows[DEVICE - 1] = n + 2 * DEVICE - sum(rows.values())
+    shape = DistributedShape.on_tiles((n + 2 * DEVICE,), rows)
+    return Tensor.iota(spark, shape, INT64).reduce_per_tile().df.select("i", "tile", "v")
+
+
+def _slice_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir, 4 * DEVICE).slice_device(2, DEVICE).df.select("i", "tile", "v")
+
+
+def _stream_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier-part products of a vector that comes in several micro-batches, added up."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    part_vector(spark, sf_dir, F.col("p_size").cast("double"), FLOAT64).df.select("i", "v").repartition(3).write.parquet(f"{base}/in")
+    vectors = spark.readStream.schema("i long, v double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sink = lambda df, epoch: df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+    spmv_stream(supplier_part(spark, sf_dir), vectors, sink, f"{base}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("i").agg(F.round(F.sum("v"), 2).alias("v"))
+
+
 def _reduce_trailing(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(embeddings(spark, sf_dir).reduce(1, kind))
 
@@ -233,6 +278,12 @@ QUERIES = (
     | {
         "reduce_worker": _reduce_worker,
         "reduce_group": _reduce_group,
+        "reduce_tile_1472": _reduce_tile_device,
+        "reduce_worker_1472": _reduce_worker_device,
+        "reduce_group_5888": _reduce_group_devices,
+        "reduce_irregular_1472": _reduce_irregular,
+        "slice_device": _slice_device,
+        "stream_products": _stream_products,
         "reduce_embeddings": _reduce_embeddings,
         "broadcast_row": _broadcast_row,
         "broadcast_col": _broadcast_col,
@@ -272,6 +323,11 @@ def _reduce_sql(kind: str) -> str:
     return f"SELECT {f'round(ln({sql}), 6)' if kind == 'mul' else sql} AS v FROM (SELECT {value} AS x FROM part)"
 
 
+def _orders_sql(tiles: int) -> str:
+    n = "(SELECT count(*) FROM orders)"
+    return f"SELECT least(o_orderkey // greatest({n} // {tiles}, 1), {tiles - 1}) AS tile, o_orderkey AS i, o_custkey AS x FROM orders"
+
+
 _E = "(SELECT vec_id AS i, unnest(embedding)::DOUBLE AS e, unnest(range(64))::INTEGER AS k FROM embeddings)"
 _PART = {"add": "sum(e)", "square_add": "sum(e * e)", "min": "min(e)", "max": "max(e)"}
 _WORKER = f"""
@@ -293,6 +349,21 @@ ORACLE = (
         "norm_linf": "SELECT round(max(abs(p_retailprice - 1500)), 3) AS v FROM part",
         "reduce_worker": _WORKER,
         "reduce_group": f"SELECT (tile - tile % 2)::INTEGER AS tile, sum(x)::BIGINT AS v FROM (SELECT {_TILE} AS tile, p_size AS x FROM part) GROUP BY ALL",
+        "reduce_tile_1472": f"SELECT tile AS i, tile::INTEGER AS tile, sum(x)::BIGINT AS v FROM ({_orders_sql(DEVICE)}) GROUP BY tile",
+        "reduce_worker_1472": f"""
+WITH t AS ({_orders_sql(DEVICE)}), s AS (SELECT tile, min(i) AS first, count(*) AS n FROM t GROUP BY tile),
+w AS (SELECT t.tile, x, CASE WHEN (n // 6) // 4 = 0 THEN 5 ELSE least((i - first) // (((n // 6) // 4) * 4), 5) END AS worker FROM t JOIN s USING (tile)),
+every AS (SELECT tile, unnest(range(6)) AS worker FROM s)
+SELECT (every.tile * 6 + every.worker)::BIGINT AS i, every.tile::INTEGER AS tile, coalesce(max(x), -9223372036854775808)::BIGINT AS v
+FROM every LEFT JOIN w ON w.tile = every.tile AND w.worker = every.worker GROUP BY every.tile, every.worker""",
+        "reduce_group_5888": f"SELECT tile // {DEVICE} AS i, (tile - tile % {DEVICE})::INTEGER AS tile, sum(x)::BIGINT AS v FROM ({_orders_sql(4 * DEVICE)}) GROUP BY ALL",
+        "reduce_irregular_1472": f"""
+WITH t AS (SELECT range AS tile, range % 5 + 1 AS n FROM range({DEVICE - 1})),
+every AS (SELECT tile, n FROM t UNION ALL SELECT {DEVICE - 1}, {5 * DEVICE} - (SELECT sum(n) FROM t)),
+s AS (SELECT tile, n, sum(n) OVER (ORDER BY tile) - n AS first FROM every)
+SELECT tile AS i, tile::INTEGER AS tile, (n * first + n * (n - 1) // 2)::BIGINT AS v FROM s""",
+        "slice_device": f"SELECT i, tile::INTEGER AS tile, x::BIGINT AS v FROM ({_orders_sql(4 * DEVICE)}) WHERE tile // {DEVICE} = 2",
+        "stream_products": "SELECT s_suppkey AS i, round(coalesce(sum(l_extendedprice * p_size), 0), 2) AS v FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL",
         "reduce_embeddings": f"SELECT k, round(sum(e)::FLOAT::DOUBLE, 2) + 0.0::DOUBLE AS v FROM {_E} GROUP BY k",
         "broadcast_row": f"SELECT i, k, round((e::FLOAT + k::FLOAT)::DOUBLE, 4) + 0.0::DOUBLE AS v FROM {_E}",
         "broadcast_col": f"SELECT i, k, round((e::FLOAT * (max(e) OVER (PARTITION BY i))::FLOAT)::DOUBLE, 4) + 0.0::DOUBLE AS v FROM {_E}",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +25,11 @@ def get_session(app: str = "sparktile", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only where none is."""
+    """The folder that driver and executors share; where none is set, one is made for a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tile-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,10 +45,23 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """A table in the shared folder whose rows are dealt to ``n`` buckets by a key: what groups by it later does not move it."""
+    spark = df.sparkSession
+    name = f"tile_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, key).write.option("path", path).bucketBy(n, key).saveAsTable(name)
+    out = spark.table(name)
+    out._tile_path, out._tile_name = path, name
+    return out
+
+
 def dropped(*frames: DataFrame | None) -> None:
-    """Delete tables that ``written`` made."""
+    """Delete tables that ``written`` or ``bucketed`` made."""
     for df in frames:
         path = getattr(df, "_tile_path", None)
+        if name := getattr(df, "_tile_name", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             jvm = df.sparkSession.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

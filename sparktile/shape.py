@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import prod
 
 
@@ -98,6 +98,18 @@ def broadcast_dims(a: Dims, b: Dims) -> Dims | None:
     return tuple(reversed(out))
 
 
+@dataclass(frozen=True)
+class TileRun:
+    """``count`` tiles, ``step`` apart from ``tile`` on, that hold ``each`` rows from ``row`` on; ``place`` is the first one's place among all tiles."""
+
+    row: int
+    tile: int
+    place: int
+    each: int
+    step: int = 1
+    count: int = 1
+
+
 @dataclass(frozen=True, eq=False)
 class DistributedShape:
     """A global shape with the rows of dimension 0 that each tile holds."""
@@ -175,6 +187,19 @@ class DistributedShape:
             at += n
         return out
 
+    def runs(self) -> list[TileRun]:
+        """The distribution in few words: regular ones are one or two runs, whatever the number of tiles."""
+        out: list[TileRun] = []
+        row = 0
+        for place, (tile, n) in enumerate(self.rows.items()):
+            last = out[-1] if out else None
+            if last and last.each == n and (last.count == 1 or tile == last.tile + last.step * last.count):
+                out[-1] = replace(last, step=tile - last.tile if last.count == 1 else last.step, count=last.count + 1)
+            else:
+                out.append(TileRun(row, tile, place, n))
+            row += n
+        return out
+
     def group(self, size: int) -> DistributedShape:
         """Rows of ``size`` neighbouring tiles gathered on the first of them."""
         if size < 1:

@@ -1,13 +1,19 @@
 """Solvers over matrices of any size: loops on the driver, vectors on the executors.
 
-Vectors are frames (i, v). The matrix is written once; each tile's kernel (sweep or
-triangular solve) runs on the tile's rows alone. Scalars of one step come from one
-aggregate; state is written to the shared folder once a step, so plans stay short
-and a lost executor repeats one step.
+Vectors are frames (i, v). The matrix is written once, bucketed by tile, so that no
+step moves it again; each tile's kernel (sweep or triangular solve) runs on the tile's
+rows alone. Scalars of one step come from one aggregate; state is written to the shared
+folder once a step, so plans stay short and a lost executor repeats one step.
+
+A small system of one tile may be solved inside one task instead. Both places read the
+same configuration, compute in the same types, and tell and time their runs alike.
 """
 
 from __future__ import annotations
 
+import json
+from math import ceil
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,15 +22,26 @@ from pyspark.sql import functions as F
 from ..operators.layout import partition_rows
 from ..operators.sparse import Matrix
 from ..operators.tensor import Tensor
-from ..session import dropped, written
+from ..session import bucketed, dropped, written
 from ..shape import DistributedShape
-from ..types import FLOAT64
+from ..types import FLOAT32, FLOAT64, DType
 from .config import GaussSeidelConfig, ILUConfig, IterativeRefinementConfig, PBiCGStabConfig, RestarterConfig, SolverConfig
-from .local import Csr, Ilu, LocalSolver, gauss_seidel_sweep
+from .local import Csr, Ilu, LocalSolver, Sweep
 from .stats import SolverStats
 
-#: Systems of up to so many rows and entries are solved inside one task.
+#: Systems of up to so many rows and entries may be solved inside one task.
 LOCAL_ROWS, LOCAL_ENTRIES = 20_000, 400_000
+#: Rows and entries of a tile, where the number of tiles is not given.
+TILE_ROWS, TILE_ENTRIES = 50_000, 1_000_000
+
+
+def _kind(t: DType | None, default: str) -> str:
+    """What a solver computes in, as a column type: single precision for float32, else double."""
+    return default if t is None else "float" if t.spark == "float" else "double"
+
+
+def _wider(*kinds: str) -> str:
+    return "double" if "double" in kinds else "float"
 
 
 def _norm(x: Column, kind: str) -> Column:
@@ -38,25 +55,33 @@ class System:
     def __init__(self, matrix: Matrix, tiles: int = 1, partition: DataFrame | None = None):
         if matrix.n_rows != matrix.n_cols:
             raise ValueError("a solver needs a square matrix")
-        self.matrix, self.tiles = matrix.materialize(), tiles
+        self.matrix, self.tiles, self.kind = matrix.materialize(), tiles, _kind(matrix.dtype, "double")
         self.partition = written(partition if partition is not None else partition_rows(self.matrix, tiles))
         self._inside: DataFrame | None = None
         self._all: DataFrame | None = None
+        self._made: list[DataFrame] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """A table of this system, which goes with it if not before."""
+        self._made.append(written(df))
+        return self._made[-1]
 
     @property
     def n(self) -> int:
         return self.matrix.n_rows
 
-    def products(self, x: DataFrame) -> DataFrame:
-        return self.matrix.products(x)
+    def products(self, x: DataFrame, kind: str) -> DataFrame:
+        """A x in one type: products are rounded to it, and their sum once more."""
+        return self.matrix.products(x, DType_of[kind]).select("i", F.col("v").cast(kind).alias("v"))
 
-    def residual(self, x: DataFrame, b: DataFrame) -> DataFrame:
-        return b.join(self.products(x).withColumnRenamed("v", "ax"), "i").select("i", (F.col("v") - F.col("ax")).alias("v"))
+    def residual(self, x: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+        return b.join(self.products(x, kind).withColumnRenamed("v", "ax"), "i").select("i", (F.col("v").cast(kind) - F.col("ax")).alias("v"))
 
     def by_tile(self, inside: bool) -> DataFrame:
         """(tile, row, col, val): all entries of a tile's rows, or those between its own rows."""
         if self._all is None:
-            self._all = written(self.matrix.df.join(self.partition, "row").select("tile", "row", "col", "val"))
+            rows = self.matrix.df.join(self.partition, "row").select("tile", "row", "col", F.col("val").cast(self.kind).alias("val"))
+            self._all = bucketed(rows, "tile", self.tiles)
         if not inside:
             return self._all
         if self._inside is None:
@@ -67,30 +92,50 @@ class System:
     def tiled(self, x: DataFrame) -> DataFrame:
         return x.join(self.partition.withColumnRenamed("row", "i"), "i").select("tile", "i", "v")
 
+    def drop(self) -> None:
+        dropped(self.matrix.df, self.partition, self._all, self._inside, *self._made)
+        self._made = []
+
+
+#: Fixed correspondence of column types.
+DType_of = {"float": FLOAT32, "double": FLOAT64}
+
 
 class DistributedSolver:
-    """A solver of any kind over a system."""
+    """A solver of any kind over a system; ``kind`` is the type of the vectors that it is given."""
 
-    def __init__(self, system: System, config: SolverConfig, lines: list[str] | None = None):
-        self.system, self.config, self.lines = system, config, lines if lines is not None else []
+    def __init__(self, system: System, config: SolverConfig, lines: list[str] | None = None, kind: str | None = None):
+        self.system, self.config, self.lines, self.given = system, config, lines if lines is not None else [], kind or system.kind
         self.stats = SolverStats(config.type, getattr(config, "norm", "L2"), system.tiles)
         self.factors: DataFrame | None = None
+        self.kind = self.given if not isinstance(config, IterativeRefinementConfig) else _kind(config.extendedPrecisionType, "double")
+        if isinstance(config, (PBiCGStabConfig, GaussSeidelConfig)):
+            self.kind = _kind(config.workingType, self.given)
         inner = getattr(config, "innerSolver", None) or getattr(config, "preconditioner", None)
-        self.inner = DistributedSolver(system, inner, self.lines) if inner else None
+        passed = system.kind if isinstance(config, IterativeRefinementConfig) else self.kind
+        self.inner = DistributedSolver(system, inner, self.lines, passed) if inner else None
 
     def solve(self, x: DataFrame, b: DataFrame) -> DataFrame:
-        self.stats = SolverStats(self.config.type, getattr(self.config, "norm", "L2"), self.system.tiles)
+        self.stats = SolverStats(self.config.type, getattr(self.config, "norm", "L2"), self.system.tiles, lines=self.lines)
         run = {PBiCGStabConfig: self._bicgstab, IterativeRefinementConfig: self._refine, GaussSeidelConfig: self._gauss_seidel, ILUConfig: self._ilu, RestarterConfig: self._restart}[type(self.config)]
         out = run(x, b)
-        if getattr(self.config, "printPerformanceAfterSolve", False) or getattr(self.config, "verbose", False):
-            self.lines.append(self.stats.line())
+        self.stats.finish(self.config)
         return out
 
-    def _zeros(self) -> DataFrame:
-        return self.system.matrix.spark.range(self.system.n).select(F.col("id").alias("i"), F.lit(0.0).alias("v"))
+    def drop(self) -> None:
+        """Delete the factors that were kept for more than one application."""
+        dropped(self.factors)
+        if self.inner:
+            self.inner.drop()
+
+    def _zeros(self, kind: str) -> DataFrame:
+        return self.system.matrix.spark.range(self.system.n).select(F.col("id").alias("i"), F.lit(0.0).cast(kind).alias("v"))
+
+    def _as(self, x: DataFrame, kind: str) -> DataFrame:
+        return x.select("i", F.col("v").cast(kind).alias("v"))
 
-    def _begin(self, x: DataFrame, b: DataFrame) -> DataFrame:
-        r = written(b.withColumnRenamed("v", "b").join(self.system.residual(x, b), "i"))
+    def _begin(self, x: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+        r = self.system.write(b.withColumnRenamed("v", "b").join(self.system.residual(x, b, kind), "i"))
         found = r.agg(_norm(F.col("v"), self.stats.norm).alias("r"), _norm(F.col("b"), self.stats.norm).alias("b")).first()
         self.stats.start(found.r, found.b)
         return r.select("i", "v")
@@ -105,122 +150,129 @@ class DistributedSolver:
         return x
 
     def _refine(self, x: DataFrame, b: DataFrame) -> DataFrame:
-        c, stats, phi = self.config, self.stats, x
-        r = self._begin(x, b)
+        """The residual and the sum in the wide type, the inner solver in the matrix's own."""
+        c, stats, phi, b = self.config, self.stats, self._as(x, self.kind), self._as(b, self.kind)
+        r = self._begin(phi, b, self.kind)
         while stats.goes_on(c):
-            step = self.inner.solve(self._zeros(), r)
-            old, phi = phi, written(phi.join(step.withColumnRenamed("v", "d"), "i").select("i", (F.col("v") + F.col("d")).alias("v")))
+            step = self.inner.solve(self._zeros(self.system.kind), self._as(r, self.system.kind))
+            old, phi = phi, self.system.write(phi.join(step.withColumnRenamed("v", "d"), "i").select("i", (F.col("v") + F.col("d").cast(self.kind)).alias("v")))
             dropped(r, old)
-            r = written(self.system.residual(phi, b))
+            r = self.system.write(self.system.residual(phi, b, self.kind))
             stats.iterations += 1
             stats.check(r.agg(_norm(F.col("v"), c.norm)).first()[0], c)
         return phi
 
     # --- tile kernels -------------------------------------------------------------
     def _ilu(self, x: DataFrame | None, b: DataFrame) -> DataFrame:
-        """Couplings to other tiles do not count: each tile is factorised alone, once."""
-        based = self.config.diagonalBased
+        """Couplings to other tiles do not count: each tile is factorised alone, once; its levels are kept with the factors."""
+        c, kind = self.config, self.system.kind
+        based, number = c.diagonalBased, np.dtype(np.float32 if kind == "float" else np.float64)
         if self.factors is None:
             def factorise(pdf: pd.DataFrame) -> pd.DataFrame:
                 ids = np.unique(pdf["row"])
-                ilu = Ilu(Csr(np.searchsorted(ids, pdf["row"]), np.searchsorted(ids, pdf["col"]), pdf["val"].to_numpy(), len(ids)), based)
-                return pd.DataFrame({"tile": pdf["tile"].iloc[0], "row": ids[ilu.a.rows], "col": ids[ilu.a.cols], "val": ilu.vals, "inverse": ilu.inverse[ilu.a.rows]})
+                a = Csr(np.searchsorted(ids, pdf["row"]), np.searchsorted(ids, pdf["col"]), pdf["val"].to_numpy(), len(ids), number)
+                ilu = Ilu(a, based, c.factorizeMulticolor, c.solveMulticolor)
+                low, up = (level[ilu.a.rows] for level in ilu.levels)
+                return pd.DataFrame({"tile": pdf["tile"].iloc[0], "row": ids[ilu.a.rows], "col": ids[ilu.a.cols], "val": ilu.vals, "inverse": ilu.inverse[ilu.a.rows], "low": low, "up": up})
 
-            self.factors = written(self.system.by_tile(True).groupBy("tile").applyInPandas(factorise, "tile int, row long, col long, val double, inverse double"))
+            made = self.system.by_tile(True).groupBy("tile").applyInPandas(factorise, f"tile int, row long, col long, val {kind}, inverse {kind}, low long, up long")
+            self.factors = bucketed(made, "tile", self.system.tiles)
 
         def substitute(factor: pd.DataFrame, vector: pd.DataFrame) -> pd.DataFrame:
             vector = vector.sort_values("i")
             ids = vector["i"].to_numpy()
-            ilu = Ilu.__new__(Ilu)
             rows, cols = np.searchsorted(ids, factor["row"]), np.searchsorted(ids, factor["col"])
-            ilu.a = Csr(rows, cols, factor["val"].to_numpy(), len(ids))
-            ilu.vals, ilu.diagonal_based, ilu.inverse = ilu.a.vals, based, np.zeros(len(ids))
-            ilu.inverse[rows] = factor["inverse"]
-            ilu.lower, ilu.upper = ilu._plan(True), ilu._plan(False)
-            return pd.DataFrame({"i": ids, "v": ilu.apply(vector["v"].to_numpy(np.float64))})
+            inverse, low, up = np.zeros(len(ids), number), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            inverse[rows], low[rows], up[rows] = factor["inverse"], factor["low"], factor["up"]
+            ilu = Ilu.of_factors(Csr(rows, cols, factor["val"].to_numpy(), len(ids), number), inverse, based, (low, up))
+            return pd.DataFrame({"i": ids, "v": ilu.apply(vector["v"].to_numpy(number))})
 
         self.stats.iterations = 1
-        return self.factors.groupBy("tile").cogroup(self.system.tiled(b).groupBy("tile")).applyInPandas(substitute, "i long, v double")
+        return self.factors.groupBy("tile").cogroup(self.system.tiled(b).groupBy("tile")).applyInPandas(substitute, f"i long, v {kind}")
 
     def _sweep(self, x: DataFrame, b: DataFrame) -> DataFrame:
         """One sweep of every tile over its rows, with the other tiles' values of the sweep before."""
-        entries = self.system.by_tile(False)
+        entries, mode = self.system.by_tile(False), self.config.solveMulticolor
         needed = entries.select("tile", F.col("col").alias("i")).distinct().join(x.withColumnRenamed("v", "x"), "i")
         both = needed.join(self.system.tiled(b).withColumnRenamed("v", "b"), ["tile", "i"], "left")
 
         def sweep(matrix: pd.DataFrame, vector: pd.DataFrame) -> pd.DataFrame:
-            own = vector[vector["b"].notna()].sort_values("i")
-            halo = vector[vector["b"].isna()]
-            ids = own["i"].to_numpy()
-            far = dict(zip(halo["i"], halo["x"], strict=True))
+            vector = vector.sort_values("i")
+            own, halo = vector[vector["b"].notna()], vector[vector["b"].isna()]
+            ids, far, far_x = own["i"].to_numpy(), halo["i"].to_numpy(), halo["x"].to_numpy()
             rows, cols, vals = matrix["row"].to_numpy(), matrix["col"].to_numpy(), matrix["val"].to_numpy()
             inside = np.isin(cols, ids)
             right = own["b"].to_numpy(np.float64).copy()
-            np.subtract.at(right, np.searchsorted(ids, rows[~inside]), vals[~inside] * np.array([far[c] for c in cols[~inside]], np.float64))
-            a = Csr(np.searchsorted(ids, rows[inside]), np.searchsorted(ids, cols[inside]), vals[inside], len(ids))
-            return pd.DataFrame({"i": ids, "v": gauss_seidel_sweep(a, a.need_diagonal(), own["x"].to_numpy(np.float64).copy(), right)})
+            if len(far):
+                np.subtract.at(right, np.searchsorted(ids, rows[~inside]), vals[~inside] * far_x[np.searchsorted(far, cols[~inside])])
+            a = Csr(np.searchsorted(ids, rows[inside]), np.searchsorted(ids, cols[inside]), vals[inside], len(ids), vals.dtype)
+            return pd.DataFrame({"i": ids, "v": Sweep(a, mode)(own["x"].to_numpy(), right)})
 
-        return written(entries.groupBy("tile").cogroup(both.toDF(*both.columns).groupBy("tile")).applyInPandas(sweep, "i long, v double"))
+        return self.system.write(entries.groupBy("tile").cogroup(both.toDF(*both.columns).groupBy("tile")).applyInPandas(sweep, f"i long, v {self.kind}"))
 
     def _gauss_seidel(self, x: DataFrame, b: DataFrame) -> DataFrame:
-        c, stats = self.config, self.stats
+        c, stats, x = self.config, self.stats, self._as(x, self.kind)
         if c.numFixedIterations:
             for _ in range(c.numFixedIterations):
                 old, x = x, self._sweep(x, b)
                 dropped(old)
             stats.iterations = c.numFixedIterations
             return x
-        self._begin(x, b)
+        kind = _wider(self.kind, self.system.kind)
+        self._begin(x, b, kind)
         while stats.goes_on(c):
             for _ in range(c.numSweeps):
                 old, x = x, self._sweep(x, b)
                 dropped(old)
             stats.iterations += c.numSweeps
-            stats.check(self.system.residual(x, b).agg(_norm(F.col("v"), c.norm)).first()[0], c)
+            stats.check(self.system.residual(x, b, kind).agg(_norm(F.col("v"), c.norm)).first()[0], c)
         return x
 
     # --- PBiCGStab -------------------------------------------------------------
     def _preconditioned(self, frame: DataFrame, source: str, name: str) -> DataFrame:
         if self.inner is None:
             return frame.withColumn(name, F.col(source))
-        z = self.inner.solve(self._zeros(), frame.select("i", F.col(source).alias("v")))
-        return frame.join(z.select("i", F.col("v").alias(name)), "i")
+        z = self.inner.solve(self._zeros(self.kind), frame.select("i", F.col(source).alias("v")))
+        return frame.join(z.select("i", F.col("v").cast(self.kind).alias(name)), "i")
 
     def _with_product(self, frame: DataFrame, source: str, name: str) -> DataFrame:
-        return frame.join(self.system.products(frame.select("i", F.col(source).alias("v"))).withColumnRenamed("v", name), "i")
+        return frame.join(self.system.products(frame.select("i", F.col(source).alias("v")), self.kind).withColumnRenamed("v", name), "i")
 
     def _bicgstab(self, x: DataFrame, b: DataFrame) -> DataFrame:
         """All vectors are columns of one frame; two writes and three scalars' jobs a step."""
-        c, stats = self.config, self.stats
-        start = self._begin(x, b)
-        state = x.withColumnRenamed("v", "x").join(start.withColumnRenamed("v", "r"), "i").select("i", "x", "r", F.col("r").alias("shadow"), F.col("r").alias("p"), F.lit(0.0).alias("v"))
-        state = written(state)
-        rho = state.agg(F.sum(F.col("shadow") * F.col("r"))).first()[0]
+        c, stats, x, b = self.config, self.stats, self._as(x, self.kind), self._as(b, self.kind)
+        number = lambda v: F.lit(float(v)).cast(self.kind)
+        dot = lambda u, v: F.sum(F.col(u).cast("double") * F.col(v).cast("double"))
+        start = self._begin(x, b, self.kind)
+        state = x.withColumnRenamed("v", "x").join(start.withColumnRenamed("v", "r"), "i").select("i", "x", "r", F.col("r").alias("shadow"), F.col("r").alias("p"), number(0).alias("v"))
+        state = self.system.write(state)
+        rho = state.agg(dot("shadow", "r")).first()[0]
         rho_old = alpha = omega = 1.0
         while stats.goes_on(c):
             if stats.mark_singular(rho):
                 break
             if stats.iterations:
                 beta = rho / rho_old * alpha / omega
-                state = state.withColumn("p", F.col("r") + F.lit(beta) * (F.col("p") - F.lit(omega) * F.col("v")))
-            first = written(self._with_product(written(self._preconditioned(state.drop("v"), "p", "y")), "y", "v"))
-            bottom = first.agg(F.sum(F.col("shadow") * F.col("v"))).first()[0]
+                state = state.withColumn("p", F.col("r") + number(beta) * (F.col("p") - number(omega) * F.col("v")))
+            turned = self.system.write(self._preconditioned(state.drop("v"), "p", "y"))
+            first = self.system.write(self._with_product(turned, "y", "v"))
+            bottom = first.agg(dot("shadow", "v")).first()[0]
             if stats.mark_singular(bottom):
                 break
             alpha = rho / bottom
-            second = written(self._preconditioned(first.withColumn("s", F.col("r") - F.lit(alpha) * F.col("v")), "s", "z"))
-            second = written(self._with_product(second, "z", "t"))
-            d = second.agg(F.sum(F.col("t") * F.col("s")).alias("ts"), F.sum(F.col("t") * F.col("t")).alias("tt")).first()
+            again = self.system.write(self._preconditioned(first.withColumn("s", F.col("r") - number(alpha) * F.col("v")), "s", "z"))
+            second = self.system.write(self._with_product(again, "z", "t"))
+            d = second.agg(dot("t", "s").alias("ts"), dot("t", "t").alias("tt")).first()
             exact = d.tt == 0.0  # s is zero: the half step is the solution
             omega = 0.0 if exact else d.ts / d.tt
             if not exact:
                 stats.mark_singular(omega)
             if not stats.singular:
-                new_x = F.col("x") + F.lit(alpha) * F.col("y") + F.lit(omega) * F.col("z")
-                new_r = F.col("s") - F.lit(omega) * F.col("t")
-                old, state = state, written(second.select("i", new_x.alias("x"), new_r.alias("r"), "shadow", "p", "v"))
-                dropped(old, first, second)
-            found = state.agg(_norm(F.col("r"), c.norm).alias("norm"), F.sum(F.col("shadow") * F.col("r")).alias("rho")).first()
+                new_x = F.col("x") + number(alpha) * F.col("y") + number(omega) * F.col("z")
+                new_r = F.col("s") - number(omega) * F.col("t")
+                old, state = state, self.system.write(second.select("i", new_x.alias("x"), new_r.alias("r"), "shadow", "p", "v"))
+                dropped(old, turned, first, again, second)
+            found = state.agg(_norm(F.col("r"), c.norm).alias("norm"), dot("shadow", "r").alias("rho")).first()
             stats.iterations += 1
             stats.check(found.norm, c)
             rho_old, rho = rho, found.rho
@@ -231,7 +283,7 @@ class DistributedSolver:
 
 def _solve_local(matrix: Matrix, x: DataFrame, b: DataFrame, config: SolverConfig) -> tuple[DataFrame, SolverStats]:
     """The whole system inside one task; its size has been checked."""
-    n, kind = matrix.n_rows, matrix.dtype.numpy()
+    n, kind = matrix.n_rows, np.dtype(np.float32 if _kind(matrix.dtype, "double") == "float" else np.float64)
     rows = matrix.df.select(F.lit(0).alias("part"), "row", "col", F.col("val").cast("double").alias("val"))
     vectors = x.withColumnRenamed("v", "x").join(b.withColumnRenamed("v", "b"), "i").select("i", F.col("x").cast("double"), F.col("b").cast("double"))
     both = rows.unionByName(vectors.select(F.lit(1).alias("part"), F.col("i").alias("row"), F.lit(0).cast("bigint").alias("col"), F.col("x").alias("val"))).unionByName(
@@ -248,34 +300,44 @@ def _solve_local(matrix: Matrix, x: DataFrame, b: DataFrame, config: SolverConfi
         solver = LocalSolver(csr, config)
         out = solver.solve(vx.astype(kind), vb.astype(kind))
         s = solver.stats
-        told = [float(s.iterations), float(s.converged), float(s.singular), s.norm_factor, *s.history]
-        return pd.DataFrame({"part": [0] * n + [1] * len(told), "i": [*range(n), *range(len(told))], "v": [*out.astype(float), *told]})
+        told = [float(s.iterations), float(s.converged), float(s.singular), s.norm_factor, s.seconds, *s.history]
+        said = json.dumps(solver.lines)
+        return pd.DataFrame({"part": [0] * n + [1] * len(told) + [2], "i": [*range(n), *range(len(told)), 0], "v": [*out.astype(float), *told, 0.0], "said": [None] * (n + len(told)) + [said]})
 
-    done = written(both.withColumn("system", F.lit(0)).groupBy("system").applyInPandas(run, "part int, i long, v double"))
+    done = written(both.withColumn("system", F.lit(0)).groupBy("system").applyInPandas(run, "part int, i long, v double, said string"))
     told = [r.v for r in done.where("part = 1").orderBy("i").collect()]
-    stats = SolverStats(config.type, getattr(config, "norm", "L2"), 1, iterations=int(told[0]), converged=bool(told[1]), singular=bool(told[2]), norm_factor=told[3], history=told[4:])
+    lines = json.loads(done.where("part = 2").first()["said"])
+    stats = SolverStats(config.type, getattr(config, "norm", "L2"), 1, iterations=int(told[0]), converged=bool(told[1]), singular=bool(told[2]), norm_factor=told[3], seconds=told[4], history=told[5:], lines=lines)
     if stats.history:
         stats.initial_residual, stats.final_residual = stats.history[0], stats.history[-1]
     return done.where("part = 0").select("i", "v"), stats
 
 
-def solve(matrix: Matrix, b: Tensor | DataFrame, config: SolverConfig, x0: Tensor | DataFrame | float = 0.0, tiles: int = 1, where: str = "auto", partition: DataFrame | None = None) -> tuple[Tensor, SolverStats]:
-    """x with A x = b. ``where``: local (one task), distributed, or auto: local for one tile and a small system."""
-    frame = lambda v: v.df.select("i", F.col("v").cast("double").alias("v")) if isinstance(v, Tensor) else v
-    b = frame(b)
-    x = frame(x0) if not isinstance(x0, (int, float)) else matrix.spark.range(matrix.n_rows).select(F.col("id").alias("i"), F.lit(float(x0)).alias("v"))
-    if where == "auto":
-        small = tiles == 1 and partition is None and matrix.n_rows <= LOCAL_ROWS and matrix.df.count() <= LOCAL_ENTRIES
-        where = "local" if small else "distributed"
+def solve(matrix: Matrix, b: Tensor | DataFrame, config: SolverConfig, x0: Tensor | DataFrame | float = 0.0, tiles: int | None = None, where: str = "auto", partition: DataFrame | None = None) -> tuple[Tensor, SolverStats]:
+    """x with A x = b, and what was told on the way, which is printed.
+
+    ``where``: local (one task), distributed, or auto: local for one tile and a small
+    system. Without ``tiles`` there are as many as the rows and entries ask for.
+    """
+    kind = _kind(matrix.dtype, "double")
+    frame = lambda v: (v.df if isinstance(v, Tensor) else v).select("i", F.col("v").cast(kind).alias("v"))
+    x = frame(x0) if not isinstance(x0, (int, float)) else matrix.spark.range(matrix.n_rows).select(F.col("id").alias("i"), F.lit(float(x0)).cast(kind).alias("v"))
+    if tiles is None or where == "auto":
+        entries = matrix.df.count()
+        if tiles is None:
+            tiles = 1 if where == "local" else max(1, ceil(matrix.n_rows / TILE_ROWS), ceil(entries / TILE_ENTRIES))
+        if where == "auto":
+            where = "local" if tiles == 1 and partition is None and matrix.n_rows <= LOCAL_ROWS and entries <= LOCAL_ENTRIES else "distributed"
     if where == "local":
-        out, stats = _solve_local(matrix, x, b, config)
+        out, stats = _solve_local(matrix, x, frame(b), config)
     else:
-        solver = DistributedSolver(System(matrix, tiles, partition), config)
-        out = written(solver.solve(x, written(b)))
+        system = System(matrix, tiles, partition)
+        solver, right = DistributedSolver(system, config), written(frame(b))
+        out = written(solver.solve(x, right).select("i", F.col("v").cast("double").alias("v")))
         stats = solver.stats
-        for line in solver.lines:
-            print(line)
-    shape = DistributedShape((matrix.n_rows,))
-    return Tensor(out.select("i", F.lit(0).alias("tile"), "v"), shape, FLOAT64, "x"), stats
-
-
+        solver.drop()
+        system.drop()
+        dropped(right)
+    for line in stats.lines:
+        print(line)
+    return Tensor(out.select("i", F.lit(0).alias("tile"), "v"), DistributedShape((matrix.n_rows,)), FLOAT64, "x"), stats

@@ -24,6 +24,8 @@ class SolverStats:
     singular: bool = False
     history: list[float] = field(default_factory=list)
     begun: float = field(default_factory=time.perf_counter)
+    seconds: float = math.nan
+    lines: list[str] = field(default_factory=list)  # what is told on the way
 
     def start(self, residual: float, b_norm: float) -> None:
         self.initial_residual = self.final_residual = residual
@@ -39,6 +41,14 @@ class SolverStats:
             or residual < limits.relResidual * self.initial_residual
             or (limits.relTolerance > 0 and residual < limits.relTolerance * self.norm_factor)
         )
+        if limits.verbose or limits.printPerformanceEachIteration:
+            self.lines.append(f"{self.solver} iteration={self.iterations} residual={residual:.8g} seconds={time.perf_counter() - self.begun:.3f}")
+
+    def finish(self, config: object) -> None:
+        """The run ends: its time is taken, and told if asked for."""
+        self.seconds = time.perf_counter() - self.begun
+        if getattr(config, "printPerformanceAfterSolve", False) or getattr(config, "verbose", False):
+            self.lines.append(self.line())
 
     def goes_on(self, limits: Tolerances) -> bool:
         if self.singular or not math.isfinite(self.final_residual):
@@ -51,8 +61,8 @@ class SolverStats:
         return self.singular
 
     def line(self) -> str:
-        seconds = time.perf_counter() - self.begun
-        return f"{self.solver}: Solved on {self.tiles} tiles, {self.norm} norm, Initial residual = {self.initial_residual:.8g}, Final residual = {self.final_residual:.8g}, Iterations = {self.iterations}, Converged = {str(self.converged).lower()}, Singular = {str(self.singular).lower()}, Current Execution Time = {seconds:.3f} s"
+        told = {"tiles": self.tiles, "norm": self.norm, "first": f"{self.initial_residual:.8g}", "last": f"{self.final_residual:.8g}", "iterations": self.iterations, "converged": self.converged, "singular": self.singular, "seconds": f"{self.seconds:.3f}"}
+        return f"{self.solver} " + " ".join(f"{k}={v}" for k, v in told.items())
 
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, float(r)) for k, r in enumerate(self.history)], "iteration int, residual double")

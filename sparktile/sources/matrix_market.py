@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -43,16 +44,17 @@ def read_header(spark: SparkSession, path: str) -> tuple[Header, int]:
 
 
 def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
-    """(row, col, val), 0-based; symmetric halves are mirrored, patterns are ones."""
+    """(row, col, val), 0-based; symmetric halves are mirrored, patterns are ones. A vector's entries have their line's place, at."""
     header, sizes_at = read_header(spark, path)
     lines = _lines(spark, path).where(~F.trim("value").startswith("%") & (F.trim("value") != "") & (F.col("at") != sizes_at))
     if header.format == "array":
-        parts = lines.groupBy(F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("part").collect()
-        at = F.lit(0).cast("bigint")  # lines count through the file's splits, in order
-        before = 0
-        for p in parts:
-            at = F.when(F.shiftright("at", 33) == p.part, F.col("at") - F.lit(p.first) + F.lit(before)).otherwise(at)
-            before += p.n
+        # Lines count through the file's splits, in order; a split is one row here, of which there are few.
+        part = F.shiftright("at", 33)
+        parts = lines.groupBy(part.alias("part")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        places = parts.select("part", (before - F.col("first")).alias("shift"))
+        lines = lines.withColumn("part", part).join(F.broadcast(places), "part")
+        at = F.col("at") + F.col("shift")
         # Comments stand before the sizes, so entries are consecutive lines of a split.
         frame = lines.select(at.alias("k"), F.trim("value").cast("double").alias("val"))
         frame = frame.select((F.col("k") % header.rows).alias("row"), F.floor(F.col("k") / header.rows).cast("bigint").alias("col"), "val")
@@ -64,9 +66,10 @@ def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
     else:
         col, value = F.get(f, F.lit(1)).cast("bigint") - 1, F.get(f, F.lit(2))
     val = F.lit(1.0) if header.field == "pattern" else value.cast("double")
-    frame = lines.select(row.alias("row"), col.alias("col"), val.alias("val"))
+    frame = lines.select(row.alias("row"), col.alias("col"), val.alias("val"), *(["at"] if header.object == "vector" else []))
     if header.symmetry in ("symmetric", "skew-symmetric", "hermitian"):
         sign = -1.0 if header.symmetry == "skew-symmetric" else 1.0
+        frame = frame.select("row", "col", "val")
         frame = frame.union(frame.where("row <> col").select(F.col("col"), F.col("row"), F.col("val") * sign))
     elif header.symmetry != "general":
         raise ValueError(f"unsupported symmetry {header.symmetry!r}")
@@ -74,13 +77,20 @@ def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
 
 
 def read_vector(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """(i, v) of a vector file, or of the first column of a matrix file; and its length. Gaps are not filled."""
+    """(i, v) of a vector file, or of the first column of a matrix file; and its length. Gaps are not filled.
+
+    Of entries with one index the later line's value counts.
+    """
     frame, header = read_triplets(spark, path)
-    return frame.where("col = 0").select(F.col("row").alias("i"), F.col("val").alias("v")), header.rows
+    first = frame.where("col = 0")
+    if "at" in frame.columns:
+        first = first.groupBy("row").agg(F.max_by("val", "at").alias("val"))
+    return first.select(F.col("row").alias("i"), F.col("val").alias("v")), header.rows
 
 
 def densify(vector: DataFrame, n: int) -> DataFrame:
-    """(i, v) with a row for every index: 0 where the vector has none."""
+    """(i, v) with a row for every index: 0 where the vector has none, and the largest value where it has several."""
+    vector = vector.groupBy("i").agg(F.max("v").alias("v"))
     return vector.sparkSession.range(n).select(F.col("id").alias("i")).join(vector, "i", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 

@@ -32,10 +32,14 @@ class Streams:
         self._sinks[handle](df.orderBy("i").toLocalIterator() if "i" in df.columns else df.toLocalIterator())
 
 
-def spmv_stream(matrix: Matrix, vectors: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """A x for every micro-batch of (i, v) rows; one vector a batch. Returns the running query."""
+def spmv_stream(matrix: Matrix, vectors: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
+    """A x for every micro-batch of (i, v) rows, which add up as A is linear. Returns the running query.
+
+    ``trigger`` is that of a streaming writer, such as availableNow=True.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
         sink(matrix.products(batch.select("i", "v")), epoch)
 
-    return vectors.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    writer = vectors.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from sparktile import cli
 from sparktile.operators import layout
+from sparktile.operators.levels import levels_of
 from sparktile.operators.sparse import Matrix
 from sparktile.operators.tensor import Tensor
 from sparktile.solvers.config import from_json, strip_comments
 from sparktile.solvers.distributed import solve
-from sparktile.solvers.local import Csr, Ilu, LocalSolver
+from sparktile.solvers.local import Csr, Ilu, LocalSolver, Sweep
 from sparktile.sources import matrix_market
-from sparktile.types import FLOAT64
+from sparktile.types import FLOAT32, FLOAT64
 
 BICGSTAB = {"type": "PBiCGStab", "relResidual": 1e-10, "maxIterations": 100}
 
@@ -185,6 +186,97 @@ def test_distributed_matches_local(spark):
     assert stats.converged and np.allclose(vector(z), np.arange(18.0), atol=0.5)
 
 
+@pytest.mark.parametrize(
+    ("config", "dtype"),
+    [
+        ({"type": "GaussSeidel", "numFixedIterations": 3, "workingType": "float32"}, FLOAT64),
+        ({"type": "GaussSeidel", "relResidual": 1e-3, "maxIterations": 9}, FLOAT32),
+        ({"type": "PBiCGStab", "workingType": "float32", "relResidual": 1e-3, "maxIterations": 5}, FLOAT64),
+        ({"type": "IterativeRefinement", "relResidual": 1e-6, "maxIterations": 5, "innerSolver": {"type": "ILU"}}, FLOAT32),
+        ({"type": "restarter", "maxRestarts": 2, "innerSolver": {"type": "PBiCGStab", "relResidual": 1e-4, "maxIterations": 2, "preconditioner": {"type": "ILU", "diagonalBased": True}}}, FLOAT64),
+    ],
+)
+def test_both_places_behave_alike(spark, capsys, config, dtype):
+    """The same values in the same precision, iterations, residuals and lines, in one task and distributed."""
+    a = Matrix.poisson3d(spark, 3, 3, 2, dtype).materialize()
+    b = Matrix.poisson3d(spark, 3, 3, 2).spmv(Tensor.from_numpy(spark, np.arange(18.0) / 7))
+    told = config | ({} if config["type"] == "restarter" else {"verbose": True})
+    x, s = solve(a, b, from_json(told), where="local")
+    said = capsys.readouterr().out
+    y, t = solve(a, b, from_json(told), tiles=1, where="distributed")
+    again = capsys.readouterr().out
+    assert np.allclose(vector(x), vector(y), atol=1e-5, rtol=1e-5)
+    single = config.get("workingType") == "float32" or (dtype == FLOAT32 and config["type"] != "IterativeRefinement" and config["type"] != "GaussSeidel")
+    assert all((v == v.astype(np.float32)).all() for v in (vector(x), vector(y))) or not single
+    assert s.iterations == t.iterations and s.converged == t.converged and np.allclose(s.history, t.history, rtol=1e-2)
+    plain = lambda text: [line.split(" seconds=")[0].split("residual=")[0].split("first=")[0] for line in text.splitlines()]
+    assert plain(said) == plain(again) and s.seconds > 0 and t.seconds > 0
+
+
+def test_multicolour_switches_change_the_schedule_only():
+    rng = np.random.default_rng(1)
+    n = 80
+    a = (rng.random((n, n)) < 0.08) * rng.normal(size=(n, n))
+    np.fill_diagonal(a, np.abs(a).sum(1) + 1)
+    i, j = np.nonzero(a)
+    b, csr = rng.normal(size=n), Csr(i, j, a[i, j], n)
+    x = np.zeros(n)
+    for _ in range(3):  # row by row
+        for r in range(n):
+            x[r] += (b[r] - a[r] @ x) / a[r, r]
+    for mode in ("on", "off", "auto"):
+        sweep, y = Sweep(csr, mode), np.zeros(n)
+        for _ in range(3):
+            y = sweep(y, b)
+        assert np.allclose(x, y)
+        ilu = Ilu(csr, False, mode, mode)
+        f = np.zeros((n, n))
+        f[ilu.a.rows, ilu.a.cols] = ilu.vals
+        low, up = np.tril(f, -1) + np.eye(n), np.triu(f)
+        assert np.allclose((low @ up)[i, j], a[i, j]) and np.allclose(low @ (up @ ilu.apply(b)), b)  # exact on the pattern
+
+
+def test_whole_levels_are_levels():
+    rng = np.random.default_rng(2)
+    rows, cols = rng.integers(0, 200, 900), rng.integers(0, 200, 900)
+    keep = cols < rows
+    rows, cols = rows[keep], cols[keep]
+    level = np.zeros(200, int)
+    for r in range(200):
+        level[r] = max((level[c] + 1 for c in cols[rows == r]), default=0)
+    pairs = np.unique(np.stack([rows, cols], 1), axis=0)
+    assert (levels_of(pairs[:, 0], pairs[:, 1], 200) == level).all()
+
+
+def test_repeated_vector_entries(spark, tmp_path):
+    """Of entries with one index the later line's value counts."""
+    path = tmp_path / "v.mtx"
+    path.write_text("%%MatrixMarket vector coordinate real general\n5 4\n2 1.5\n4 9.0\n2 0.5\n5 3.0\n")
+    v, n = matrix_market.read_vector(spark, str(path))
+    assert [r.v for r in matrix_market.densify(v, n).orderBy("i").collect()] == [0.0, 0.5, 0.0, 9.0, 3.0]
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    from sparktile import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
 def test_config(spark, tmp_path, capsys):
     with pytest.raises(ValueError):
         from_json({"maxIterations": 3})
@@ -199,7 +291,7 @@ def test_config(spark, tmp_path, capsys):
     assert json.loads(strip_comments(text)) == {"a": "x//y", "b": 1}
     (tmp_path / "c.jsonc").write_text('{"x": 1.0, "benchmark": "solve", // here\n "solver": ' + json.dumps(BICGSTAB) + "}")
     assert cli.main(["-c", str(tmp_path / "c.jsonc"), "-p", "3,3,2"]) == 0
-    assert "Converged = true" in capsys.readouterr().out
+    assert "converged=True" in capsys.readouterr().out
     with pytest.raises(ValueError):
         cli.run(spark, {"benchmark": "sort"}, Matrix.poisson3d(spark, 2, 2, 2))
 
