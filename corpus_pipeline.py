@@ -27,6 +27,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"{k}_{name}")
-        if k > 1:
+        if k:
             scratch.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs
