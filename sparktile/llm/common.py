@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -37,11 +40,11 @@ def fold(column: str, mod: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only where none is."""
+    """The folder that driver and executors share; where none is set, one is made for a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="llm-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -77,6 +80,11 @@ class Scratch:
         df.write.mode("overwrite").option("path", f"{self.root}/{tag}").bucketBy(n, key).saveAsTable(self.named[tag])
         return self.spark.table(self.named[tag])
 
+    def settle(self) -> None:
+        """Let shuffle files of finished jobs go: Spark deletes them once the driver has collected what refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tags: str) -> None:
         """Delete tables of this scratch; without a tag, all of it."""
         for tag in tags or tuple(self.named):
@@ -109,6 +117,17 @@ def trimmed(run):
     return wrapped
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The frame with its columns named by place, and their names: so no name can clash with an operator's own."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), df.columns
+
+
+def place(names: list[str], column: str) -> str:
+    """What ``positional`` calls a column."""
+    low = [n.lower() for n in names]
+    return f"c{names.index(column) if column in names else low.index(column.lower())}"
+
+
 def replace_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """The frame without columns that an operator is about to add: its own output replaces them."""
     low = {n.lower() for n in names}

@@ -6,10 +6,13 @@ Burrows-Wheeler transform kept in a wavelet matrix. All benchmark windows are
 searched backward at once by wavelet ranks, occurrences are located by walking
 to sampled suffix positions, and their spans are merged.
 
-Cases: null or empty text has no words and no hits; repeated documents and
-items are handled row by row; an item shorter than a window is one window; an
-item without words is never found; empty tables give empty results; columns of
-the input that clash with the output's are replaced.
+Cases: null or empty text has no words and no hits; a text of any length is searched
+whole, in one shard; repeated documents and items are handled row by row, and rows that
+share an id apart; an item shorter than a window is one window; an item without words is
+never found; windows of an item without an id are found and cut like others, but name no
+item; of overlapping occurrences the union is cut; empty tables give empty results;
+columns of the input that clash with the output's are replaced, all others keep their
+values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches, release, replace_columns, slices, text_bytes, trimmed
+from .common import Scratch, bound_batches, place, positional, release, replace_columns, slices, text_bytes, trimmed
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -150,14 +153,14 @@ class FMIndex:
         return out
 
 
-def compile_windows(items: list[tuple[str, bytes]], window: int):
-    """Vocabulary, distinct right-aligned windows, their lengths, and the items that hold each."""
+def compile_windows(items: list[tuple[str | None, bytes]], window: int):
+    """Vocabulary, distinct right-aligned windows, their lengths, and the items (with an id) that hold each."""
     vocab: dict[bytes, int] = {}
     holders: dict[tuple[int, ...], set[str]] = {}
     for item, text in items:
         ids = [vocab.setdefault(w, len(vocab) + 2) for w in words_of(text)]
         for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            holders.setdefault(tuple(ids[i : i + window]), set()).add(item)
+            holders.setdefault(tuple(ids[i : i + window]), set()).update([] if item is None else [item])
     phrases = np.zeros((len(holders), window), np.int32)
     for row, p in zip(phrases, holders, strict=True):
         row[window - len(p) :] = p
@@ -254,8 +257,9 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col:
     """
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    docs = replace_columns(docs, list(_ADDED))
-    pairs = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null and i is not null")
+    docs, names = positional(replace_columns(docs, list(_ADDED)))
+    text_col = place(names, text_col)
+    pairs = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
     total = pairs.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
     keep = docs.columns
@@ -271,7 +275,7 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col:
         if out is not None:
             found = _merged(found, keep)
         out = scratch.write(found, f"block{b}") if scratch else found
-    return out
+    return out.toDF(*names, *_ADDED)
 
 
 def _merged(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -293,22 +297,24 @@ def _merged(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every merged span cut out of its text; a text left without words goes."""
-    columns = docs.columns
-    found = search(docs, items, text_col=text_col, **options)
+    inner, names = positional(docs)
+    text = place(names, text_col)
+    found = search(inner, items, text_col=text, **options).withColumn("raw", F.col(text).cast("binary"))
     pieces = F.concat_ws(
         "",
         F.transform(
             F.sequence(F.lit(0), F.size("hit_spans")),
             lambda i: F.substring(
-                F.col("_raw"),
+                F.col("raw"),
                 F.coalesce(F.get("hit_spans", i - 1)["byte_end"], F.lit(0)).cast("int") + 1,
-                (F.coalesce(F.get("hit_spans", i)["byte_start"], F.octet_length("_raw").cast("bigint")) - F.coalesce(F.get("hit_spans", i - 1)["byte_end"], F.lit(0))).cast("int"),
+                (F.coalesce(F.get("hit_spans", i)["byte_start"], F.octet_length("raw").cast("bigint")) - F.coalesce(F.get("hit_spans", i - 1)["byte_end"], F.lit(0))).cast("int"),
             ).cast("string"),
         ),
     )
     hit = F.size("hit_spans") > 0
-    out = found.withColumn("_raw", F.col(text_col).cast("binary")).withColumn(text_col, F.when(hit, pieces).otherwise(F.col(text_col)))
-    out = out.where(~(hit & (F.col("n_hit") >= F.col("n_words"))))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length(text_col).cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    out = found.withColumn("clean", F.when(hit, pieces).otherwise(F.col(text))).where(~(hit & (F.col("n_hit") >= F.col("n_words"))))
+    new = {text: F.col("clean")}
+    if "n_chars" in names:
+        n = place(names, "n_chars")
+        new[n] = F.when(hit, F.length("clean").cast("bigint")).otherwise(F.col(n))
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in inner.columns]).toDF(*names)

@@ -5,14 +5,18 @@ language, so the slots of an n-gram's hashes, ANDed, are the set of all language
 whose filter holds it. A document's votes are the popcounts by language, corrected
 for each filter's false positives.
 
-The filters are fitted on a bounded sample (expected SAMPLE_PER_LANGUAGE documents
-of each language, chosen by id hash); a language's filter takes the n-grams that
-are frequent enough in its sample.
-
-Cases: null text or one without a letter is ``und`` with score 0; a text whose
-n-grams no filter holds gets the most frequent language with score 0; ties go to
-the first name; without learned languages all is ``und``; repeated rows are judged
-one by one; an empty table gives no rows; only id, text and lang are read.
+The filters are fitted on a bounded sample (expected ``SAMPLE_PER_LANGUAGE`` documents
+of each language, chosen by a hash of id and text; equal texts once). A language's
+filter takes the ``MAX_KEPT`` most frequent n-grams of its sample that make up at least
+``LEAST_SHARE`` of them, so that it stays sparse: these are parameters of the fit, and
+every n-gram of every document is looked up when documents are judged.
+
+Cases: null text or one without a letter is ``und`` with score 0; a text of any length
+is read whole; a text whose n-grams no filter holds gets the most frequent language with
+score 0; ties go to the first name; languages are compared as strings; without learned
+languages all is ``und``; more than ``MAX_LANGUAGES`` raise an error, as each adds a bit
+to every slot; repeated rows and rows that share an id are judged one by one; an empty
+table gives no rows; only id, text and lang are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -105,10 +109,25 @@ def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["lang", "n", "grams", "times"])
 
 
-def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Filters:
+def _kept_grams(max_kept: int, least_share: float):
+    """One language's n-grams that its filter takes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        kinds, inverse = np.unique(np.concatenate([unpack_array(r["grams"], np.uint32, r["n"]) for r in rows]), return_inverse=True)
+        times = np.bincount(inverse, weights=np.concatenate([unpack_array(r["times"], np.uint32, r["n"]) for r in rows]))
+        order = np.argsort(-times, kind="stable")[:max_kept]
+        keep = kinds[order[times[order] >= least_share * times.sum()]]
+        return pa.table({"lang": pa.array([rows[0]["lang"]], pa.string()), "n": pa.array([len(keep)], pa.int32()), "grams": pa.array([pack_array(keep)], pa.binary())})
+
+    return run
+
+
+def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, max_kept: int = MAX_KEPT, least_share: float = LEAST_SHARE) -> Filters:
     """Filters of all languages that the allowed rows name."""
-    rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in docs.where(allowed & F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES + 1).collect()}
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    named = docs.where(allowed).select(F.xxhash64(F.col(id_col).cast("string"), text).alias("th"), lang.alias("lang"), text.alias("text")).where("lang is not null")
+    counts = {r[0]: r[1] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
@@ -117,19 +136,13 @@ def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     false_rate = np.zeros(len(languages))
     if not languages:
         return Filters([], 0, slots, false_rate)
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20))
-    limit = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(int((1 << 20) * per_language / n) + 1)) for k, n in counts.items()])
-    sample = rows.where(draw < limit).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    found: dict[str, list] = {k: [] for k in languages}
-    for r in sample.mapInArrow(_sample_grams, "lang string, n int, grams binary, times binary").collect():
-        found[r.lang].append((unpack_array(r.grams, np.uint32, r.n), unpack_array(r.times, np.uint32, r.n)))
-    for k, lang in enumerate(languages):
-        if not found[lang]:
-            continue
-        kinds, inverse = np.unique(np.concatenate([g for g, _ in found[lang]]), return_inverse=True)
-        times = np.bincount(inverse, weights=np.concatenate([t for _, t in found[lang]]))
-        order = np.argsort(-times, kind="stable")[:MAX_KEPT]
-        keep = kinds[order[times[order] >= LEAST_SHARE * times.sum()]]
+    draw = F.pmod(F.col("th"), F.lit(1 << 20))
+    limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int((1 << 20) * per_language / n) + 1)) for k, n in counts.items()])
+    sample = named.where(F.col("text").isNotNull() & (draw < limit)).dropDuplicates(["lang", "th"]).select("lang", "text")
+    grams = sample.mapInArrow(_sample_grams, "lang string, n int, grams binary, times binary")
+    # One row a language reaches the driver, of at most max_kept n-grams.
+    for r in grams.groupBy("lang").applyInArrow(_kept_grams(max_kept, least_share), "lang string, n int, grams binary").collect():
+        k, keep = languages.index(r.lang), unpack_array(r.grams, np.uint32, r.n)
         for h in HASHES:
             slots[k // 8, (keep * np.uint32(h)) >> np.uint32(32 - SLOT_BITS)] |= np.uint8(1 << (k % 8))
         false_rate[k] = ((slots[k // 8] >> (k % 8)) & 1).mean() ** len(HASHES)

@@ -12,7 +12,7 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
 ), b AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), bw AS (
   SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS p
   FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0

@@ -15,12 +15,16 @@ chance: by Hoeffding's bound on the hypergeometric tail, and over all proposed p
 most ``LEVEL``. Copies of one passage therefore prove nothing, and two texts are enough
 where the corpus is large against the pairs in it.
 
-Positions count code points; ends are exclusive.
-
-Cases: null or empty text has no spans; repeated rows are judged one by one, and
-their equal texts and contexts count once; rows are matched by their text, so a missing
-or shared id changes nothing; words cut by a context's edge and words of other
-entities do not count; an empty table gives no rows; clashing columns are replaced.
+Positions count code points; ends are exclusive. Terms have 1 to ``TERM_CHARS``
+characters and stand within ``CONTEXT`` characters of an entity to be proposed; both
+are parameters of the method, longer runs of letters being no words of a language.
+
+Cases: null or empty text has no spans; a text of any length is searched whole; of
+overlapping spans the first one's mark stands and covers the rest; repeated rows are
+judged one by one, and their equal texts and contexts count once; rows are matched by
+their text, so a missing or shared id changes nothing; words cut by a context's edge and
+words of other entities do not count; an empty table gives no rows; other columns keep
+their values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, place, positional
 
 #: Fixed patterns. Possessive repeats and look-behinds match as the plain forms do,
 #: without their backtracking over long runs.
@@ -42,7 +46,8 @@ PATTERNS = {
 }
 _IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 CONTEXT = 80  # characters on either side of an entity
-TERM = r"[\p{L}\p{N}]{1,40}"
+TERM_CHARS = 40
+TERM = rf"[\p{{L}}\p{{N}}]{{1,{TERM_CHARS}}}"
 LEVEL = 0.01
 GENERALISE, REMOVE = 0.85, 0.95
 BROADCAST_ROWS = 200_000  # of terms or ids; beyond it joins are shuffled
@@ -216,29 +221,33 @@ def digest(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with entities replaced by their kind, terms by ``[term]`` or nothing; n_chars follows."""
-    columns, spark = docs.columns, docs.sparkSession
+    inner, names = positional(docs)
+    text, none = place(names, text_col), F.expr(f"cast(array() as {SPAN})")
+    no_words = F.expr("cast(array() as array<string>)")
     # Base spans come again from the text itself; only term spans need the corpus, and so a join.
     found = detect(docs, id_col, text_col, **options).where(F.size("term_spans") > 0)
-    with_terms = Scratch(spark).write(found.select(F.col("th").alias("__th"), "term_spans", "gone").dropDuplicates(["__th"]), "found")
-    raw = docs.withColumn("__text", F.col(text_col).cast("string"))
+    with_terms = Scratch(docs.sparkSession).write(found.select("th", "term_spans", "gone").dropDuplicates(["th"]), "found")
+    raw = inner.withColumn("raw", F.col(text).cast("string"))
     if with_terms.isEmpty():
-        joined = raw.withColumn("__spans", base_spans(F.col("__text"))).withColumn("__gone", F.expr("cast(array() as array<string>)"))
+        joined = raw.withColumn("spans", base_spans(F.col("raw"))).withColumn("gone", no_words)
     else:
-        joined = _joined(raw, with_terms, F.xxhash64("__text") == F.col("__th"), "left")
-        joined = joined.withColumn("__spans", F.concat(base_spans(F.col("__text")), F.coalesce("term_spans", F.expr(f"cast(array() as {SPAN})")))).withColumn("__gone", F.coalesce("gone", F.expr("cast(array() as array<string>)")))
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
+        joined = _joined(raw, with_terms, F.xxhash64("raw") == F.col("th"), "left")
+        joined = joined.withColumn("spans", F.concat(base_spans(F.col("raw")), F.coalesce("term_spans", none))).withColumn("gone", F.coalesce("gone", no_words))
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
 
     def step(acc: Column, s: Column) -> Column:
-        put = F.when((s["kind"] == "term") & F.array_contains(F.col("__gone"), F.lower(s["value"])), F.lit("")).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
-        between = F.substr(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"])
+        put = F.when((s["kind"] == "term") & F.array_contains(F.col("gone"), F.lower(s["value"])), F.lit("")).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        between = F.substr(F.col("raw"), acc["at"] + 1, s["start"] - acc["at"])
         # A span that begins inside the one before it only carries that one's cut further.
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], between, put)).otherwise(acc["out"]).alias("out"))
 
     state = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    clean = F.concat(state["out"], F.substr(F.col("__text"), state["at"] + 1, F.length("__text") - state["at"]))
-    hit = F.coalesce(F.size("__spans") > 0, F.lit(False))
-    out = joined.withColumn("__clean", F.when(hit, clean).otherwise(F.col("__text"))).withColumn(text_col, F.col("__clean"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length(text_col).cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    clean = F.concat(state["out"], F.substr(F.col("raw"), state["at"] + 1, F.length("raw") - state["at"]))
+    hit = F.coalesce(F.size("spans") > 0, F.lit(False))
+    out = joined.withColumn("clean", F.when(hit, clean).otherwise(F.col("raw")))
+    new = {text: F.col("clean")}
+    if "n_chars" in names:
+        n = place(names, "n_chars")
+        new[n] = F.when(hit, F.length("clean").cast("bigint")).otherwise(F.col(n))
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in inner.columns]).toDF(*names)

@@ -4,10 +4,12 @@ Shallow trees are grown on bootstrap samples of a bounded labelled sample; the
 paths to their nodes are conjunctive rules; a lasso logistic regression keeps few
 of them; the kept rules and weights are compiled into one Spark column expression.
 
-Cases: null text counts as empty, whose statistics are all zero; a document with
-several labels has their mean, rounded half up; null labels teach nothing; without labels
-of both kinds the score is the smoothed share of label 1; repeated rows are scored
-one by one; an empty table gives no rows; clashing columns are replaced.
+Cases: null text counts as empty, whose statistics are all zero; a text of any length
+is read whole; a document with several labels has their mean, rounded half up; null
+labels teach nothing; of rows that share an id one teaches, the first in the hash order
+of its text; without labels of both kinds the score is the smoothed share of label 1;
+equal scores need no order; repeated rows are scored one by one; an empty table gives no
+rows; other columns are neither read nor changed, whatever they are called.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, release, text_bytes
+from .common import Scratch, place, positional, release, text_bytes
 from .features import Counted, class_table, duplicate_lines, lengths_of
 
 SAMPLE_ROWS = 8000  # labelled rows that the trees and the lasso are fitted on, at most
 SLICE = 2 << 20  # bytes of text whose words are held at once
 TREES, DEPTH, CUTS = 40, 3, 24
+TREE_ROWS = 2000  # rows of the sample that each tree is grown on, drawn with replacement
 LASSO = 0.002
 THRESHOLD = 0.3
 
@@ -165,7 +168,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, trees: int = TREES, penalty
         return RuleEnsemble(bias=float(np.log(share / (1 - share))))
     rng, rules = np.random.default_rng(seed), set()
     for _ in range(trees):
-        pick = rng.integers(0, len(y), min(len(y), 2000))
+        pick = rng.integers(0, len(y), min(len(y), TREE_ROWS))
         _grow(x[pick], y[pick], rng, (), DEPTH, rules)
     ordered = sorted(rules)
     held = np.stack([_holds(r, x) for r in ordered], 1)
@@ -179,33 +182,43 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, trees: int = TREES, penalty
     return RuleEnsemble([ordered[use[i]] for i in keep], [float(w[i]) for i in keep], b)
 
 
-def learn(stats: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
-    """A model from at most ``sample_rows`` labelled documents, the first in hash order."""
+def _sample(labels: DataFrame, allowed: Column, id_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    """(doc_id, label) of at most ``sample_rows`` documents, the first in hash order."""
     known = labels.where(allowed & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     mean = (F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int")
-    chosen = known.groupBy(F.col(id_col).alias("doc_id")).agg(mean.alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = stats.select("doc_id", "stats").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    return known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(mean.alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+
+
+def learn(stats: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
+    """A model from the statistics (doc_id, th, stats) of at most ``sample_rows`` labelled documents."""
+    chosen = _sample(labels, allowed, id_col, label_col, sample_rows)
+    rows = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("stats", "th").alias("stats")).orderBy("doc_id").collect()
     x = np.array([[float(v) for v in r["stats"]] for r in rows], float).reshape(-1, len(STATS))
     return fit(x, np.array([r["label"] for r in rows], float))
 
 
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, stats): th orders rows that share an id."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), statistics(text_col).alias("stats"))
+
+
 def score(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: doc_id, stats, score and predicted, learned from labels that ``allowed`` admits."""
-    table = docs.select(F.col(id_col).alias("doc_id"), statistics(text_col).alias("stats"))
-    stats = Scratch(docs.sparkSession).write(table, "statistics")  # texts are read once
+    stats = Scratch(docs.sparkSession).write(_measured(docs, id_col, text_col), "statistics")  # texts are read once
     model = learn(stats, labels, allowed, **options)
-    out = stats.withColumn("score", model.score("stats"))
+    out = stats.drop("th").withColumn("score", model.score("stats"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with their own columns."""
-    columns = docs.columns
+def keep_good(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their own columns.
+
+    The model is that of ``score``: only the sample's statistics are computed before it.
+    """
     scratch = Scratch(docs.sparkSession)
-    taught = labels.where(allowed).select(F.col(id_col).alias("doc_id"))
-    small = taught.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.get("sample_rows", SAMPLE_ROWS))
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(small), "doc_id")
-    stats = scratch.write(sample.select("doc_id", statistics("text").alias("stats")), "statistics")
-    model = learn(stats, labels, allowed, id_col=id_col, **options)
+    small = _sample(labels, allowed, "doc_id", label_col, sample_rows).select("doc_id")
+    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(small), "doc_id")
+    model = learn(scratch.write(_measured(sample, "doc_id", "text"), "statistics"), labels, allowed, label_col=label_col, sample_rows=sample_rows)
     scratch.drop("statistics")
-    return docs.withColumn("__stats", statistics(text_col)).where(model.score("__stats") >= THRESHOLD).select(*columns)
+    inner, names = positional(docs)
+    return inner.withColumn("stats", statistics(place(names, text_col))).where(model.score("stats") >= THRESHOLD).drop("stats").toDF(*names)

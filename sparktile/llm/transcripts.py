@@ -5,16 +5,19 @@ categorical features: its speaker marker, its length, its questions and its line
 Emissions and transitions are add-one counts over all training conversations.
 Roles are recovered by Viterbi.
 
-Conversations are cut into chunks of ``CHUNK`` turn numbers. A conversation of one
-chunk is decoded in place; of a longer one each chunk becomes a max-plus matrix
-between the states at its ends, the short chain of matrices is decoded, and the
-chunks are decoded again between the states found: no task holds more than a chunk
-or a chain.
-
-Cases: null text is an empty segment; a null turn number sorts first; equal turn
-numbers are ordered by text; rows without a conversation id are one segment each;
-null roles teach nothing; without training rows the role is ``unknown``; an empty
-table gives no rows.
+Turns are sorted over the cluster and ranked in their conversation; chunks are
+``CHUNK`` ranks long. A conversation of one chunk is decoded in place; of a longer one
+each chunk becomes a max-plus matrix between the states at its ends, the short chain of
+matrices is decoded, and the chunks are decoded again between the states found: no task
+holds more than a chunk or a chain, whatever turn numbers a conversation has.
+
+Cases: null text is an empty segment; a text of any length is one segment; a null turn
+number sorts first; equal turn numbers are ordered by text; repeated rows are a segment
+each; of equally likely roles the first by name is taken; rows without a conversation id
+are one conversation each; null roles teach nothing; without training rows the role is
+``unknown``; more than ``MAX_ROLES`` roles raise an error, as the model's tables grow
+with their square; an empty table gives no rows; columns that are not named are not
+read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 
 CHUNK = 1024
 MAX_ROLES = 64
+BROADCAST_ROWS = 200_000  # of 32 bytes; beyond it a shuffled join is used
 #: Fixed speaker markers, by class.
 MARKERS = {
     "user": ("user", "human", "question", "q", "prompt", "customer"),
@@ -131,7 +136,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", F.col("turn").asc_nulls_first(), "text")
+    return rows.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", "at")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,49 +218,91 @@ def _chain(model):
 _OUT = "conv long, turn long, role_pred string, text string"
 
 
+def _ranked(rows: DataFrame, scratch: Scratch, chunk: int) -> DataFrame:
+    """``rows`` (conv, turn, text, ...) with ``at``, which sorts a conversation's turns, and ``chunk``.
+
+    Ranges are cut by any row, equal ones too, so that no conversation and no turn number fills one task;
+    the few (range, conversation) pairs that meet tell where each conversation's ranks begin.
+    """
+    apart = rows.withColumn("apart", F.monotonically_increasing_id())
+    ordered = apart.repartitionByRange(F.col("conv"), F.col("turn").asc_nulls_first(), F.col("text"), F.col("apart")).sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), "text", "apart")
+    table = scratch.write(ordered.drop("apart").withColumn("at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("at", 33)
+    met = table.where("conv is not null").groupBy("conv", part.alias("part")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    # Only conversations that a range's edge cuts, or that are long, need ranks; others are one chunk.
+    spans = met.groupBy("conv").agg(F.count("*").alias("parts"), F.sum("n").alias("size"))
+    cut = scratch.write(spans.where(F.col("size") > chunk).select("conv"), "cut")
+    alone = F.when(F.col("conv").isNull(), F.col("at")).otherwise(F.lit(0).cast("long"))
+    if cut.isEmpty():
+        return table.withColumn("chunk", alone)
+    before = F.sum("n").over(Window.partitionBy("conv").orderBy("part")) - F.col("n")
+    bases = scratch.write(met.join(cut, "conv").withColumn("base", before).select("conv", "part", "first", "base"), "bases")
+    few = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases
+    placed = table.withColumn("part", part).join(few, ["conv", "part"], "left")
+    nth = F.floor((F.col("at") - F.col("first") + F.col("base")) / chunk)
+    return placed.withColumn("chunk", F.coalesce(nth, alone)).drop("part", "first", "base")
+
+
+def _rows_of(turns: DataFrame, allowed: Column, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    return turns.select(
+        F.col(id_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), F.coalesce(allowed, F.lit(False)).alias("allowed")
+    )
+
+
 def recover(turns: DataFrame, allowed: Column, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per turn: conv, turn, role_pred and text; roles are learned from the rows that ``allowed`` admits."""
     spark = turns.sparkSession
     scratch = Scratch(spark)
-    alone = F.xxhash64(F.col(turn_col), F.col(text_col))  # a row without a conversation stands alone
-    rows = turns.where(F.lit(True)).select(
-        F.col(id_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
-        F.when(F.col(id_col).isNull(), alone).otherwise(F.coalesce(F.floor(F.col(turn_col).cast("long") / chunk), F.lit(0)).cast("long")).alias("chunk"), allowed.alias("allowed"),
-    )
-    model = spark.sparkContext.broadcast(learn(rows, F.col("allowed")))
+    rows = _ranked(_rows_of(turns, allowed, id_col, turn_col, role_col, text_col), scratch, chunk)
+    return _recovered(rows, spark.sparkContext.broadcast(learn(rows, F.col("allowed"))), scratch)
+
+
+def _recovered(rows: DataFrame, model, scratch: Scratch) -> DataFrame:
+    """Ranked rows decoded."""
     spans = rows.where("conv is not null").groupBy("conv").agg(F.min("chunk").alias("first_chunk"), F.max("chunk").alias("last_chunk"))
     long = scratch.write(spans.where("first_chunk <> last_chunk"), "long")
-    plain = rows.select("conv", "chunk", "turn", "text")
+    plain = rows.select("conv", "chunk", "turn", "text", "at")
     if long.isEmpty():
         return _sorted(plain).mapInArrow(_decoded(model, False), _OUT)
     short = _sorted(plain.join(long, "conv", "left_anti")).mapInArrow(_decoded(model, False), _OUT)
     parts = scratch.write(plain.join(long, "conv"), "parts")
     chains = _sorted(parts).mapInArrow(_matrices(model), "conv long, chunk long, matrix array<double>").groupBy("conv").applyInArrow(_chain(model), "conv long, chunk long, before int, last int")
     ends = scratch.write(chains, "ends")
-    return short.union(_sorted(parts.select("conv", "chunk", "turn", "text").join(ends, ["conv", "chunk"])).mapInArrow(_decoded(model, True), _OUT))
+    return short.union(_sorted(parts.select("conv", "chunk", "turn", "text", "at").join(ends, ["conv", "chunk"])).mapInArrow(_decoded(model, True), _OUT))
+
+
+_ANY_MARKER = r"(?i)^\s*(?:#+\s*|<\|?|\[|\*\*)?(?:{0})(?:\|?>|\]|\*\*)?\s*[:>\]]\s*".format("|".join(sorted(_MARKER_CLASS, key=lambda w: (-len(w), w))))
 
 
 def rendered(role: Column, text: Column) -> Column:
     """A turn in canonical form, without the marker that named its speaker."""
-    words = "|".join(sorted(_MARKER_CLASS, key=lambda w: (-len(w), w)))
-    marker = rf"(?i)^\s*(?:#+\s*|<\|?|\[|\*\*)?(?:{words})(?:\|?>|\]|\*\*)?\s*[:>\]]\s*"
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), marker, "")), F.lit("\n<|end|>\n"))
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _ANY_MARKER, "")), F.lit("\n<|end|>\n"))
 
 
-def parse_text(docs: DataFrame, turns: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Raw transcripts (one text each) as canonical turns: doc id, first line, role, rendered.
+def parse_text(docs: DataFrame, turns: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Raw transcripts (one text each) as canonical turns: doc_id, line (the turn's first), role, rendered.
 
-    The model is learned from ``turns``; lines of one speaker in a row become one turn.
+    The model is learned from ``turns`` alone. A turn begins where the role changes and at
+    every speaker marker; blank lines belong to the turn before them, those ahead of the
+    first turn to it. Every row of ``docs`` is a transcript of its own, whatever its id
+    (null, negative, shared); one without a non-blank line gives one row whose line, role
+    and rendering are null.
     """
     spark = docs.sparkSession
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("conv_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("turn", "text")).where(F.trim("text") != "")
-    both = lines.select("conv_id", "turn", F.lit(None).cast("string").alias("role"), "text", F.lit(False).alias("ok"))
-    taught = turns.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", "text", allowed.alias("ok"))
-    said = Scratch(spark).write(recover(both.unionByName(taught), F.col("ok")).where("conv >= 0"), "lines")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv").orderBy("turn")
-    marked = said.withColumn("begins", (F.coalesce(F.lag("role_pred").over(w) != F.col("role_pred"), F.lit(True))).cast("int"))
-    marked = marked.withColumn("nth", F.sum("begins").over(w))
-    grouped = marked.groupBy("conv", "nth").agg(F.min("turn").alias("line"), F.first("role_pred").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("text"))
-    return grouped.select(F.col("conv").alias("doc_id"), "line", "role", rendered(F.col("role"), F.col("text")).alias("rendered"))
+    scratch = Scratch(spark)
+    taught = _ranked(_rows_of(turns, allowed, "conv_id", "turn", "role", "text"), scratch, chunk)
+    model = spark.sparkContext.broadcast(learn(taught, F.col("allowed")))
+    own = docs.select(F.monotonically_increasing_id().alias("conv"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    raw = scratch.write(own, "raw")
+    lines = raw.select("conv", F.posexplode(F.split("text", "\n")).alias("turn", "text"))
+    spoken = Scratch(spark)
+    rows = _ranked(lines.where(F.trim("text") != "").select("conv", F.col("turn").cast("long").alias("turn"), "text"), spoken, chunk)
+    said = spoken.write(_recovered(rows, model, spoken), "said")
+    w = Window.partitionBy("conv").orderBy("turn")  # one text's lines
+    begins = (F.lag("role_pred").over(w).isNull() | (F.lag("role_pred").over(w) != F.col("role_pred")) | F.col("text").rlike(_ANY_MARKER)).cast("int")
+    nth = said.withColumn("begins", begins).select("conv", "turn", "role_pred", "begins")
+    whole = lines.select("conv", F.col("turn").cast("long").alias("turn"), "text").join(nth, ["conv", "turn"], "left")
+    marked = whole.withColumn("nth", F.greatest(F.sum(F.coalesce("begins", F.lit(0))).over(w), F.lit(1)))
+    grouped = marked.groupBy("conv", "nth").agg(F.min(F.when(F.col("role_pred").isNotNull(), F.col("turn"))).alias("line"), F.first("role_pred", ignorenulls=True).alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    found = grouped.where("role is not null").select("conv", "line", "role", rendered(F.col("role"), F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("rendered"))
+    return raw.select("conv", "doc_id").join(found, "conv", "left").select("doc_id", "line", "role", "rendered")

@@ -179,7 +179,7 @@ def test_language(spark):
         words = kinds[lang]
         rows.append((k, " ".join("".join(rng.choices(words, k=rng.randrange(1, 3))) for _ in range(30)), None if k % 10 == 9 else lang))
     extra = [(900 + k, t, "xx") for k, t in enumerate([None, "", "12 34 !?", "...", "ß", "漢"])]
-    table = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit(1))
+    table = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit(1)).withColumn("th", F.lit(2))
     found = {r.doc_id: r for r in language.identify(table, fold("doc_id", 5) != 0).collect()}
     assert np.mean([found[k].lang_pred == sorted(kinds)[k % 3] for k in range(300)]) > 0.98
     assert [found[900 + k].lang_pred for k in range(4)] == ["und"] * 4 and found[904].lang_pred in kinds and found[905].lang_pred in kinds
@@ -188,6 +188,32 @@ def test_language(spark):
     assert language.identify(docs(spark, []), F.lit(True)).count() == 0
 
 
+def test_language_masks_are_exact_sets_and_more(spark):
+    """Every n-gram that a filter took is found in it, and a verdict is that of the corrected votes."""
+    rng = random.Random(1)
+    rows = [(k, " ".join(rng.choices(["foo", "bar", "foobar"] if k % 2 else ["baz", "qux", "bazqux"], k=20)), k % 2) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang int")  # languages that are no strings
+    filters = language.learn(table, F.lit(True), max_kept=10_000, least_share=0.0)
+    assert filters.languages == ["0", "1"]
+    for k, x in enumerate(("baz qux bazqux", "foo bar foobar")):
+        grams, starts, ends = language.grams_of([x.encode()])
+        grams = grams[: int(ends[0])]
+        assert (filters.masks(grams[1:-2])[0] >> k & 1).mean() > 0.4
+    found = {r.doc_id: r for r in language.identify(table, F.lit(True)).collect()}
+    assert all(found[k].lang_pred == str(k % 2) for k in range(60))
+    votes = []
+    for _, t, _ in rows:
+        grams, starts, ends = language.grams_of([t.encode()])
+        grams = grams[starts[0] : ends[0]]
+        masks = language.learn(table, F.lit(True)).masks(grams)[0] if not votes else masks0(grams)
+        if not votes:
+            own = language.learn(table, F.lit(True))
+            masks0 = lambda g, own=own: own.masks(g)[0]
+        n = len(grams)
+        votes.append([max(((masks >> k & 1).sum() - n * own.false_rate[k]) / (1 - own.false_rate[k]), 0) for k in range(2)])
+    assert [found[k].score for k in range(60)] == pytest.approx([max(v) / sum(v) for v in votes])
+
+
 def test_bloom_masks_hold_what_was_put_in():
     filters = language.Filters(["a", "b"], 0, np.zeros((1, 1 << language.SLOT_BITS), np.uint8), np.zeros(2))
     grams = np.random.default_rng(0).integers(0, 1 << 32, 500, dtype=np.uint64).astype(np.uint32)
@@ -239,5 +265,78 @@ def test_transcript_edges(spark):
     assert transcripts.recover(spark.createDataFrame([], TURNS), F.lit(True)).count() == 0
     raw = docs(spark, ["User: what is it?\nAssistant: it is a thing.\nand more of it.\nHuman: why?", None, ""])
     taught = spark.createDataFrame([(k, t, r, x) for k in range(20) for t, r, x in ((0, "user", "User: what?"), (1, "assistant", "Assistant: it is so."))], TURNS)
-    turns = transcripts.parse_text(raw, taught, F.lit(True)).orderBy("doc_id", "line").collect()
+    every = transcripts.parse_text(raw, taught, F.lit(True)).orderBy("doc_id", "line").collect()
+    turns = [r for r in every if r.doc_id == 0]
     assert turns[0].role == "user" and turns[0].rendered == "<|user|>\nwhat is it?\n<|end|>\n" and turns[-1].rendered == "<|user|>\nwhy?\n<|end|>\n"
+    assert [(r.doc_id, r.line, r.role, r.rendered) for r in every[len(turns) :]] == [(1, None, None, None), (2, None, None, None)]
+
+
+def test_parsed_transcripts_lose_and_leak_nothing(spark):
+    """Null, negative and shared ids, blank lines, and two turns of one speaker in a row."""
+    taught = spark.createDataFrame([(-5 + k, t, r, x) for k in range(20) for t, r, x in ((0, "user", "User: what?"), (1, "assistant", "Assistant: it is so."))], TURNS)
+    rows = [(-4, "\nUser: one?\n\nAssistant: two.\n\nand on"), (4, "User: three?"), (4, "User: four?\nUser: five?"), (None, "User: six?")]
+    raw = spark.createDataFrame(rows, "doc_id long, text string").withColumn("conv", F.lit(9)).withColumn("turn", F.lit("x"))
+    found = sorted(((r.doc_id or 0, r.line, r.rendered.split("\n", 1)[1].removesuffix("\n<|end|>\n")) for r in transcripts.parse_text(raw, taught, F.lit(True)).collect()), key=repr)
+    assert found == sorted([(-4, 1, "one?"), (-4, 3, "two.\n\nand on"), (4, 0, "three?"), (4, 0, "four?"), (4, 1, "five?"), (0, 0, "six?")], key=repr)
+
+
+def test_many_turns_of_one_number(spark):
+    """Turns without numbers, or all of one, are cut into chunks like others, and decoded as one conversation."""
+    rng = random.Random(4)
+    rows = [r for r in conversations() if r[0]]
+    rows += [(900, None if k % 2 else 7, None, prose(rng, 6) + "?") for k in range(60)] + [(901, 3, None, "same")] * 40
+    table = spark.createDataFrame(rows, TURNS)
+    whole = transcripts.recover(table, fold("conv_id", 5) != 0).collect()
+    cut = transcripts.recover(table, fold("conv_id", 5) != 0, chunk=8).collect()
+    key = lambda found: sorted((r.conv, r.turn is not None, r.turn or 0, r.text) for r in found)
+    assert key(whole) == key(cut) == sorted((c, t is not None, t or 0, x) for c, t, _, x in rows)
+
+
+def test_model_of_shared_ids_does_not_depend_on_order(spark):
+    texts, good, labels = labelled(spark, 90)
+    rows = [(k % 60, t, "en", "s", 1) for k, t in enumerate(texts)]  # ids 0 to 29 have two texts
+    make = lambda order: spark.createDataFrame([rows[k] for k in order], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    one = {(r.doc_id, r.stats.log_bytes, r.score) for r in rule_ensemble.score(make(range(90)), labels, F.lit(True)).collect()}
+    two = {(r.doc_id, r.stats.log_bytes, r.score) for r in rule_ensemble.score(make(range(89, -1, -1)), labels, F.lit(True)).collect()}
+    assert one == two
+    clash = make(range(90)).withColumn("stats", F.lit(1)).withColumn("__stats", F.lit(2)).withColumn("c0", F.lit(3))
+    kept = rule_ensemble.keep_good(clash, labels, F.lit(True))
+    assert kept.columns == clash.columns and {tuple(r)[5:] for r in kept.collect()} == {(1, 2, 3)}
+    assert {(r.doc_id) for r in kept.collect()} == {d for d, _, s in one if s >= rule_ensemble.THRESHOLD}
+
+
+def test_statistics_against_plain_counts():
+    texts = ["One two  two\nthree! THREE\n\nx|y\nx|y", "", "é" * 5 + " $1.5", "a b a b a b", *[t for t in EDGES if t]]
+    found = rule_ensemble.statistics_of([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        raw, words = t.encode(), t.encode().lower().split()
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / max(len(raw), 1)
+        expected = {
+            "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(words)), "word_bytes": len(raw) / max(len(words), 1),
+            "symbols": share(b"#*$%&|<>{}[]=~^_\\"), "pipes": share(b"|"), "marks": share(b"!?"), "upper": share(range(65, 91)), "digits": share(range(48, 58)),
+            "stops": share(b".,;:"), "newlines": share(b"\n"), "wide": share(range(192, 256)), "distinct_words": len(set(words)) / max(len(words), 1),
+            "repeated_lines": (len(lines) - len(set(lines))) / max(len(lines), 1),
+            "repeated_words": 1 - len(set(zip(words, words[1:]))) / (len(words) - 1) if len(words) > 1 else 0.0,
+        }
+        assert {s: float(found[s][k]) for s in rule_ensemble.STATS} == pytest.approx(expected)
+
+
+def test_quality_rules_hold_out_and_calibrate(spark, sf_dir):
+    """On documents that the model has not seen: few mistakes, and probabilities that are not far from the shares."""
+    from sparktile.llm.common import table
+
+    at = sf_dir.replace("sf0.001", "sf0.01")
+    labels = table(spark, at, "labels")
+    found = ngram_logistic.judge(table(spark, at, "documents"), labels.where(fold("doc_id", 5) != 0)).join(labels.where(fold("doc_id", 5) == 0).select("doc_id", "quality"), "doc_id").collect()
+    right = np.mean([(r.probability >= 0.5) == (r.quality == 1) for r in found])
+    assert len(found) > 50 and right > 0.93 and abs(np.mean([r.probability for r in found]) - np.mean([r.quality for r in found])) < 0.08
+
+
+def test_character_runs_are_of_characters():
+    """Runs of four characters, not bytes: a document's places depend on its own text only."""
+    texts = ["né漢字é", "abc", "", "ABCD", "abcd" * 3, "né漢字é"]
+    parsed = ngram_logistic.Parsed([t.encode() for t in texts])
+    _, (places, starts, ends) = parsed.places()
+    assert (ends - starts).tolist() == [max(len(t) - 3, 0) for t in texts]
+    assert places[starts[0] : ends[0]].tolist() == places[starts[5] : ends[5]].tolist() and places[starts[3]] == places[starts[4]]
