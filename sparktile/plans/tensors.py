@@ -381,6 +381,7 @@ SELECT tile AS i, tile::INTEGER AS tile, (n * first + n * (n - 1) // 2)::BIGINT
         "udf_per_tile": f"SELECT p_partkey AS i, round(p_retailprice - avg(p_retailprice) OVER (PARTITION BY {_TILE}), 4) AS v FROM part",
         "udf_threaded": "SELECT p_partkey AS i, round(p_retailprice + p_partkey % 6, 4) AS v FROM part",
         "udf_single_tile": f"SELECT p_partkey AS i, round(p_retailprice * 3, 4) AS v FROM part WHERE {_TILE} = 1",
+        "reinterpret_cast": "SELECT p_partkey AS i, (p_retailprice::DOUBLE)::BIT::BIGINT AS v FROM part",
         "udf_tile_id": f"SELECT p_partkey AS i, {_TILE}::DOUBLE AS v FROM part",
         "subscript": "SELECT vec_id AS i, round((embedding[6] - embedding[7])::FLOAT::DOUBLE, 4) + 0.0::DOUBLE AS v FROM embeddings",
         "narrow_index": "SELECT p_partkey AS i, p_size::SMALLINT AS v, 'uint8' AS type FROM part",
