@@ -9,9 +9,9 @@ probability that its similarity reaches the threshold (uniform prior) is below
 Two rounds keep large groups from being compared pair by pair. First each tile of
 a bucket (tiles are dealt by a hash that differs from band to band) sends only a
 spanning forest of its best survivors to verification. Then buckets that still hold
-several components are cut into units of two tiles; a bucket with many rows outside
-its largest component is dealt again by a second shared band before that, and by a
-third, so that documents that only share a passage part and units grow with the rows. Units are
+several components are cut into units of two tiles; a bucket whose units would take in
+more rows than dealing it out again by a second shared band, or a third, is dealt out
+before that, so that documents that only share a passage part. Units are
 compared on signatures alone; only rows of pairs across components that survive go
 on with their full sets, and are verified there, the likeliest first.
 
@@ -36,8 +36,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, mix64, slices, text_bytes, trimmed
 from .components import components
@@ -49,7 +50,6 @@ DEPTH = 3  # bands by which a pair may be dealt
 HASHES, BATCH = 128, 16  # signature values at least, and those compared at once
 MISS = 1e-6  # probability that a pair at the threshold shares fewer than DEPTH bands, and that a batch drops it
 TILE = 128
-SPLIT = 4  # a bucket with more than this part of a tile outside its largest component is dealt again
 BROADCAST_ROWS = 1_000_000  # of 16 bytes; beyond it a shuffled join is used
 
 
@@ -367,9 +367,18 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch,
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """Buckets of several components: their sizes, and their largest component with its rows."""
-    shares = rows.groupBy("key", "label").agg(F.count("*").alias("n_label"))
-    whole = shares.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n_label").alias("size"), F.max(F.struct("n_label", "label")).alias("top"))
-    return whole.where("kinds > 1").select("key", "size", F.col("top.n_label").alias("n_top"), F.col("top.label").alias("top"))
+    told = "later" in rows.columns
+    shares = rows.groupBy("key", "label").agg(F.count("*").alias("n_label"), *([F.sum("later").alias("later")] if told else []))
+    deals = [F.sum("later").alias("deals")] if told else []
+    whole = shares.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n_label").alias("size"), F.max(F.struct("n_label", "label")).alias("top"), *deals)
+    return whole.where("kinds > 1").select("key", "size", F.col("top.n_label").alias("n_top"), F.col("top.label").alias("top"), *(["deals"] if told else []))
+
+
+def _unit_rows(tile: int) -> Column:
+    """Rows that a bucket's units take in."""
+    rest = F.col("size") - F.col("n_top")
+    rest_tiles, top_tiles = F.ceil(rest / tile), F.ceil(F.col("n_top") / tile)
+    return F.when(F.col("size") <= 2 * tile, F.col("size")).otherwise(rest * (rest_tiles + top_tiles) + F.col("n_top") * rest_tiles)
 
 
 def _cells(rows: DataFrame, tile: int) -> DataFrame:
@@ -420,18 +429,20 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     labelled = members.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("key", "band", "cid", F.coalesce("label", "cid").alias("label"))
     labelled = scratch.write(labelled, "labelled")
     mixed = scratch.write(_mixed(labelled).where("size > 2"), "mixed")  # in a bucket of two the first round has seen the only pair
-    live = scratch.write(labelled.join(mixed, "key"), "live")
-    rows, cells, depth = live.withColumn("path", (F.col("band") + 1).cast("long")), None, 1
-    others = live.select("cid", F.col("band").alias("next"), F.col("key").alias("second"))
+    later = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("band"))) - 1  # a class has one row a band
+    live = scratch.write(labelled.join(mixed, "key").withColumn("later", later), "live")
+    deals = live.groupBy("key").agg(F.sum("later").alias("deals"))
+    rows, cells, depth = live.join(deals, "key").withColumn("path", (F.col("band") + 1).cast("long")), None, 1
+    others = live.select("cid", F.col("band").alias("next"), F.col("key").alias("second"), "later")
     while True:
-        # Where many rows stand outside the largest component, another shared band deals them out again.
-        wide = (F.col("size") - F.col("n_top") > tile // SPLIT) if depth < DEPTH else F.lit(False)
+        # Where units would take in more rows than another shared band deals out, it deals them out again.
+        wide = (2 * F.col("deals") < _unit_rows(tile)) if depth < DEPTH else F.lit(False)
         some = _cells(rows.where(~wide), tile)
         cells = some if cells is None else cells.union(some)
         if depth == DEPTH or rows.where(wide).isEmpty():
             break
         again = rows.where(wide).select("key", "path", "band", "cid", "label").join(others, "cid").where("next > band")
-        again = again.select(F.xxhash64("key", "second").alias("key"), (F.col("path") + (F.col("next") + 1) * F.lit(_PLACE**depth)).alias("path"), F.col("next").alias("band"), "cid", "label")
+        again = again.select(F.xxhash64("key", "second").alias("key"), (F.col("path") + (F.col("next") + 1) * F.lit(_PLACE**depth)).alias("path"), F.col("next").alias("band"), "cid", "label", "later")
         dealt = scratch.write(again, f"dealt{depth}")
         rows, depth = scratch.write(dealt.join(_mixed(dealt), "key"), f"rows{depth}"), depth + 1
     cells = scratch.write(cells, "cells")
