@@ -7,8 +7,9 @@ probability that its similarity reaches the threshold (uniform prior) is below
 ``MISS``. Survivors are verified on the full shingle sets.
 
 Two rounds keep large groups from being compared pair by pair. First each tile of
-a bucket (tiles are dealt by a hash that differs from band to band) sends only a
-spanning forest of its best survivors to verification. Then buckets that still hold
+a bucket of the first ``FIRST_BANDS`` bands (tiles are dealt by a hash that differs from
+band to band) sends only a spanning forest of its best survivors to verification. Then
+buckets of any band that still hold
 several components are cut into units of two tiles; a bucket whose units would take in
 more rows than dealing it out again by a second shared band, or a third, is dealt out
 before that, so that documents that only share a passage part. Units are
@@ -49,6 +50,7 @@ ROWS = 5  # signature values in a band
 DEPTH = 3  # bands by which a pair may be dealt
 HASHES, BATCH = 128, 16  # signature values at least, and those compared at once
 MISS = 1e-6  # probability that a pair at the threshold shares fewer than DEPTH bands, and that a batch drops it
+FIRST_BANDS = 12  # whose buckets the first round looks into: it need only join up large groups
 TILE = 128
 BROADCAST_ROWS = 1_000_000  # of 16 bytes; beyond it a shuffled join is used
 
@@ -421,14 +423,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     members = scratch.write(rows.join(multi, "key"), "members")
     sigs = reps.select("cid", "n", "sig")
 
-    tiles = members.withColumn("tile", F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("size") / tile)).cast("int"))
+    tiles = members.where(F.col("band") < FIRST_BANDS).withColumn("tile", F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("size") / tile)).cast("int"))
     tiled = tiles.join(sigs, "cid").select("key", "tile", "cid", "n", "sig").repartition("key", "tile").sortWithinPartitions("key", "tile")
     first = _links(tiled.mapInArrow(_within_tiles(steps, percent), "a long, b long"), reps, docs, scratch, "one", size, percent)
     labels = components(first, scratch, "cc1")
 
     labelled = members.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("key", "band", "cid", F.coalesce("label", "cid").alias("label"))
     labelled = scratch.write(labelled, "labelled")
-    mixed = scratch.write(_mixed(labelled).where("size > 2"), "mixed")  # in a bucket of two the first round has seen the only pair
+    # In a bucket of two the first round has seen the only pair, if it looked there.
+    seen = labelled.where(F.col("band") < FIRST_BANDS)
+    mixed = scratch.write(_mixed(seen).where("size > 2").union(_mixed(labelled.where(F.col("band") >= FIRST_BANDS))), "mixed")
     later = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("band"))) - 1  # a class has one row a band
     live = scratch.write(labelled.join(mixed, "key").withColumn("later", later), "live")
     deals = live.groupBy("key").agg(F.sum("later").alias("deals"))
