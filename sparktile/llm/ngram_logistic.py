@@ -1,13 +1,17 @@
 """Quality rules: base counts, and a hashed n-gram logistic regression.
 
-Words and word pairs, and runs of four bytes, are hashed into two tables of
+Words and word pairs, and runs of four characters, are hashed into two tables of
 weights. The regression learns from a bounded labelled sample over their relative
 frequencies, is calibrated on a part that it did not see, and is scored in Arrow
-batches against a fixed threshold.
+batches against a fixed threshold. The sample is the first ``SAMPLE_ROWS`` labelled
+documents in hash order, of those as many as fit into ``SAMPLE_BYTES`` of features.
 
-Cases: null or empty text has no words and fails the base rule; without labels of
-both kinds every probability is the smoothed share; repeated rows are judged one
-by one; an empty table gives no rows; only the id and the text are read.
+Cases: null or empty text has no words and fails the base rule; a text of any length
+is read whole; without labels of both kinds every probability is the smoothed share; a
+document with several labels has their mean, rounded half up; of rows that share an id
+one teaches, the first in the hash order of its text; repeated rows are judged one by
+one; an empty table gives no rows; only the id and the text are read, whatever other
+columns are called.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix64, slices, text_bytes
+from .common import Scratch, bound_batches, mix64, pack_array, slices, text_bytes, trimmed, unpack_array
 from .features import Counted, class_table, duplicate_lines, lengths_of, sums_between
 
 SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 64 << 20  # of the sample's packed features, which the driver reads
 BITS = 15  # of each of the two tables
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -34,14 +39,14 @@ KEEP_AT = 0.3
 _SYMBOLS = class_table(b"#*$%&|<>")
 _SPACE = class_table(b" \t\n\r\x0b\x0c")
 _WORD_CHAR = ((np.arange(256) & 0xC0) != 0x80).astype(np.uint8) * (1 - _SPACE)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_RUN = (2654435761, 2246822519, 3266489917, 668265263)  # odd multipliers, one for each place in a run
 
 
 class Parsed:
-    """A slice of texts with its words as hashes and its byte runs as table places."""
+    """A slice of texts with its words as hashes and its character runs as table places."""
 
     def __init__(self, texts: list[bytes]):
+        self.texts = texts
         self.counted = Counted(texts)
         split = [t.split() for t in texts]
         self.n_words = lengths_of(split)
@@ -75,7 +80,7 @@ class Parsed:
         return sums_between(inside, self.starts, self.ends)
 
     def places(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(table places, starts, ends) for words and pairs, then for byte runs, by document."""
+        """(table places, starts, ends) for words and pairs, then for character runs, by document."""
         word = (mix64(self.folded) >> np.uint64(64 - BITS)).astype(np.int64)
         pair = np.zeros(len(word), np.int64)
         if len(word) > 1:
@@ -83,14 +88,16 @@ class Parsed:
         first = np.zeros(len(word), bool)
         first[self.starts[self.n_words > 0]] = True
         yield np.stack([word, np.where(first, word, pair)], 1).reshape(-1), 2 * self.starts, 2 * self.ends
-        low = _LOWER[self.counted.buffer].astype(np.uint32)
-        n = len(low)
-        run = low.copy()
-        for i in (1, 2, 3):
-            run[: n - i] |= low[i:] << np.uint32(8 * i)  # the last runs of a document take in the next one's bytes,
-        run = (run * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        ends = np.maximum(self.counted.ends - 3, self.counted.starts)  # so they are left out
-        yield (1 << BITS) + run.astype(np.int64), self.counted.starts, ends
+        chars = [t.lower().decode(errors="replace") for t in self.texts]
+        points = np.frombuffer("".join(chars).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(lengths_of(chars))
+        starts, n = ends - lengths_of(chars), max(len(points) - 3, 0)
+        run = np.zeros(n, np.uint32)
+        for i, factor in enumerate(_RUN):
+            run += points[i : n + i] * np.uint32(factor)
+        run = (run * np.uint32(_RUN[0])) >> np.uint32(32 - BITS)
+        # The last runs of a document take in the next one's characters, so they are left out.
+        yield (1 << BITS) + run.astype(np.int64), np.minimum(starts, n), np.clip(ends - 3, np.minimum(starts, n), n)
 
 
 @dataclass
@@ -110,8 +117,38 @@ class Logistic:
         return total
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, turns: int = 150, decay: float = 1e-4) -> Logistic:
-    """Weights by Adam on two thirds of the rows, calibrated (Platt) on the rest."""
+class Rows:
+    """Sparse rows twice: by row for margins, by column for gradients."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int):
+        sizes = np.array([len(c) for c, _ in rows], np.int64)
+        self.col, self.val = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        self.col, self.val = self.col.astype(np.intp), self.val.astype(np.float32)
+        self.full = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.full]
+        row = np.repeat(np.arange(len(rows)), sizes)
+        order = np.argsort(self.col, kind="stable")
+        self.row_c, self.val_c = row[order], self.val[order]
+        counts = np.bincount(self.col, minlength=size)
+        self.used = np.flatnonzero(counts)
+        self.starts_c = (np.cumsum(counts) - counts)[self.used]
+        self.n, self.size = len(rows), size
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(self.val * w.astype(np.float32).take(self.col, mode="clip"), self.starts)
+        return out
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(self.used):
+            out[self.used] = np.add.reduceat(self.val_c * error.astype(np.float32).take(self.row_c, mode="clip"), self.starts_c)
+        return out
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, turns: int = 40, decay: float = 1e-6, still: float = 1e-3) -> Logistic:
+    """Weights by L-BFGS on two thirds of the rows until the gradient is still, calibrated (Platt) on the rest."""
     size = 2 << BITS
     if len(y) < 30 or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
@@ -119,23 +156,47 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, turns: int = 1
     teach = np.arange(len(y)) % 3 != 0
     if y[teach].min() == y[teach].max():
         teach[:] = True
-    sizes = np.array([len(r[0]) for r in rows])
-    row = np.repeat(np.arange(len(y)), sizes)
-    col = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    val = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    use = teach[row]
-    w, b, m, v = np.zeros(size), float(np.log(y[teach].mean() / (1 - y[teach].mean()))), np.zeros(size + 1), np.zeros(size + 1)
-    n = teach.sum()
-    for t in range(1, turns + 1):
-        margin = np.bincount(row, weights=w[col] * val, minlength=len(y)) + b
-        error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) * teach
-        grad = np.append(np.bincount(col[use], weights=val[use] * error[row[use]], minlength=size) / n + decay * w / n, error.sum() / n)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
-        w -= step[:-1]
-        b -= step[-1]
-    margin = np.bincount(row, weights=w[col] * val, minlength=len(y)) + b
-    model = Logistic(w.astype(np.float32), b)
+    x, n = Rows(rows, size), teach.sum()
+    dot = lambda a, b: float(np.einsum("i,i->", a, b))  # noqa: E731  # one thread, whatever the library has
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        margin = np.clip(x.margins(v[:-1]) + v[-1], -40, 40)
+        error = (1 / (1 + np.exp(-margin)) - y) * teach / n
+        value = ((np.logaddexp(0, margin) - y * margin) * teach).sum() / n + decay / 2 * dot(v[:-1], v[:-1])
+        return float(value), np.append(x.gradient(error) + decay * v[:-1], error.sum())
+
+    v = np.zeros(size + 1)
+    v[-1] = np.log(y[teach].mean() / (1 - y[teach].mean()))
+    now, grad = loss(v)
+    begun, past = dot(grad, grad) ** 0.5, []
+    for _ in range(turns):
+        if dot(grad, grad) ** 0.5 <= still * begun:
+            break
+        step, kept = -grad, []
+        for s, d in reversed(past):
+            kept.append(dot(s, step) / dot(s, d))
+            step = step - kept[-1] * d
+        if past:
+            s, d = past[-1]
+            step = step * (dot(s, d) / dot(d, d))
+        else:
+            step = step / max(begun, 1e-12)
+        for (s, d), a in zip(past, reversed(kept), strict=True):
+            step = step + s * (a - dot(d, step) / dot(s, d))
+        rate, slope = 1.0, dot(grad, step)
+        while rate > 1e-8:
+            value, ahead = loss(v + rate * step)
+            if value <= now + 1e-4 * rate * slope:
+                break
+            rate /= 2
+        else:
+            break
+        s, d = rate * step, ahead - grad
+        if dot(s, d) > 1e-12:
+            past = [*past[-7:], (s, d)]
+        v, now, grad = v + s, value, ahead
+    margin = x.margins(v[:-1]) + v[-1]
+    model = Logistic(v[:-1].astype(np.float32), float(v[-1]))
     model.slope, model.offset = _platt(margin[~teach], y[~teach]) if (~teach).any() else (1.0, 0.0)
     return model
 
@@ -155,29 +216,45 @@ def _platt(margin: np.ndarray, y: np.ndarray, turns: int = 50) -> tuple[float, f
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed features: places of both tables in order, how often each occurs, and the tables' totals."""
     for batch in batches:
         for part in slices(batch, "text"):
             parsed = Parsed(text_bytes(part.column(1)))
-            cols, vals = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
+            cols, times, totals = ([[] for _ in range(part.num_rows)] for _ in range(3))
             for places, starts, ends in parsed.places():
                 for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                    place, times = np.unique(places[a:b], return_counts=True)
+                    place, n = np.unique(places[a:b], return_counts=True)
                     cols[i].append(place.astype(np.uint32))
-                    vals[i].append((times / max(b - a, 1)).astype(np.float32))
+                    times[i].append(n.astype(np.uint32))
+                    totals[i].append(b - a)
+            packed = [[pack_array(np.concatenate(x)) for x in y] for y in (cols, times)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array([np.concatenate(c).tobytes() for c in cols], pa.binary()), pa.array([np.concatenate(v).tobytes() for v in vals], pa.binary())],
-                names=["doc_id", "label", "col", "val"],
+                [part.column(0), part.column(2), pa.array([[len(x) for x in c] for c in cols], pa.list_(pa.int32())), pa.array(totals, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in packed)],
+                names=["doc_id", "label", "sizes", "totals", "col", "times"],
             )
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Logistic:
-    """A model from at most ``sample_rows`` labelled documents, the first in hash order."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Logistic:
+    """A model from at most ``sample_rows`` labelled documents, the first in hash order, and ``sample_bytes`` of features."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     mean = (F.avg(F.col(label_col).cast("double")) >= 0.5).cast("double")
     chosen = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(mean.alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    rows = sorted(texts.mapInArrow(_sample_features, "doc_id long, label double, col binary, val binary").collect(), key=lambda r: (r.doc_id, r.col))
-    return fit([(np.frombuffer(r.col, np.uint32), np.frombuffer(r.val, np.float32)) for r in rows], np.array([r.label for r in rows], float))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
+    scratch = Scratch(docs.sparkSession)
+    features = scratch.write(texts.mapInArrow(_sample_features, "doc_id long, label double, sizes array<int>, totals array<long>, col binary, times binary"), "features")
+    size = (F.octet_length("col") + F.octet_length("times")).alias("size")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    at = np.cumsum([r["size"] for r in features.orderBy(*order).select(size).collect()], dtype=np.int64)
+    few = max(1, int(np.searchsorted(at, sample_bytes, side="right")))
+    rows, y = [], []
+    for r in features.orderBy(*order).limit(few).collect():
+        n = sum(r.sizes)
+        total = np.repeat(np.maximum(r.totals, 1), r.sizes)
+        rows.append((unpack_array(r.col, np.uint32, n), unpack_array(r.times, np.uint32, n) / total))
+        y.append(r.label)
+    scratch.drop()
+    return fit(rows, np.array(y, float))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT, **options) -> DataFrame:
@@ -199,4 +276,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
+    return source.mapInArrow(trimmed(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
