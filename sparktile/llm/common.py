@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -80,11 +79,6 @@ class Scratch:
         df.write.mode("overwrite").option("path", f"{self.root}/{tag}").bucketBy(n, key).saveAsTable(self.named[tag])
         return self.spark.table(self.named[tag])
 
-    def settle(self) -> None:
-        """Let shuffle files of finished jobs go: Spark deletes them once the driver has collected what refers to them."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *tags: str) -> None:
         """Delete tables of this scratch; without a tag, all of it."""
         for tag in tags or tuple(self.named):

@@ -58,8 +58,9 @@ _FOLLOW = np.uint64(0xA5A5A5A5A5A5A5A5)
 _BLOCK = {"block": ("long", pa.int64()), "doc_id": ("array<long>", pa.list_(pa.int64())), "held": ("array<boolean>", pa.list_(pa.bool_())), "lens": ("array<int>", pa.list_(pa.int32())), "n_words": ("int", pa.int32()), "words": ("binary", pa.binary()), "n_ids": ("int", pa.int32()), "ids": ("binary", pa.binary())}
 _ASK = {"kind": ("int", pa.int32()), "bucket": ("int", pa.int32()), "block": ("long", pa.int64()), "n": ("int", pa.int32()), "keys": ("binary", pa.binary()), "train": ("binary", pa.binary()), "other": ("binary", pa.binary()), "stats": ("array<long>", pa.list_(pa.int64()))}
 _ANSWER = {"kind": ("int", pa.int32()), "bucket": ("int", pa.int32()), "block": ("long", pa.int64()), "n": ("int", pa.int32()), "totals": ("binary", pa.binary()), "bits": ("binary", pa.binary()), "stats": ("array<long>", pa.list_(pa.int64()))}
-_PART = {"block": ("long", pa.int64()), "kind": ("int", pa.int32()), "bucket": ("int", pa.int32()), "n": ("int", pa.int32()), "keys": ("binary", pa.binary()), "total": ("binary", pa.binary()), "kept": ("binary", pa.binary()), "lower": ("binary", pa.binary()), "need": ("binary", pa.binary()), "doc_id": ("array<long>", pa.list_(pa.int64())), "held": ("array<boolean>", pa.list_(pa.bool_())), "n_tokens": ("array<long>", pa.list_(pa.int64())), "n_known": ("array<long>", pa.list_(pa.int64())), "base": ("array<double>", pa.list_(pa.float64())), "part": ("array<double>", pa.list_(pa.float64())), "back_doc": ("binary", pa.binary()), "back_at": ("binary", pa.binary()), "n_back": ("int", pa.int32())}
-_WEIGHT = {"bucket": ("int", pa.int32()), "kind": ("int", pa.int32()), "block": ("long", pa.int64()), "n": ("int", pa.int32()), "alpha": ("binary", pa.binary())}
+_PART = {"block": ("long", pa.int64()), "kind": ("int", pa.int32()), "bucket": ("long", pa.int64()), "n": ("int", pa.int32()), "keys": ("binary", pa.binary()), "total": ("binary", pa.binary()), "kept": ("binary", pa.binary()), "lower": ("binary", pa.binary()), "need": ("binary", pa.binary()), "doc_id": ("array<long>", pa.list_(pa.int64())), "held": ("array<boolean>", pa.list_(pa.bool_())), "n_tokens": ("array<long>", pa.list_(pa.int64())), "n_known": ("array<long>", pa.list_(pa.int64())), "base": ("array<double>", pa.list_(pa.float64())), "part": ("array<double>", pa.list_(pa.float64())), "back_doc": ("binary", pa.binary()), "back_at": ("binary", pa.binary()), "n_back": ("int", pa.int32())}
+#: Of a part, what stays when contexts have been summed: a block's weights, and its documents as far as they are scored.
+_DONE = {k: _PART[k] for k in ("block", "kind", "bucket", "n")} | {"alpha": ("binary", pa.binary())} | {k: t for k, t in list(_PART.items())[9:]}
 _OUT = {"doc_id": ("long", pa.int64()), "held_out": ("boolean", pa.bool_()), "n_tokens": ("long", pa.int64()), "n_known": ("long", pa.int64()), "base_score": ("double", pa.float64()), "score": ("double", pa.float64())}
 _NGRAM = {"order": ("int", pa.int32()), "key": ("long", pa.int64()), "context": ("long", pa.int64()), "count": ("long", pa.int64()), "log_p": ("double", pa.float64()), "lower": ("double", pa.float64())}
 Fields = dict[str, tuple[str, pa.DataType]]
@@ -396,14 +397,20 @@ def _partial(model: Model, buckets: int):
             known = (b.is_token & (c > 0)).astype(np.int64)
             docs, at = (np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32) for x in (back_doc, back_at))
             sums = [np.add.reduceat(x, b.starts).tolist() for x in (known, base, logp)]
-            rows.append([b.block, 0, -1, 0, None, None, None, None, None, b.doc_id, b.held, b.lens.tolist(), *sums, pack_array(docs), pack_array(at), len(docs)])
+            rows.append([b.block, 0, -1 - b.block, 0, None, None, None, None, None, b.doc_id, b.held, b.lens.tolist(), *sums, pack_array(docs), pack_array(at), len(docs)])
         return pa.table(_arrays(_PART, rows), names=list(_PART))
 
     return run
 
 
 def _weights(group: pa.Table) -> pa.Table:
-    """Back-off weights (log10) of a bucket's contexts, returned to the blocks that need them."""
+    """Back-off weights (log10) of a bucket's contexts, returned to the blocks that need them.
+
+    What a block has of its documents comes as a bucket of its own, and goes on as it is.
+    """
+    none = [None] * (len(_DONE) - 6)
+    if group.column("bucket")[0].as_py() < 0:
+        return group.select([k for k in _DONE if k != "alpha"]).add_column(4, "alpha", pa.nulls(group.num_rows, pa.binary()))
     rows, distinct, inverse, _, at = _gather(group)
     kept, lower = (np.bincount(inverse, weights=np.concatenate([unpack_array(r[c], np.float64, r["n"]) for r in rows]), minlength=len(distinct)) for c in ("kept", "lower"))
     total = np.zeros(len(distinct), np.int64)
@@ -412,15 +419,18 @@ def _weights(group: pa.Table) -> pa.Table:
     for r, a, b in zip(rows, at[:-1], at[1:], strict=True):
         need = np.unpackbits(np.frombuffer(r["need"], np.uint8), count=r["n"]).astype(bool)
         if need.any():
-            out.append([r["bucket"], r["kind"], r["block"], int(need.sum()), pack_array(alpha[inverse[a:b][need]])])
-    return pa.table(_arrays(_WEIGHT, out), names=list(_WEIGHT))
+            out.append([r["block"], r["kind"], r["bucket"], int(need.sum()), pack_array(alpha[inverse[a:b][need]]), *none, 0])
+    return pa.table(_arrays(_DONE, out), names=list(_DONE))
 
 
-def _final(left: pa.Table, right: pa.Table) -> pa.Table:
-    out: list[list] = [[] for _ in _OUT]
-    answers = sorted(right.to_pylist(), key=lambda r: (-r["kind"], r["bucket"]))
+def _final(group: pa.Table) -> pa.Table:
+    """A block's documents with the weights that they back off by."""
+    rows, out = group.to_pylist(), [[] for _ in _OUT]
+    answers = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: (-r["kind"], r["bucket"]))
     alpha = np.concatenate([unpack_array(r["alpha"], np.float64, r["n"]) for r in answers]) if answers else np.empty(0)
-    for r in left.to_pylist():
+    for r in rows:
+        if r["bucket"] >= 0:
+            continue
         score = np.array(r["part"], float)
         if r["n_back"]:
             docs, at = unpack_array(r["back_doc"], np.int32, r["n_back"]), unpack_array(r["back_at"], np.int32, r["n_back"])
@@ -453,14 +463,13 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     model = Model({r["kind"]: [int(r[f"s{i}"]) for i in range(STATS + 2)] for r in rows}, order)
     model.unknown = _unknown_mass(blocks, every, model)
     totals = every.where("block >= 0").groupBy("block")
-    parts = scratch.write(blocks.groupBy("block").cogroup(totals).applyInArrow(_partial(model, buckets), _ddl(_PART)), "parts")
+    # Contexts are summed on their way: only weights and scores are written.
+    parts = blocks.groupBy("block").cogroup(totals).applyInArrow(_partial(model, buckets), _ddl(_PART))
+    done = scratch.write(parts.groupBy("kind", "bucket").applyInArrow(_weights, _ddl(_DONE)), "done")
     if keep:
         _kept_tables(blocks, totals, model, keep)
     scratch.drop("blocks", "answers_2", *[f"answers_{k}" for k in range(3, order + 1)])
-    contexts = parts.where("bucket >= 0").select("kind", "bucket", "block", "n", "keys", "total", "kept", "lower", "need")
-    weights = contexts.groupBy("kind", "bucket").applyInArrow(_weights, _ddl(_WEIGHT))
-    done = parts.where("bucket = -1").select("block", "doc_id", "held", "n_tokens", "n_known", "base", "part", "back_doc", "back_at", "n_back")
-    out = done.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(_final, _ddl(_OUT))
+    out = done.groupBy("block").applyInArrow(_final, _ddl(_OUT))
     return out.withColumn("train_tokens", F.lit(model.n).cast("long"))
 
 
