@@ -43,6 +43,36 @@ def partition_rows(matrix: Matrix, tiles: int) -> DataFrame:
     return rows.join(F.broadcast(dense), "raw").select("row", F.col("tile").cast("int").alias("tile"))
 
 
+def tile_starts(matrix: Matrix, tiles: int) -> tuple[np.ndarray, int]:
+    """The first rows of the tiles that ``partition_rows`` deals, and the entries' number; only blocks' sums reach the driver."""
+    n = matrix.n_rows
+    size = max(BLOCK_ROWS, int(n**0.5))
+    weights = np.minimum(size, n - np.arange(0, n, size))
+    block = F.expr(f"row div {size}").cast("long")
+    for r in matrix.df.groupBy(block.alias("block")).count().toPandas().itertuples():
+        weights[r.block] += r.count
+    ends = np.cumsum(weights)
+    total = int(ends[-1]) if n else 0
+    if tiles == 1 or not total:
+        return np.zeros(1, np.int64), total - n
+    begin = ends - weights
+    raw = lambda before: np.minimum(before * tiles // total, tiles - 1)
+    inside = [int(b) for b in np.flatnonzero(raw(begin) != raw(ends))]  # blocks in which, or right after which, a tile begins
+    known = {b: int(begin[b]) for b in inside}
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(pdf["block"].iloc[0])
+        w = np.ones(min(size, n - b * size), np.int64)
+        np.add.at(w, pdf["row"].to_numpy() - b * size, pdf["n"].to_numpy())
+        tile = np.minimum((known[b] + np.append(0, np.cumsum(w))) * tiles // total, tiles - 1)
+        return pd.DataFrame({"row": np.flatnonzero(np.diff(tile) != 0) + 1 + b * size})
+
+    rows = matrix.df.select("row", block.alias("block")).where(F.col("block").isin(inside)).groupBy("block", "row").agg(F.count("*").alias("n"))
+    every = matrix.spark.createDataFrame([(b, b * size, 0) for b in inside], "block long, row long, n long")
+    found = rows.union(every).groupBy("block").applyInPandas(cut, "row long").toPandas()["row"].to_numpy()
+    return np.unique(np.append(0, found[found < n])).astype(np.int64), total - n
+
+
 def partition_box(spark, nx: int, ny: int, nz: int, parts: tuple[int, int, int]) -> DataFrame:
     """(row, tile) of a box cut into equal boxes."""
     px, py, pz = parts

@@ -1,9 +1,9 @@
 """Solvers over matrices of any size: loops on the driver, vectors on the executors.
 
-Vectors are frames (i, v). The matrix is written once, bucketed by tile, so that no
-step moves it again; each tile's kernel (sweep or triangular solve) runs on the tile's
-rows alone. Scalars of one step come from one aggregate; state is written to the shared
-folder once a step, so plans stay short and a lost executor repeats one step.
+The matrix is written once in blocks, bucketed by tile, so that no step moves it again;
+each tile's kernel (sweep or triangular solve) runs on the tile's rows alone, a chunk at
+a time. Scalars of one step are sums over chunks; state is written to the shared folder
+once a step, so plans stay short and a lost executor repeats one step.
 
 A small system of one tile may be solved inside one task instead. Both places read the
 same configuration, compute in the same types, and tell and time their runs alike.
@@ -12,21 +12,22 @@ same configuration, compute in the same types, and tell and time their runs alik
 from __future__ import annotations
 
 import json
-from math import ceil
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.layout import partition_rows
+from ..operators.layout import tile_starts
 from ..operators.sparse import Matrix
 from ..operators.tensor import Tensor
-from ..session import bucketed, dropped, written
+from ..session import dropped, written
 from ..shape import DistributedShape
-from ..types import FLOAT32, FLOAT64, DType
+from ..types import FLOAT64, DType
+from .blocks import Blocks, Vector, dtype_of
 from .config import GaussSeidelConfig, ILUConfig, IterativeRefinementConfig, PBiCGStabConfig, RestarterConfig, SolverConfig
-from .local import Csr, Ilu, LocalSolver, Sweep
+from .local import Csr, LocalSolver
 from .stats import SolverStats
 
 #: Systems of up to so many rows and entries may be solved inside one task.
@@ -44,68 +45,65 @@ def _wider(*kinds: str) -> str:
     return "double" if "double" in kinds else "float"
 
 
-def _norm(x: Column, kind: str) -> Column:
-    x = x.cast("double")
-    return {"L1": F.sum(F.abs(x)), "L2": F.sqrt(F.sum(x * x)), "LINF": F.max(F.abs(x))}[kind]
+def _share(x: np.ndarray, kind: str) -> float:
+    """What a chunk adds to a norm."""
+    x = x.astype(np.float64)
+    return float({"L1": lambda: np.abs(x).sum(), "L2": lambda: (x * x).sum(), "LINF": lambda: np.abs(x).max(initial=0.0)}[kind]())
+
+
+def _dot(u: np.ndarray, v: np.ndarray) -> float:
+    return float((u.astype(np.float64) * v).sum())
 
 
 class System:
-    """A square matrix with its rows dealt to tiles."""
+    """A square matrix in blocks, its rows dealt to tiles; rows are numbered tile by tile."""
 
     def __init__(self, matrix: Matrix, tiles: int = 1, partition: DataFrame | None = None):
         if matrix.n_rows != matrix.n_cols:
             raise ValueError("a solver needs a square matrix")
-        self.matrix, self.tiles, self.kind = matrix.materialize(), tiles, _kind(matrix.dtype, "double")
-        self.partition = written(partition if partition is not None else partition_rows(self.matrix, tiles))
-        self._inside: DataFrame | None = None
-        self._all: DataFrame | None = None
-        self._made: list[DataFrame] = []
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """A table of this system, which goes with it if not before."""
-        self._made.append(written(df))
-        return self._made[-1]
-
-    @property
-    def n(self) -> int:
-        return self.matrix.n_rows
-
-    def products(self, x: DataFrame, kind: str) -> DataFrame:
-        """A x in one type: products are rounded to it, and their sum once more."""
-        return self.matrix.products(x, DType_of[kind]).select("i", F.col("v").cast(kind).alias("v"))
-
-    def residual(self, x: DataFrame, b: DataFrame, kind: str) -> DataFrame:
-        return b.join(self.products(x, kind).withColumnRenamed("v", "ax"), "i").select("i", (F.col("v").cast(kind) - F.col("ax")).alias("v"))
-
-    def by_tile(self, inside: bool) -> DataFrame:
-        """(tile, row, col, val): all entries of a tile's rows, or those between its own rows."""
-        if self._all is None:
-            rows = self.matrix.df.join(self.partition, "row").select("tile", "row", "col", F.col("val").cast(self.kind).alias("val"))
-            self._all = bucketed(rows, "tile", self.tiles)
-        if not inside:
-            return self._all
-        if self._inside is None:
-            cols = self.partition.select(F.col("row").alias("col"), F.col("tile"))
-            self._inside = written(self._all.join(cols, ["col", "tile"]).select("tile", "row", "col", "val"))
-        return self._inside
-
-    def tiled(self, x: DataFrame) -> DataFrame:
-        return x.join(self.partition.withColumnRenamed("row", "i"), "i").select("tile", "i", "v")
+        self.n, self.tiles, self.kind, self.places = matrix.n_rows, tiles, _kind(matrix.dtype, "double"), None
+        made: list[DataFrame] = []
+        if not hasattr(matrix.df, "_tile_path"):
+            matrix = matrix.materialize()
+            made.append(matrix.df)
+        if partition is None:
+            starts, count = tile_starts(matrix, tiles)
+        else:
+            sizes = partition.groupBy("tile").count().orderBy("tile").toPandas()
+            starts, count = np.append(0, np.cumsum(sizes["count"].to_numpy())[:-1]), matrix.df.count()
+            begin = F.broadcast(matrix.spark.createDataFrame([(int(t), int(s)) for t, s in zip(sizes["tile"], starts, strict=True)], "tile int, begin long"))
+            place = F.row_number().over(Window.partitionBy("tile").orderBy("row")) - 1 + F.col("begin")
+            self.places = written(partition.join(begin, "tile").select("row", place.cast("bigint").alias("place")))
+        entries = matrix.df.select("row", "col", F.col("val").cast("double").alias("val"))
+        if self.places is not None:
+            for side in ("row", "col"):
+                entries = entries.join(self.places.select(F.col("row").alias(side), F.col("place").alias(f"new_{side}")), side)
+            entries = entries.select(F.col("new_row").alias("row"), F.col("new_col").alias("col"), "val")
+        self.blocks = Blocks(entries, self.n, count, starts, self.kind)
+        dropped(*made)
+
+    def vector(self, df: DataFrame) -> Vector:
+        if self.places is not None:
+            df = df.join(self.places, df["i"] == self.places["row"]).select(F.col("place").alias("i"), "v")
+        return self.blocks.vector(df, self.kind)
+
+    def frame(self, x: Vector) -> DataFrame:
+        df = self.blocks.frame(x)
+        if self.places is not None:
+            df = df.join(self.places, df["i"] == self.places["place"]).select(F.col("row").alias("i"), "v")
+        return df
 
     def drop(self) -> None:
-        dropped(self.matrix.df, self.partition, self._all, self._inside, *self._made)
-        self._made = []
-
-
-#: Fixed correspondence of column types.
-DType_of = {"float": FLOAT32, "double": FLOAT64}
+        self.blocks.close()
+        dropped(self.places)
 
 
 class DistributedSolver:
-    """A solver of any kind over a system; ``kind`` is the type of the vectors that it is given."""
+    """A solver of any kind over a system; ``kind`` is the type of the vectors that it is given. No guess means zeros."""
 
     def __init__(self, system: System, config: SolverConfig, lines: list[str] | None = None, kind: str | None = None):
         self.system, self.config, self.lines, self.given = system, config, lines if lines is not None else [], kind or system.kind
+        self.blocks = system.blocks
         self.stats = SolverStats(config.type, getattr(config, "norm", "L2"), system.tiles)
         self.factors: DataFrame | None = None
         self.kind = self.given if not isinstance(config, IterativeRefinementConfig) else _kind(config.extendedPrecisionType, "double")
@@ -115,170 +113,167 @@ class DistributedSolver:
         passed = system.kind if isinstance(config, IterativeRefinementConfig) else self.kind
         self.inner = DistributedSolver(system, inner, self.lines, passed) if inner else None
 
-    def solve(self, x: DataFrame, b: DataFrame) -> DataFrame:
+    def solve(self, x: Vector | None, b: Vector) -> Vector | None:
         self.stats = SolverStats(self.config.type, getattr(self.config, "norm", "L2"), self.system.tiles, lines=self.lines)
         run = {PBiCGStabConfig: self._bicgstab, IterativeRefinementConfig: self._refine, GaussSeidelConfig: self._gauss_seidel, ILUConfig: self._ilu, RestarterConfig: self._restart}[type(self.config)]
         out = run(x, b)
         self.stats.finish(self.config)
         return out
 
-    def drop(self) -> None:
-        """Delete the factors that were kept for more than one application."""
-        dropped(self.factors)
-        if self.inner:
-            self.inner.drop()
+    def _named(self, name: str) -> str:
+        """A norm's share by chunk: of the maximum norm the largest counts, of others the sum."""
+        return f"max_{name}" if self.stats.norm == "LINF" else name
+
+    def _norm(self, found: float) -> float:
+        return math.sqrt(found) if self.stats.norm == "L2" else found
 
-    def _zeros(self, kind: str) -> DataFrame:
-        return self.system.matrix.spark.range(self.system.n).select(F.col("id").alias("i"), F.lit(0.0).cast(kind).alias("v"))
+    def _cast(self, x: Vector, kind: str) -> Vector:
+        return self.blocks.combine({"x": x}, {"v": kind}, lambda a: {"v": a["x"]})[0]["v"]
 
-    def _as(self, x: DataFrame, kind: str) -> DataFrame:
-        return x.select("i", F.col("v").cast(kind).alias("v"))
+    def _begin(self, x: Vector | None, b: Vector, kind: str) -> tuple[Vector, float]:
+        """The first residual, and its square."""
+        r, s, norm, number = self._named("r"), self._named("s"), self.stats.norm, dtype_of(kind)
 
-    def _begin(self, x: DataFrame, b: DataFrame, kind: str) -> DataFrame:
-        r = self.system.write(b.withColumnRenamed("v", "b").join(self.system.residual(x, b, kind), "i"))
-        found = r.agg(_norm(F.col("v"), self.stats.norm).alias("r"), _norm(F.col("b"), self.stats.norm).alias("b")).first()
-        self.stats.start(found.r, found.b)
-        return r.select("i", "v")
+        def told(rest: np.ndarray, right: np.ndarray) -> dict:
+            return {"v": rest, r: _share(rest, norm), s: _share(right, norm), "dot": _dot(rest, rest)}
 
-    def _restart(self, x: DataFrame, b: DataFrame) -> DataFrame:
+        dots = (r, s, "dot")
+        if x is None:
+            out, d = self.blocks.combine({"b": b}, {"v": kind}, lambda a: told(a["b"].astype(number), a["b"].astype(number)), dots)
+        else:
+            out, d = self.blocks.product(x, kind, {"b": b}, {"v": kind}, lambda ax, a: told(a["b"].astype(number) - ax, a["b"].astype(number)), dots)
+        self.stats.start(self._norm(d[r]), self._norm(d[s]))
+        return out["v"], d["dot"]
+
+    def _restart(self, x: Vector | None, b: Vector) -> Vector | None:
         x = self.inner.solve(x, b)
         for _ in range(self.config.maxRestarts):
             if self.inner.stats.converged:
                 break
-            x = self.inner.solve(x, b)
+            old, x = x, self.inner.solve(x, b)
+            if old is not x:
+                self.blocks.drop(old)
         self.stats = self.inner.stats
         return x
 
-    def _refine(self, x: DataFrame, b: DataFrame) -> DataFrame:
+    def _refine(self, x: Vector | None, b: Vector) -> Vector | None:
         """The residual and the sum in the wide type, the inner solver in the matrix's own."""
-        c, stats, phi, b = self.config, self.stats, self._as(x, self.kind), self._as(b, self.kind)
-        r = self._begin(phi, b, self.kind)
+        c, stats, blocks, wide, phi = self.config, self.stats, self.blocks, dtype_of(self.kind), x
+        norm, name = stats.norm, self._named("r")
+        r, _ = self._begin(phi, b, self.kind)
         while stats.goes_on(c):
-            step = self.inner.solve(self._zeros(self.system.kind), self._as(r, self.system.kind))
-            old, phi = phi, self.system.write(phi.join(step.withColumnRenamed("v", "d"), "i").select("i", (F.col("v") + F.col("d").cast(self.kind)).alias("v")))
-            dropped(r, old)
-            r = self.system.write(self.system.residual(phi, b, self.kind))
+            given = self._cast(r, self.system.kind) if self.system.kind == "float" != r.kind else r
+            step = self.inner.solve(None, given)
+            if step is not None:
+                parts = {"d": step} | ({} if phi is None else {"phi": phi})
+                new = blocks.combine(parts, {"v": self.kind}, lambda a: {"v": a["d"].astype(wide) + (a["phi"].astype(wide) if "phi" in a else wide.type(0))})[0]["v"]
+                blocks.drop(step, phi if phi is not x else None, r, given)
+                phi = new
+                out, d = blocks.product(phi, self.kind, {"b": b}, {"v": self.kind}, lambda ax, a: {"v": a["b"].astype(wide) - ax, name: _share(a["b"].astype(wide) - ax, norm)}, (name,))
+                r, last = out["v"], self._norm(d[name])
+            else:
+                last = stats.final_residual
             stats.iterations += 1
-            stats.check(r.agg(_norm(F.col("v"), c.norm)).first()[0], c)
+            stats.check(last, c)
+        blocks.drop(r)
         return phi
 
     # --- tile kernels -------------------------------------------------------------
-    def _ilu(self, x: DataFrame | None, b: DataFrame) -> DataFrame:
-        """Couplings to other tiles do not count: each tile is factorised alone, once; its levels are kept with the factors."""
-        c, kind = self.config, self.system.kind
-        based, number = c.diagonalBased, np.dtype(np.float32 if kind == "float" else np.float64)
+    def _ilu(self, x: Vector | None, b: Vector) -> Vector:
+        """Couplings to other tiles do not count: each tile is factorised alone, once; its factors are kept."""
         if self.factors is None:
-            def factorise(pdf: pd.DataFrame) -> pd.DataFrame:
-                ids = np.unique(pdf["row"])
-                a = Csr(np.searchsorted(ids, pdf["row"]), np.searchsorted(ids, pdf["col"]), pdf["val"].to_numpy(), len(ids), number)
-                ilu = Ilu(a, based, c.factorizeMulticolor, c.solveMulticolor)
-                low, up = (level[ilu.a.rows] for level in ilu.levels)
-                return pd.DataFrame({"tile": pdf["tile"].iloc[0], "row": ids[ilu.a.rows], "col": ids[ilu.a.cols], "val": ilu.vals, "inverse": ilu.inverse[ilu.a.rows], "low": low, "up": up})
-
-            made = self.system.by_tile(True).groupBy("tile").applyInPandas(factorise, f"tile int, row long, col long, val {kind}, inverse {kind}, low long, up long")
-            self.factors = bucketed(made, "tile", self.system.tiles)
-
-        def substitute(factor: pd.DataFrame, vector: pd.DataFrame) -> pd.DataFrame:
-            vector = vector.sort_values("i")
-            ids = vector["i"].to_numpy()
-            rows, cols = np.searchsorted(ids, factor["row"]), np.searchsorted(ids, factor["col"])
-            inverse, low, up = np.zeros(len(ids), number), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-            inverse[rows], low[rows], up[rows] = factor["inverse"], factor["low"], factor["up"]
-            ilu = Ilu.of_factors(Csr(rows, cols, factor["val"].to_numpy(), len(ids), number), inverse, based, (low, up))
-            return pd.DataFrame({"i": ids, "v": ilu.apply(vector["v"].to_numpy(number))})
-
+            self.factors = self.blocks.factors(self.config.diagonalBased)
         self.stats.iterations = 1
-        return self.factors.groupBy("tile").cogroup(self.system.tiled(b).groupBy("tile")).applyInPandas(substitute, f"i long, v {kind}")
-
-    def _sweep(self, x: DataFrame, b: DataFrame) -> DataFrame:
-        """One sweep of every tile over its rows, with the other tiles' values of the sweep before."""
-        entries, mode = self.system.by_tile(False), self.config.solveMulticolor
-        needed = entries.select("tile", F.col("col").alias("i")).distinct().join(x.withColumnRenamed("v", "x"), "i")
-        both = needed.join(self.system.tiled(b).withColumnRenamed("v", "b"), ["tile", "i"], "left")
-
-        def sweep(matrix: pd.DataFrame, vector: pd.DataFrame) -> pd.DataFrame:
-            vector = vector.sort_values("i")
-            own, halo = vector[vector["b"].notna()], vector[vector["b"].isna()]
-            ids, far, far_x = own["i"].to_numpy(), halo["i"].to_numpy(), halo["x"].to_numpy()
-            rows, cols, vals = matrix["row"].to_numpy(), matrix["col"].to_numpy(), matrix["val"].to_numpy()
-            inside = np.isin(cols, ids)
-            right = own["b"].to_numpy(np.float64).copy()
-            if len(far):
-                np.subtract.at(right, np.searchsorted(ids, rows[~inside]), vals[~inside] * far_x[np.searchsorted(far, cols[~inside])])
-            a = Csr(np.searchsorted(ids, rows[inside]), np.searchsorted(ids, cols[inside]), vals[inside], len(ids), vals.dtype)
-            return pd.DataFrame({"i": ids, "v": Sweep(a, mode)(own["x"].to_numpy(), right)})
-
-        return self.system.write(entries.groupBy("tile").cogroup(both.toDF(*both.columns).groupBy("tile")).applyInPandas(sweep, f"i long, v {self.kind}"))
-
-    def _gauss_seidel(self, x: DataFrame, b: DataFrame) -> DataFrame:
-        c, stats, x = self.config, self.stats, self._as(x, self.kind)
+        return self.blocks.substitute(self.factors, b, self.config.diagonalBased)
+
+    def _gauss_seidel(self, x: Vector | None, b: Vector) -> Vector:
+        """Sweeps of every tile over its rows, with the other tiles' values of the sweep before.
+
+        A sweep's product with the values before it tells their residual too; the sweep is
+        left out once that is small enough.
+        """
+        c, stats, blocks = self.config, self.stats, self.blocks
+        kind = _wider(self.kind, self.system.kind)
+        norm, wide, r, s = stats.norm, dtype_of(kind), self._named("r"), self._named("s")
+        x = blocks.zeros(self.kind) if x is None else x if x.kind == self.kind else self._cast(x, self.kind)
+
+        def look(x: Vector) -> tuple[Vector, float, float]:
+            out, d = blocks.product(x, kind, {"b": b}, {"v": "double"}, lambda ax, a: {"v": a["b"] - a["before"], r: _share(a["b"].astype(wide) - ax, norm), s: _share(a["b"], norm)}, (r, s), sweep=True)
+            return out["v"], self._norm(d[r]), self._norm(d[s])
+
+        def turn(x: Vector, right: Vector) -> Vector:
+            new = blocks.sweep(right, x)
+            blocks.drop(x, right)
+            return new
+
         if c.numFixedIterations:
             for _ in range(c.numFixedIterations):
-                old, x = x, self._sweep(x, b)
-                dropped(old)
+                x = turn(x, look(x)[0])
             stats.iterations = c.numFixedIterations
             return x
-        kind = _wider(self.kind, self.system.kind)
-        self._begin(x, b, kind)
+        right, residual, size = look(x)
+        stats.start(residual, size)
         while stats.goes_on(c):
-            for _ in range(c.numSweeps):
-                old, x = x, self._sweep(x, b)
-                dropped(old)
+            for k in range(c.numSweeps):
+                x = turn(x, right if k == 0 else look(x)[0])
             stats.iterations += c.numSweeps
-            stats.check(self.system.residual(x, b, kind).agg(_norm(F.col("v"), c.norm)).first()[0], c)
+            right, residual, _ = look(x)
+            stats.check(residual, c)
+        blocks.drop(right)
         return x
 
     # --- PBiCGStab -------------------------------------------------------------
-    def _preconditioned(self, frame: DataFrame, source: str, name: str) -> DataFrame:
-        if self.inner is None:
-            return frame.withColumn(name, F.col(source))
-        z = self.inner.solve(self._zeros(self.kind), frame.select("i", F.col(source).alias("v")))
-        return frame.join(z.select("i", F.col("v").cast(self.kind).alias(name)), "i")
-
-    def _with_product(self, frame: DataFrame, source: str, name: str) -> DataFrame:
-        return frame.join(self.system.products(frame.select("i", F.col(source).alias("v")), self.kind).withColumnRenamed("v", name), "i")
-
-    def _bicgstab(self, x: DataFrame, b: DataFrame) -> DataFrame:
-        """All vectors are columns of one frame; two writes and three scalars' jobs a step."""
-        c, stats, x, b = self.config, self.stats, self._as(x, self.kind), self._as(b, self.kind)
-        number = lambda v: F.lit(float(v)).cast(self.kind)
-        dot = lambda u, v: F.sum(F.col(u).cast("double") * F.col(v).cast("double"))
-        start = self._begin(x, b, self.kind)
-        state = x.withColumnRenamed("v", "x").join(start.withColumnRenamed("v", "r"), "i").select("i", "x", "r", F.col("r").alias("shadow"), F.col("r").alias("p"), number(0).alias("v"))
-        state = self.system.write(state)
-        rho = state.agg(dot("shadow", "r")).first()[0]
-        rho_old = alpha = omega = 1.0
+    def _preconditioned(self, x: Vector) -> Vector:
+        return x if self.inner is None else self.inner.solve(None, x) or self.blocks.zeros(self.kind)
+
+    def _bicgstab(self, x: Vector | None, b: Vector) -> Vector | None:
+        """Each vector is written once a step: p, v, s, t, and x with r."""
+        c, stats, blocks, kind, begun = self.config, self.stats, self.blocks, self.kind, x
+        number, norm, name = dtype_of(kind).type, stats.norm, self._named("norm")
+        r, rho = self._begin(x, b, kind)
+        shadow = p = r
+        v, rho_old, alpha, omega = None, 1.0, 1.0, 1.0
         while stats.goes_on(c):
             if stats.mark_singular(rho):
                 break
-            if stats.iterations:
-                beta = rho / rho_old * alpha / omega
-                state = state.withColumn("p", F.col("r") + number(beta) * (F.col("p") - number(omega) * F.col("v")))
-            turned = self.system.write(self._preconditioned(state.drop("v"), "p", "y"))
-            first = self.system.write(self._with_product(turned, "y", "v"))
-            bottom = first.agg(dot("shadow", "v")).first()[0]
-            if stats.mark_singular(bottom):
+            if v is not None:
+                beta, w = number(rho / rho_old * alpha / omega), number(omega)
+                old, p = p, blocks.combine({"r": r, "p": p, "v": v}, {"v": kind}, lambda a: {"v": a["r"] + beta * (a["p"] - w * a["v"])})[0]["v"]
+                blocks.drop(old if old is not shadow else None, v)
+            y = self._preconditioned(p)
+            out, d = blocks.product(y, kind, {"shadow": shadow}, {"v": kind}, lambda ax, a: {"v": ax, "dot": _dot(a["shadow"], ax)}, ("dot",))
+            v = out["v"]
+            if stats.mark_singular(d["dot"]):
                 break
-            alpha = rho / bottom
-            again = self.system.write(self._preconditioned(first.withColumn("s", F.col("r") - number(alpha) * F.col("v")), "s", "z"))
-            second = self.system.write(self._with_product(again, "z", "t"))
-            d = second.agg(dot("t", "s").alias("ts"), dot("t", "t").alias("tt")).first()
-            exact = d.tt == 0.0  # s is zero: the half step is the solution
-            omega = 0.0 if exact else d.ts / d.tt
+            alpha = rho / d["dot"]
+            by = number(alpha)
+            s = blocks.combine({"r": r, "v": v}, {"v": kind}, lambda a: {"v": a["r"] - by * a["v"]})[0]["v"]
+            z = self._preconditioned(s)
+            out, d = blocks.product(z, kind, {"s": s}, {"v": kind}, lambda ax, a: {"v": ax, "ts": _dot(ax, a["s"]), "tt": _dot(ax, ax)}, ("ts", "tt"))
+            t, exact = out["v"], d["tt"] == 0.0  # s is zero: the half step is the solution
+            omega = 0.0 if exact else d["ts"] / d["tt"]
             if not exact:
                 stats.mark_singular(omega)
+            residual, rho_old = stats.final_residual, rho
             if not stats.singular:
-                new_x = F.col("x") + number(alpha) * F.col("y") + number(omega) * F.col("z")
-                new_r = F.col("s") - number(omega) * F.col("t")
-                old, state = state, self.system.write(second.select("i", new_x.alias("x"), new_r.alias("r"), "shadow", "p", "v"))
-                dropped(old, turned, first, again, second)
-            found = state.agg(_norm(F.col("r"), c.norm).alias("norm"), dot("shadow", "r").alias("rho")).first()
+                w, parts = number(omega), {"y": y, "z": z, "s": s, "t": t, "shadow": shadow} | ({} if x is None else {"x": x})
+
+                def update(a: dict[str, np.ndarray]) -> dict:
+                    step = by * a["y"].astype(number) + w * a["z"].astype(number)
+                    rest = a["s"] - w * a["t"]
+                    return {"x": a["x"].astype(number) + step if "x" in a else step, "r": rest, name: _share(rest, norm), "rho": _dot(a["shadow"], rest)}
+
+                out, d = blocks.combine(parts, {"x": kind, "r": kind}, update, (name, "rho"))
+                # x and r share a table, which goes as one
+                blocks.drop(x if x is not begun else None, y if y is not p else None, z if z is not s else None, s, t)
+                x, r = out["x"], out["r"]
+                residual, rho = self._norm(d[name]), d["rho"]
             stats.iterations += 1
-            stats.check(found.norm, c)
-            rho_old, rho = rho, found.rho
+            stats.check(residual, c)
             if exact:
                 break
-        return state.select("i", F.col("x").alias("v"))
+        blocks.drop(shadow, p, v)
+        return x
 
 
 def _solve_local(matrix: Matrix, x: DataFrame, b: DataFrame, config: SolverConfig) -> tuple[DataFrame, SolverStats]:
@@ -325,19 +320,20 @@ def solve(matrix: Matrix, b: Tensor | DataFrame, config: SolverConfig, x0: Tenso
     if tiles is None or where == "auto":
         entries = matrix.df.count()
         if tiles is None:
-            tiles = 1 if where == "local" else max(1, ceil(matrix.n_rows / TILE_ROWS), ceil(entries / TILE_ENTRIES))
+            tiles = 1 if where == "local" else max(1, math.ceil(matrix.n_rows / TILE_ROWS), math.ceil(entries / TILE_ENTRIES))
         if where == "auto":
             where = "local" if tiles == 1 and partition is None and matrix.n_rows <= LOCAL_ROWS and entries <= LOCAL_ENTRIES else "distributed"
     if where == "local":
         out, stats = _solve_local(matrix, x, frame(b), config)
     else:
         system = System(matrix, tiles, partition)
-        solver, right = DistributedSolver(system, config), written(frame(b))
-        out = written(solver.solve(x, right).select("i", F.col("v").cast("double").alias("v")))
-        stats = solver.stats
-        solver.drop()
-        system.drop()
-        dropped(right)
+        try:
+            solver = DistributedSolver(system, config)
+            found = solver.solve(None if isinstance(x0, (int, float)) and x0 == 0 else system.vector(x), system.vector(frame(b)))
+            out = written(system.frame(found if found is not None else system.blocks.zeros(system.kind)))
+            stats = solver.stats
+        finally:
+            system.drop()
     for line in stats.lines:
         print(line)
     return Tensor(out.select("i", F.lit(0).alias("tile"), "v"), DistributedShape((matrix.n_rows,)), FLOAT64, "x"), stats

@@ -11,6 +11,7 @@ from sparktile.operators import layout
 from sparktile.operators.levels import levels_of
 from sparktile.operators.sparse import Matrix
 from sparktile.operators.tensor import Tensor
+from sparktile.solvers import blocks
 from sparktile.solvers.config import from_json, strip_comments
 from sparktile.solvers.distributed import solve
 from sparktile.solvers.local import Csr, Ilu, LocalSolver, Sweep
@@ -302,3 +303,84 @@ def test_nan_stops(spark):
     _, stats = solve(a, b, from_json(BICGSTAB), where="local")
     assert stats.iterations == 0 and not stats.converged
     assert FLOAT64.is_float
+
+
+def coupled(n, seed, chain):
+    """A random diagonally dominant matrix with a chain below the diagonal."""
+    rng = np.random.default_rng(seed)
+    a = (rng.random((n, n)) < 4 / n) * rng.normal(size=(n, n)) * 0.1
+    a += np.diag(np.full(n - 1, chain), -1) + np.diag(np.full(n - 1, -0.5), 1)
+    np.fill_diagonal(a, np.abs(a).sum(1) + 0.5)
+    return a
+
+
+@pytest.mark.parametrize("weight", [-0.1, -1.0])  # settles at once; never, and is taken row by row
+def test_a_chain_is_solved_as_a_whole(weight):
+    n = 300
+    rows, cols, b = np.arange(1, n), np.arange(n - 1), np.arange(n) + 1.0
+    dense_l = np.eye(n) + np.diag(np.full(n - 1, weight), -1)
+    for back in (False, True):
+        r, c, l = (rows, cols, dense_l) if not back else (cols, rows, dense_l.T)
+        x = blocks.triangle(r, c, np.full(n - 1, weight), lambda i, s: b[i] - s, b, back)
+        assert np.allclose(l @ x, b) and x.dtype == b.dtype
+
+
+@pytest.mark.parametrize("chain", [-0.5, -1e3])
+@pytest.mark.parametrize("based", [False, True])
+def test_factors_by_chunks_are_those_of_the_whole(chain, based):
+    n = 150
+    a = coupled(n, 3, -0.5)
+    if chain == -1e3:  # pivots that each row passes on in full
+        a = np.diag(np.full(n, 2.0)) + np.diag(np.full(n - 1, -1.0), 1) + np.diag(np.full(n - 1, -1.0), -1)
+    i, j = np.nonzero(a)
+    whole, found = Ilu(Csr(i, j, a[i, j], n), based), blocks.Factors(n, based)
+    made = [found.add(i[(i >= lo) & (i < lo + 70)], j[(i >= lo) & (i < lo + 70)], a[i, j][(i >= lo) & (i < lo + 70)], min(70, n - lo)) for lo in range(0, n, 70)]
+    assert np.allclose(np.concatenate(made), whole.vals, rtol=1e-10)
+    with pytest.raises(ZeroDivisionError):
+        blocks.Factors(2, based).add(np.array([0, 1]), np.array([0, 0]), np.array([1.0, 1.0]), 2)
+
+
+def test_tiles_begin_where_rows_are_dealt(spark):
+    a = np.zeros((50, 50))
+    a[7], a[30, :9] = 1.0, 1.0  # a row of half the weight: a tile may stay empty
+    for matrix, tiles in ((Matrix.poisson3d(spark, 5, 4, 3), 4), (Matrix.poisson3d(spark, 30, 30, 10), 7), (from_dense(spark, a), 5), (from_dense(spark, a), 1)):
+        dealt = layout.partition_rows(matrix, tiles).groupBy("tile").agg(F.min("row").alias("row")).orderBy("tile").collect()
+        starts, entries = layout.tile_starts(matrix, tiles)
+        assert starts.tolist() == [r.row for r in dealt] and entries == matrix.df.count()
+
+
+@pytest.mark.parametrize(
+    "config",
+    [
+        {"type": "GaussSeidel", "numFixedIterations": 2},
+        {"type": "IterativeRefinement", "maxIterations": 2, "innerSolver": {"type": "ILU"}},
+        {"type": "IterativeRefinement", "maxIterations": 2, "innerSolver": {"type": "ILU", "diagonalBased": True}},
+        {"type": "PBiCGStab", "maxIterations": 2, "preconditioner": {"type": "GaussSeidel", "numFixedIterations": 1}},
+    ],
+)
+def test_tiles_of_many_chunks(spark, monkeypatch, config):
+    """Tiles cut into chunks, and rows dealt to tiles out of order, against the tiles' own dense kernels."""
+    monkeypatch.setattr(blocks, "CHUNK_ROWS", 7)
+    n, rng = 60, np.random.default_rng(8)
+    a, b, x0 = coupled(n, 4, -0.5), rng.normal(size=60), rng.normal(size=60)
+    a[11, :], a[11, 11] = 0.0, 1.0
+    tile = (np.arange(n) * 7 + 3) % 60 // 20
+    parts = spark.createDataFrame([(int(k), int(t)) for k, t in enumerate(tile)], "row long, tile int")
+    frame = lambda v: spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)], "i long, v double")
+    same = tile[:, None] == tile[None, :]
+    own = a * same
+    i, j = np.nonzero(own)
+    sweep = lambda x, r: np.linalg.solve(np.tril(own), r - (a - np.tril(own)) @ x)
+    if config["type"] == "GaussSeidel":
+        wanted = sweep(sweep(x0, b), b)
+    elif config["type"] == "PBiCGStab":
+        wanted = None
+    else:
+        ilu, wanted = Ilu(Csr(i, j, own[i, j], n), config["innerSolver"].get("diagonalBased", False)), x0
+        for _ in range(2):
+            wanted = wanted + ilu.apply(b - a @ wanted)
+    got, stats = solve(from_dense(spark, a), frame(b), from_json(config), x0=frame(x0), tiles=3, where="distributed", partition=parts)
+    if wanted is not None:
+        assert np.allclose(vector(got), wanted)
+    if config["type"] != "GaussSeidel":
+        assert np.isclose(stats.final_residual, np.linalg.norm(b - a @ vector(got)))
