@@ -98,16 +98,19 @@ class Matrix:
         return matrix_market.densify(self.df.where("row = col").select(F.col("row").alias("i"), F.col("val").cast("double").alias("v")), self.n_rows)
 
     def products(self, x: DataFrame, intermediate: DType | None = None) -> DataFrame:
-        """(i, v) of A x as a frame: products joined on the column, summed by row before and after the shuffle.
+        """(i, v) of A x as a frame: products joined on the column, summed by row.
 
-        Every row gets a zero term, so that empty rows are there without another join.
+        Where the vector is broadcast they are summed before the shuffle too. A shuffled join
+        deals a row's entries by column, which leaves next to nothing to sum before the rows
+        meet. Every row gets a zero term, so that empty rows are there without another join.
         """
         kind = (intermediate or self.dtype).spark
         x = x.select(F.col("i").alias("col"), F.col("v").alias("x"))
         side = F.broadcast(x) if self.n_cols <= BROADCAST_ROWS else x
         terms = (self.df if self.entries is None else self.entries).join(side, "col").select(F.col("row").alias("i"), (F.col("val").cast(kind) * F.col("x").cast(kind)).cast("double").alias("v"))
         zeros = self.spark.range(self.n_rows).select(F.col("id").alias("i"), F.lit(0.0).alias("v"))
-        return terms.unionAll(zeros).groupBy("i").agg(F.sum("v").alias("v"))
+        terms = terms.unionAll(zeros)
+        return (terms if side is not x else terms.repartition("i")).groupBy("i").agg(F.sum("v").alias("v"))
 
     def spmv(self, x: Tensor, dest: DType | None = None, intermediate: DType | None = None) -> Tensor:
         if x.shape.dims[0] != self.n_cols or x.shape.elements != self.n_cols:

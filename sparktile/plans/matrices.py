@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from functools import partial
+from functools import partial, reduce
+from operator import add, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,13 +223,21 @@ TILE_SOLVERS = {
 
 
 def _order_system(spark: SparkSession, sf_dir: str) -> tuple[Matrix, DataFrame]:
-    """Each order is coupled to its neighbours and to one that its customer picks; x is o_custkey % 7 + 1."""
+    """Each order is coupled to its neighbours and to one that its customer picks; x is o_custkey % 7 + 1.
+
+    Keys are dense from 0: were one there twice, another row would have no diagonal entry.
+    """
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("row"), F.col("o_custkey").cast("bigint").alias("c"))
     n = orders.count()
-    entry = lambda col, val: F.struct(col.cast("bigint").alias("col"), F.lit(val).alias("val"))
     k = F.col("row")
-    entries = F.array(entry(k, 16.0), entry((k + 1) % n, -1.0), entry((k + n - 1) % n, -2.0), entry((k * 7 + F.col("c")) % n, -1.0))
-    a = Matrix.from_coo(orders.select("row", F.explode(entries).alias("e")), "row", "e.col", "e.val", n, n).materialize()
+    terms = [(k, 16.0), ((k + 1) % n, -1.0), ((k + n - 1) % n, -2.0), ((k * 7 + F.col("c")) % n, -1.0)]
+    cols = [col.cast("bigint") for col, _ in terms]
+    # A row's entries all come from its order: those of one place are summed here, without a shuffle.
+    summed = [reduce(add, (F.when(cols[i] == col, val).otherwise(0.0) for i, (_, val) in enumerate(terms))) for col in cols]
+    again = [reduce(or_, (col == before for before in cols[:i]), F.lit(False)) for i, col in enumerate(cols)]
+    entries = F.array(*(F.when(~seen, F.struct(col.alias("col"), val.alias("val"))) for col, val, seen in zip(cols, summed, again, strict=True)))
+    exploded = orders.select("row", F.explode(entries).alias("e")).where("e is not null")
+    a = Matrix.from_coo(exploded, "row", "e.col", "e.val", n, n, unique=True).materialize()
     return a, orders.select(F.col("row").alias("i"), (F.col("c") % 7 + 1).cast("double").alias("v"))
 
 

@@ -1,4 +1,5 @@
 import json
+import math
 
 import numpy as np
 import pytest
@@ -384,3 +385,39 @@ def test_tiles_of_many_chunks(spark, monkeypatch, config):
         assert np.allclose(vector(got), wanted)
     if config["type"] != "GaussSeidel":
         assert np.isclose(stats.final_residual, np.linalg.norm(b - a @ vector(got)))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 40])
+def test_order_system_is_summed_without_a_shuffle(spark, tmp_path, monkeypatch, n):
+    """Neighbours and picks that fall on one place, as they do in tiny tables, against sums by place."""
+    from sparktile.plans import matrices
+
+    customers = [(3 * k + 1) % 5 - 6 * k for k in range(n)] if n == 9 else [(3 * k + 1) % 5 for k in range(n)]  # 9: picks of the order itself and its neighbours
+    spark.createDataFrame(list(enumerate(customers)), "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(Matrix, "materialize", lambda self: self)
+    a, x = matrices._order_system(spark, str(tmp_path))
+    assert "Exchange" not in a.df._jdf.queryExecution().executedPlan().toString()
+    wanted = np.zeros((n, n))
+    for k, c in enumerate(customers):
+        for col, val in ((k, 16.0), ((k + 1) % n, -1.0), ((k + n - 1) % n, -2.0), (math.fmod(7 * k + c, n), -1.0)):
+            if col >= 0:
+                wanted[k, int(col)] += val
+    got = np.zeros((n, n))
+    found = a.df.where("col >= 0").collect()
+    for r in found:
+        got[r.row, r.col] = r.val
+    assert (got == wanted).all() and len({(r.row, r.col) for r in found}) == len(found)
+    assert [r.v for r in x.orderBy("i").collect()] == [math.fmod(c, 7) + 1 for c in customers]
+
+
+def test_long_products_are_not_summed_before_the_shuffle(spark, monkeypatch):
+    """Behind a shuffled join such sums hold nearly every entry, and spill."""
+    from sparktile.operators import sparse
+
+    rng = np.random.default_rng(5)
+    dense, x = (rng.random((30, 30)) < 0.2) * rng.normal(size=(30, 30)), rng.normal(size=30)
+    monkeypatch.setattr(sparse, "BROADCAST_ROWS", 10)
+    y = from_dense(spark, dense).products(spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "i long, v double"))
+    plan = y._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.index("Union") :].split("Join")[0] and plan.index("Exchange hashpartitioning(i") > plan.rindex("HashAggregate", 0, plan.index("Union"))
+    assert np.allclose([r.v for r in y.orderBy("i").collect()], dense @ x)
