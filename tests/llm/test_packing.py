@@ -30,6 +30,30 @@ def test_ids_equal_the_tokenizers(text):
     assert t.ids([text.encode()]) == [expected]
 
 
+def test_latin_words_are_encoded_together(monkeypatch):
+    """Accented words as those of ASCII letters, and without the normaliser, which is there again afterwards."""
+    t = packing.ChunkTokenizer(tokenizer_path())
+    text = "größe déjà-vu año, çà!? straße ÿ où... e\u0301t\u00e9 ÷ à÷b ÀÉ"
+    expected = np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    alone, encoded = [], t._encoded
+    monkeypatch.setattr(t, "_encoded", lambda words: alone.extend(words) or encoded(words))
+    assert t.bare and t.ids([text.encode()]) == [expected] and t.tokenizer.normalizer is not None
+    assert not {"größe", "año", "çà", "straße", "ÿ", "où"} & set(alone)
+    upper = "<|endoftext|> GRÖSSE Größe größe"  # kept as written: the normaliser folds it
+    assert t.ids([upper.encode()]) == [np.array(t.tokenizer.encode(upper, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_a_normaliser_that_changes_letters_is_used(tmp_path):
+    from tokenizers import normalizers
+
+    plain = tokenizer()
+    plain.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents(), normalizers.Lowercase()])
+    plain.save(f"{tmp_path}/stripped.json")
+    t = packing.ChunkTokenizer(f"{tmp_path}/stripped.json")
+    text = "größe année, straße"
+    assert not t.bare and t.ids([text.encode()]) == [np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def best_fit(lengths, capacity):
     """Gaps left by placing one by one, longest first, into the tightest gap."""
     gaps: list[int] = []
