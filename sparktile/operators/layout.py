@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,18 +59,15 @@ def tile_starts(matrix: Matrix, tiles: int) -> tuple[np.ndarray, int]:
     begin = ends - weights
     raw = lambda before: np.minimum(before * tiles // total, tiles - 1)
     inside = [int(b) for b in np.flatnonzero(raw(begin) != raw(ends))]  # blocks in which, or right after which, a tile begins
-    known = {b: int(begin[b]) for b in inside}
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["block"].iloc[0])
-        w = np.ones(min(size, n - b * size), np.int64)
-        np.add.at(w, pdf["row"].to_numpy() - b * size, pdf["n"].to_numpy())
-        tile = np.minimum((known[b] + np.append(0, np.cumsum(w))) * tiles // total, tiles - 1)
-        return pd.DataFrame({"row": np.flatnonzero(np.diff(tile) != 0) + 1 + b * size})
-
-    rows = matrix.df.select("row", block.alias("block")).where(F.col("block").isin(inside)).groupBy("block", "row").agg(F.count("*").alias("n"))
-    every = matrix.spark.createDataFrame([(b, b * size, 0) for b in inside], "block long, row long, n long")
-    found = rows.union(every).groupBy("block").applyInPandas(cut, "row long").toPandas()["row"].to_numpy()
+    if not inside:
+        return np.zeros(1, np.int64), total - n
+    known = matrix.spark.createDataFrame(pa.table({"block": inside, "before": begin[inside]}))
+    every = known.select(F.explode(F.expr(f"sequence(block * {size}L, least((block + 1) * {size}L, {n}L) - 1)")).alias("row"))
+    rows = matrix.df.select("row").where(block.isin(inside)).unionAll(every).groupBy("row").count()
+    last = F.sum("count").over(Window.partitionBy("block").orderBy("row"))
+    placed = rows.withColumn("block", block).join(F.broadcast(known), "block").select("row", "count", (F.col("before") + last).alias("end"))
+    dealt = lambda end: F.least(F.expr(f"({end}) * {tiles} div {total}"), F.lit(tiles - 1))
+    found = placed.where(dealt("end") != dealt("end - count")).select(F.col("row") + 1).toPandas().iloc[:, 0].to_numpy(np.int64)
     return np.unique(np.append(0, found[found < n])).astype(np.int64), total - n
 
 

@@ -15,7 +15,7 @@ from ..operators.tensor import Tensor
 from ..session import shared_dir
 from ..shape import DistributedShape
 from ..solvers.config import from_json
-from ..solvers.distributed import solve
+from ..solvers.distributed import Image, solve
 from ..sources import matrix_market
 from ..types import FLOAT32, FLOAT64
 from .tables import customer_part, part_vector, supplier_part, table, user_hour
@@ -231,19 +231,22 @@ def _order_system(spark: SparkSession, sf_dir: str) -> tuple[Matrix, DataFrame]:
     n = orders.count()
     k = F.col("row")
     terms = [(k, 16.0), ((k + 1) % n, -1.0), ((k + n - 1) % n, -2.0), ((k * 7 + F.col("c")) % n, -1.0)]
-    cols = [col.cast("bigint") for col, _ in terms]
-    # A row's entries all come from its order: those of one place are summed here, without a shuffle.
-    summed = [reduce(add, (F.when(cols[i] == col, val).otherwise(0.0) for i, (_, val) in enumerate(terms))) for col in cols]
+    named = orders.select("row", *(col.cast("bigint").alias(f"c{i}") for i, (col, _) in enumerate(terms)))
+    cols = [F.col(f"c{i}") for i in range(len(terms))]
+    # A row's entries all come from its order: those of one place are summed at the first of them, without a shuffle.
+    # Columns and values have names, as their expressions inside one another are computed wherever they are used.
+    summed = [reduce(add, (F.when(cols[j] == col, terms[j][1]).otherwise(0.0) for j in range(i + 1, len(cols))), F.lit(terms[i][1])) for i, col in enumerate(cols)]
     again = [reduce(or_, (col == before for before in cols[:i]), F.lit(False)) for i, col in enumerate(cols)]
-    entries = F.array(*(F.when(~seen, F.struct(col.alias("col"), val.alias("val"))) for col, val, seen in zip(cols, summed, again, strict=True)))
-    exploded = orders.select("row", F.explode(entries).alias("e")).where("e is not null")
+    found = named.select("row", *cols, *(F.when(~seen, val).alias(f"v{i}") for i, (seen, val) in enumerate(zip(again, summed, strict=True))))
+    entries = F.array(*(F.struct(col.alias("col"), F.col(f"v{i}").alias("val")) for i, col in enumerate(cols)))
+    exploded = found.select("row", F.explode(entries).alias("e")).where("e.val is not null")
     a = Matrix.from_coo(exploded, "row", "e.col", "e.val", n, n, unique=True).materialize()
     return a, orders.select(F.col("row").alias("i"), (F.col("c") % 7 + 1).cast("double").alias("v"))
 
 
 def _solve_order_tiles(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     a, x = _order_system(spark, sf_dir)
-    found, _ = solve(a, a.products(x), from_json(TILE_SOLVERS[name]), tiles=4, where="distributed")
+    found, _ = solve(a, Image(x), from_json(TILE_SOLVERS[name]), tiles=4, where="distributed")
     return _rounded(found, 2)
 
 

@@ -239,9 +239,9 @@ class Blocks:
         def cut(pdf: pd.DataFrame) -> pd.DataFrame:
             """Each chunk's entries, with its own columns first and those of others by number, and what it needs of each other chunk."""
             rows, cols, vals = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["val"].to_numpy()
-            held = np.unique(grid.holding(rows))
-            order = np.lexsort((cols, rows))
-            order = order[cols[order] >= 0]
+            held, given = np.unique(grid.holding(rows)), cols >= 0
+            rows, cols, vals = rows[given], cols[given], vals[given]
+            order = np.argsort((rows - rows.min(initial=n)) * n + cols)
             rows, cols, vals = rows[order], cols[order], vals[order].astype(number)
             out = []
             for j in held.tolist():
@@ -249,8 +249,9 @@ class Blocks:
                 mine = slice(*np.searchsorted(rows, [lo, hi]))
                 c = cols[mine]
                 own = (c >= lo) & (c < hi)
-                far = np.unique(c[~own])
-                local = np.where(own, c - lo, np.searchsorted(far, c) + hi - lo).astype(np.int32)
+                far, place = np.unique(c[~own], return_inverse=True)
+                local = (c - lo).astype(np.int32)
+                local[~own] = place + hi - lo
                 count = np.bincount(rows[mine] - lo, minlength=hi - lo).astype(np.int32)
                 out.append((-1, int(grid.key[j]), j, count.tobytes(), local.tobytes(), vals[mine].tobytes(), far.tobytes()))
                 source = grid.holding(far)
@@ -258,18 +259,22 @@ class Blocks:
                     out.append((j, int(grid.key[s]), s, (far[a:b] - grid.lo[s]).astype(np.int32).tobytes(), None, None, None))
             return pd.DataFrame(out, columns=["reader", "key", "seq", "cnt", "cols", "vals", "far"])
 
-        parts = max(grid.buckets, count // 2_000_000 + 1)
-        every = self.spark.createDataFrame([(int(k),) for k in grid.lo], "row long")  # chunks without entries are there too
+        parts = max(grid.buckets, count // 500_000 + 1)
+        every = self._local(row=grid.lo)  # chunks without entries are there too
         entries = entries.select("row", "col", "val").union(every.select("row", F.lit(-1), F.lit(0.0)))
         cells = entries.withColumn("cell", F.expr(f"row div {cell}")).repartition(parts, "cell")
         made = cells.groupBy("cell").applyInPandas(cut, "reader int, key int, seq int, cnt binary, cols binary, vals binary, far binary")
         made = self._table(made)
         self.matrix = self._keep(made.where("reader < 0").select("key", "seq", "cnt", "cols", "vals", "far").repartition(grid.buckets, "key"), "seq")
-        plan = made.where("reader >= 0").select("key", F.struct("reader", "cnt").alias("to")).repartition(grid.buckets, "key")
-        self.plan = self._keep(plan.groupBy("key").agg(F.collect_list("to").alias("to")))
+        plan = made.where("reader >= 0").select("key", "seq", F.struct("reader", "cnt").alias("to")).repartition(grid.buckets, "key")
+        self.plan = self._keep(plan.groupBy("key").agg(F.first("seq").alias("seq"), F.collect_list("to").alias("to")))
         self.drop(made)
 
     # --- writing --------------------------------------------------------------------
+    def _local(self, **columns: np.ndarray) -> DataFrame:
+        """A few numbers a chunk, which the JVM takes as they are: rows would go through Python workers."""
+        return self.spark.createDataFrame(pa.table(columns))
+
     def _table(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/tile-{uuid.uuid4().hex}"
         df.write.options(**_FILES).parquet(path)
@@ -313,15 +318,15 @@ class Blocks:
                 out.append((int(grid.key[j]), v.tobytes()))
             return pd.DataFrame(out, columns=["key", "v"])
 
-        every = self.spark.createDataFrame([(int(k),) for k in grid.lo], "i long")
+        every = self._local(i=grid.lo)
         df = df.select("i", F.col("v").cast(kind).alias("v"), F.lit(True).alias("given")).union(every.select("i", F.lit(0.0).cast(kind), F.lit(False)))
-        cells = df.withColumn("cell", F.expr(f"i div {grid.cell}")).repartition(max(grid.buckets, grid.n // 4_000_000 + 1), "cell")
+        cells = df.withColumn("cell", F.expr(f"i div {grid.cell}")).repartition(max(grid.buckets, grid.n // 500_000 + 1), "cell")
         packed = cells.groupBy("cell").applyInPandas(pack, "key int, v binary").repartition(grid.buckets, "key")
         return Vector(self._keep(packed), "v", kind)
 
     def zeros(self, kind: str) -> Vector:
         grid, number = self.grid, dtype_of(kind)
-        keys = self.spark.createDataFrame([(int(k), int(m)) for k, m in zip(grid.key, grid.hi - grid.lo, strict=True)], "key int, m long").repartition(grid.buckets, "key")
+        keys = self._local(key=grid.key.astype(np.int32), m=grid.hi - grid.lo).repartition(grid.buckets, "key")
         return Vector(self._keep(_mapped(keys, lambda: lambda r: [{"key": r["key"], "v": bytes(r["m"] * number.itemsize)}], "key int, v binary")), "v", kind)
 
     def frame(self, x: Vector) -> DataFrame:
@@ -344,8 +349,8 @@ class Blocks:
 
     def _outputs(self, df: DataFrame, kinds: dict[str, str], dots: tuple[str, ...]) -> tuple[dict[str, Vector], dict[str, float]]:
         table = self._keep(df)
-        found = table.agg(*(F.max(d) if d.startswith("max_") else F.sum(d) for d in dots)).first() if dots else ()
-        return {name: Vector(table, name, kind) for name, kind in kinds.items()}, dict(zip(dots, found, strict=True))
+        told = np.array([list(r) for r in table.select(*dots).collect()]).T if dots else ()  # a row a chunk
+        return {name: Vector(table, name, kind) for name, kind in kinds.items()}, {d: float(v.max() if d.startswith("max_") else v.sum()) for d, v in zip(dots, told, strict=True)}
 
     def combine(self, vectors: dict[str, Vector], kinds: dict[str, str], fn: Callable[[dict[str, np.ndarray]], dict[str, Any]], dots: tuple[str, ...] = ()) -> tuple[dict[str, Vector], dict[str, float]]:
         """New vectors chunk by chunk from others, and sums (or, by the name ``max_...``, maxima) over chunks."""
@@ -373,8 +378,7 @@ class Blocks:
 
             return step
 
-        order = self.spark.createDataFrame([(int(k), j) for j, k in enumerate(grid.key)], "key int, seq int")
-        sent = self._joined(self.plan, {"x": x}).join(F.broadcast(order), "key")
+        sent = self._joined(self.plan, {"x": x})
         sent = _mapped(sent, send, "key int, seq int, v binary").repartition(grid.buckets, "key")
         got = sent.groupBy("key").agg(F.collect_list(F.struct("seq", "v")).alias("got"))
         df = self._joined(self.matrix.select("key", "seq", "cnt", "cols", "vals", *(["far"] if sweep else [])), {"_x": x} | vectors).join(got.hint("shuffle_hash"), "key", "left")

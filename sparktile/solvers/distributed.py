@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,13 @@ def _dot(u: np.ndarray, v: np.ndarray) -> float:
     return float((u.astype(np.float64) * v).sum())
 
 
+@dataclass(frozen=True)
+class Image:
+    """A right-hand side A x by its x: in blocks a product moves packed values only, as a join of frames does not."""
+
+    x: Tensor | DataFrame
+
+
 class System:
     """A square matrix in blocks, its rows dealt to tiles; rows are numbered tile by tile."""
 
@@ -87,6 +95,12 @@ class System:
             df = df.join(self.places, df["i"] == self.places["row"]).select(F.col("place").alias("i"), "v")
         return self.blocks.vector(df, self.kind)
 
+    def image(self, df: DataFrame) -> Vector:
+        x = self.vector(df)
+        out, _ = self.blocks.product(x, self.kind, {}, {"v": self.kind}, lambda ax, _: {"v": ax})
+        self.blocks.drop(x)
+        return out["v"]
+
     def frame(self, x: Vector) -> DataFrame:
         df = self.blocks.frame(x)
         if self.places is not None:
@@ -308,7 +322,7 @@ def _solve_local(matrix: Matrix, x: DataFrame, b: DataFrame, config: SolverConfi
     return done.where("part = 0").select("i", "v"), stats
 
 
-def solve(matrix: Matrix, b: Tensor | DataFrame, config: SolverConfig, x0: Tensor | DataFrame | float = 0.0, tiles: int | None = None, where: str = "auto", partition: DataFrame | None = None) -> tuple[Tensor, SolverStats]:
+def solve(matrix: Matrix, b: Tensor | DataFrame | Image, config: SolverConfig, x0: Tensor | DataFrame | float = 0.0, tiles: int | None = None, where: str = "auto", partition: DataFrame | None = None) -> tuple[Tensor, SolverStats]:
     """x with A x = b, and what was told on the way, which is printed.
 
     ``where``: local (one task), distributed, or auto: local for one tile and a small
@@ -324,12 +338,13 @@ def solve(matrix: Matrix, b: Tensor | DataFrame, config: SolverConfig, x0: Tenso
         if where == "auto":
             where = "local" if tiles == 1 and partition is None and matrix.n_rows <= LOCAL_ROWS and entries <= LOCAL_ENTRIES else "distributed"
     if where == "local":
-        out, stats = _solve_local(matrix, x, frame(b), config)
+        out, stats = _solve_local(matrix, x, frame(matrix.products(frame(b.x)) if isinstance(b, Image) else b), config)
     else:
         system = System(matrix, tiles, partition)
         try:
             solver = DistributedSolver(system, config)
-            found = solver.solve(None if isinstance(x0, (int, float)) and x0 == 0 else system.vector(x), system.vector(frame(b)))
+            right = system.image(frame(b.x)) if isinstance(b, Image) else system.vector(frame(b))
+            found = solver.solve(None if isinstance(x0, (int, float)) and x0 == 0 else system.vector(x), right)
             out = written(system.frame(found if found is not None else system.blocks.zeros(system.kind)))
             stats = solver.stats
         finally:

@@ -14,7 +14,7 @@ from sparktile.operators.sparse import Matrix
 from sparktile.operators.tensor import Tensor
 from sparktile.solvers import blocks
 from sparktile.solvers.config import from_json, strip_comments
-from sparktile.solvers.distributed import solve
+from sparktile.solvers.distributed import Image, solve
 from sparktile.solvers.local import Csr, Ilu, LocalSolver, Sweep
 from sparktile.sources import matrix_market
 from sparktile.types import FLOAT32, FLOAT64
@@ -421,3 +421,36 @@ def test_long_products_are_not_summed_before_the_shuffle(spark, monkeypatch):
     plan = y._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan[plan.index("Union") :].split("Join")[0] and plan.index("Exchange hashpartitioning(i") > plan.rindex("HashAggregate", 0, plan.index("Union"))
     assert np.allclose([r.v for r in y.orderBy("i").collect()], dense @ x)
+
+
+def test_order_system_computes_a_column_once(spark, sf_dir, monkeypatch):
+    """Expressions inside one another would repeat a column's remainder wherever the column is compared."""
+    from sparktile.plans import matrices
+
+    monkeypatch.setattr(Matrix, "materialize", lambda self: self)
+    a, _ = matrices._order_system(spark, sf_dir)
+    assert a.df._jdf.queryExecution().executedPlan().toString().count(" % ") == 3
+
+
+@pytest.mark.parametrize("place", ["local", "distributed"])
+def test_right_hand_side_as_an_image(spark, monkeypatch, place):
+    """A right-hand side by its x is A x in both places; distributed, frames are not joined for it."""
+    x = np.arange(60.0) - 7
+    a = np.tril(coupled(60, 6, -0.5))
+    monkeypatch.setattr(blocks, "CHUNK_ROWS", 7)
+    if place == "distributed":
+        monkeypatch.setattr(Matrix, "products", None)
+    y, _ = solve(from_dense(spark, a), Image(Tensor.from_numpy(spark, x)), from_json({"type": "ILU"}), tiles=1, where=place)
+    assert np.allclose(vector(y), x)  # a triangle's factors are exact
+
+
+def test_numbers_of_chunks_and_tiles_need_no_python_workers(spark, monkeypatch):
+    """What the driver knows goes to the JVM as it is, and tiles' starts are found there."""
+    plans, keep, a = [], blocks.Blocks._keep, Matrix.poisson3d(spark, 4, 3, 2)
+    monkeypatch.setattr(blocks.Blocks, "_keep", lambda self, df, order="key": plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df, order))
+    x = spark.range(24).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
+    solve(a, Image(x), from_json({"type": "GaussSeidel", "numFixedIterations": 1}), tiles=2, where="distributed")
+    assert plans and not [p for p in plans if "ExistingRDD" in p]
+    wanted = [r.row for r in layout.partition_rows(a, 4).groupBy("tile").agg(F.min("row").alias("row")).orderBy("tile").collect()]
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", None)
+    assert layout.tile_starts(a, 4)[0].tolist() == wanted
