@@ -363,13 +363,9 @@ class Blocks:
 
         return self._outputs(_mapped(df, lambda: step, _schema(kinds, dots)), kinds, dots)
 
-    def product(self, x: Vector, kind: str, vectors: dict[str, Vector], kinds: dict[str, str], fn: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, Any]], dots: tuple[str, ...] = (), sweep: bool = False) -> tuple[dict[str, Vector], dict[str, float]]:
-        """As ``combine``, where ``fn`` is given A x too: products in one type, their sum rounded to it once more.
-
-        With ``sweep`` it is also given the part of A x that Gauss-Seidel takes from the
-        sweep before: all but the diagonal and the tile's own lower entries.
-        """
-        grid, number, values, mine = self.grid, dtype_of(kind), dtype_of(self.kind), dtype_of(x.kind)
+    def _received(self, x: Vector, vectors: dict[str, Vector], more: tuple[str, ...] = ()) -> DataFrame:
+        """The matrix with a chunk's own values of x as ``_x``, those that it needs of others as ``got``, and the vectors."""
+        grid, mine = self.grid, dtype_of(x.kind)
 
         def send() -> Step:
             def step(row: Row) -> list[Row]:
@@ -381,33 +377,24 @@ class Blocks:
         sent = self._joined(self.plan, {"x": x})
         sent = _mapped(sent, send, "key int, seq int, v binary").repartition(grid.buckets, "key")
         got = sent.groupBy("key").agg(F.collect_list(F.struct("seq", "v")).alias("got"))
-        df = self._joined(self.matrix.select("key", "seq", "cnt", "cols", "vals", *(["far"] if sweep else [])), {"_x": x} | vectors).join(got.hint("shuffle_hash"), "key", "left")
+        return self._joined(self.matrix.select("key", "seq", "cnt", "cols", "vals", *more), {"_x": x} | vectors).join(got.hint("shuffle_hash"), "key", "left")
 
-        types = {name: dtype_of(v.kind) for name, v in vectors.items()}
+    def product(self, x: Vector, kind: str, vectors: dict[str, Vector], kinds: dict[str, str], fn: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, Any]], dots: tuple[str, ...] = ()) -> tuple[dict[str, Vector], dict[str, float]]:
+        """As ``combine``, where ``fn`` is given A x too: products in one type, their sum rounded to it once more."""
+        values, number, mine, types = dtype_of(self.kind), dtype_of(kind), dtype_of(x.kind), {name: dtype_of(v.kind) for name, v in vectors.items()}
 
-        def receive() -> Step:
-            def step(row: Row) -> list[Row]:
-                own = np.frombuffer(row["_x"], mine)
-                far = [np.frombuffer(m["v"], mine) for m in sorted(row["got"] or [], key=lambda m: m["seq"])]
-                m, cols = len(own), np.frombuffer(row["cols"], np.int32)
-                rows = np.repeat(np.arange(m), np.frombuffer(row["cnt"], np.int32))
-                terms = np.frombuffer(row["vals"], values).astype(number) * np.concatenate([own, *far]).astype(number)[cols]
-                given = {name: np.frombuffer(row[name], t) for name, t in types.items()}
-                ax = np.bincount(rows, weights=terms, minlength=m).astype(number)
-                if sweep:
-                    at, low, near = _tile_columns(grid, row["seq"], cols, row["far"], m)
-                    lo = int(grid.lo[row["seq"]])
-                    early = (at != rows + lo) & ~((at >= low) & (at < rows + lo) & near)
-                    given["before"] = np.bincount(rows[early], weights=terms[early], minlength=m)
-                return [_packed(row["key"], kinds, fn(ax, given))]
+        def step(row: Row) -> list[Row]:
+            return [_packed(row["key"], kinds, fn(_multiplied(row, mine, values, number)[0], {name: np.frombuffer(row[name], t) for name, t in types.items()}))]
 
-            return step
+        return self._outputs(_mapped(self._received(x, vectors), lambda: step, _schema(kinds, dots)), kinds, dots)
 
-        return self._outputs(_mapped(df, receive, _schema(kinds, dots)), kinds, dots)
+    def sweep(self, x: Vector, b: Vector, kind: str, fn: Callable[[np.ndarray, np.ndarray], dict[str, Any]], dots: tuple[str, ...] = ()) -> tuple[Vector, dict[str, float]]:
+        """The vector after x, (L + D)^-1 (b - the rest of A x), where L is the lower triangle inside each tile.
 
-    def sweep(self, right: Vector, x: Vector) -> Vector:
-        """x = (L + D)^-1 right, where L is the lower triangle inside each tile."""
-        grid, values, types, number = self.grid, dtype_of(self.kind), (dtype_of(right.kind), dtype_of(x.kind)), dtype_of(x.kind)
+        The same pass tells what ``fn`` makes of A x, with the products in one type, and b: it is of x, not of what follows.
+        """
+        grid, values, types, number, wide = self.grid, dtype_of(self.kind), dtype_of(b.kind), dtype_of(x.kind), dtype_of(kind)
+        kinds = {"v": x.kind}
 
         def make() -> Step:
             held: dict[str, Any] = {"tile": -1}
@@ -417,23 +404,24 @@ class Blocks:
                 if grid.tile[j] != held["tile"]:
                     low, end = grid.tile_rows(int(grid.tile[j]))
                     held.update(tile=grid.tile[j], x=np.zeros(end - low, number))
-                r, old, done = np.frombuffer(row["r"], types[0]), np.frombuffer(row["x"], types[1]), held["x"]
-                m, lo, cols, vals = len(r), int(grid.lo[j]), np.frombuffer(row["cols"], np.int32), np.frombuffer(row["vals"], values)
-                rows = np.repeat(np.arange(m), np.frombuffer(row["cnt"], np.int32))
-                at, low, _ = _tile_columns(grid, j, cols, row["far"], m)
-                diag = np.bincount(rows[at == rows + lo], weights=vals[at == rows + lo], minlength=m).astype(values)
+                ax, old, rows, terms = _multiplied(row, number, values, wide)
+                right, done = np.frombuffer(row["b"], types), held["x"]
+                m, lo, cols, vals = len(right), int(grid.lo[j]), np.frombuffer(row["cols"], np.int32), np.frombuffer(row["vals"], values)
+                at, low, near = _tile_columns(grid, j, cols, row["far"], m)
+                lower, on = (at >= low) & (at < rows + lo) & near, at == rows + lo
+                diag = np.bincount(rows[on], weights=vals[on], minlength=m).astype(values)
                 if (diag == 0).any():
                     raise ZeroDivisionError(f"row {lo + int(np.flatnonzero(diag == 0)[0])} has no diagonal entry")
-                past, inner = np.flatnonzero((at >= low) & (at < lo)), np.flatnonzero((at >= lo) & (at < rows + lo))
-                rest = r - np.bincount(rows[past], weights=vals[past] * done[at[past] - low], minlength=m)
+                early, past, inner = ~(lower | on), np.flatnonzero(lower & (at < lo)), np.flatnonzero(lower & (at >= lo))
+                rest = right - np.bincount(rows[early], weights=terms[early], minlength=m) - np.bincount(rows[past], weights=vals[past] * done[at[past] - low], minlength=m)
                 new = triangle(rows[inner], cols[inner], vals[inner], lambda i, s: ((rest[i] - s) / diag[i]).astype(number), old)
                 done[lo - low : lo - low + m] = new
-                return [{"key": row["key"], "v": new.tobytes()}]
+                return [_packed(row["key"], kinds, {"v": new} | fn(ax, right))]
 
             return _InOrder(step, lambda key: iter(np.flatnonzero(grid.bucket == grid.bucket[grid.number(key)]).tolist()))
 
-        df = self._joined(self.matrix, {"r": right, "x": x})
-        return Vector(self._keep(_mapped(df, make, "key int, v binary")), "v", x.kind)
+        out, told = self._outputs(_mapped(self._received(x, {"b": b}, ("far",)), make, _schema(kinds, dots)), kinds, dots)
+        return out["v"], told
 
     # --- incomplete factors ------------------------------------------------------------
     def factors(self, diagonal_based: bool) -> DataFrame:
@@ -505,6 +493,15 @@ class Blocks:
         return Vector(self._keep(made), "v", self.kind)
 
 
+def _multiplied(row: Row, given: np.dtype, values: np.dtype, number: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A x of a chunk in one type, its own values of x, and the entries' rows and terms."""
+    own = np.frombuffer(row["_x"], given)
+    far = [np.frombuffer(m["v"], given) for m in sorted(row["got"] or [], key=lambda m: m["seq"])]
+    rows = np.repeat(np.arange(len(own)), np.frombuffer(row["cnt"], np.int32))
+    terms = np.frombuffer(row["vals"], values).astype(number) * np.concatenate([own, *far]).astype(number)[np.frombuffer(row["cols"], np.int32)]
+    return np.bincount(rows, weights=terms, minlength=len(own)).astype(number), own, rows, terms
+
+
 def _tile_columns(grid: Grid, j: int, cols: np.ndarray, far: bytes, m: int) -> tuple[np.ndarray, int, np.ndarray]:
     """Entries' columns by their number in the matrix, the tile's first row, and which columns are the tile's."""
     low, end = grid.tile_rows(int(grid.tile[j]))

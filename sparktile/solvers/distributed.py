@@ -203,37 +203,34 @@ class DistributedSolver:
     def _gauss_seidel(self, x: Vector | None, b: Vector) -> Vector:
         """Sweeps of every tile over its rows, with the other tiles' values of the sweep before.
 
-        A sweep's product with the values before it tells their residual too; the sweep is
-        left out once that is small enough.
+        A sweep's product with the values before it tells their residual too, so both are
+        one pass; the last one's sweep is left out of the result.
         """
         c, stats, blocks = self.config, self.stats, self.blocks
         kind = _wider(self.kind, self.system.kind)
         norm, wide, r, s = stats.norm, dtype_of(kind), self._named("r"), self._named("s")
         x = blocks.zeros(self.kind) if x is None else x if x.kind == self.kind else self._cast(x, self.kind)
-
-        def look(x: Vector) -> tuple[Vector, float, float]:
-            out, d = blocks.product(x, kind, {"b": b}, {"v": "double"}, lambda ax, a: {"v": a["b"] - a["before"], r: _share(a["b"].astype(wide) - ax, norm), s: _share(a["b"], norm)}, (r, s), sweep=True)
-            return out["v"], self._norm(d[r]), self._norm(d[s])
-
-        def turn(x: Vector, right: Vector) -> Vector:
-            new = blocks.sweep(right, x)
-            blocks.drop(x, right)
-            return new
-
         if c.numFixedIterations:
             for _ in range(c.numFixedIterations):
-                x = turn(x, look(x)[0])
+                old, (x, _) = x, blocks.sweep(x, b, kind, lambda ax, b: {})
+                blocks.drop(old)
             stats.iterations = c.numFixedIterations
             return x
-        right, residual, size = look(x)
+
+        def look(x: Vector) -> tuple[Vector, float, float]:
+            after, d = blocks.sweep(x, b, kind, lambda ax, b: {r: _share(b.astype(wide) - ax, norm), s: _share(b, norm)}, (r, s))
+            return after, self._norm(d[r]), self._norm(d[s])
+
+        after, residual, size = look(x)
         stats.start(residual, size)
         while stats.goes_on(c):
-            for k in range(c.numSweeps):
-                x = turn(x, right if k == 0 else look(x)[0])
+            for _ in range(c.numSweeps):
+                blocks.drop(x)
+                x = after
+                after, residual, _ = look(x)
             stats.iterations += c.numSweeps
-            right, residual, _ = look(x)
             stats.check(residual, c)
-        blocks.drop(right)
+        blocks.drop(after)
         return x
 
     # --- PBiCGStab -------------------------------------------------------------

@@ -454,3 +454,21 @@ def test_numbers_of_chunks_and_tiles_need_no_python_workers(spark, monkeypatch):
     wanted = [r.row for r in layout.partition_rows(a, 4).groupBy("tile").agg(F.min("row").alias("row")).orderBy("tile").collect()]
     monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", None)
     assert layout.tile_starts(a, 4)[0].tolist() == wanted
+
+
+@pytest.mark.parametrize("config", [{"numFixedIterations": 3}, {"numSweeps": 2, "maxIterations": 4, "relResidual": 1e-12}])
+def test_a_sweep_is_one_pass(spark, monkeypatch, config):
+    """One table a sweep, and of the last sweep's successor nothing is in the result."""
+    monkeypatch.setattr(blocks, "CHUNK_ROWS", 7)
+    kept, keep, n = [], blocks.Blocks._keep, 40
+    monkeypatch.setattr(blocks.Blocks, "_keep", lambda self, df, order="key": kept.append(df.columns) or keep(self, df, order))
+    a, b = coupled(n, 9, -0.5), np.random.default_rng(9).normal(size=n)
+    got, stats = solve(from_dense(spark, a), Tensor.from_numpy(spark, b), from_json({"type": "GaussSeidel"} | config), tiles=1, where="distributed")
+    x, residuals = np.zeros(n), [np.linalg.norm(b)]
+    for _ in range(stats.iterations):
+        x = np.linalg.solve(np.tril(a), b - np.triu(a, 1) @ x)
+        residuals.append(np.linalg.norm(b - a @ x))
+    assert np.allclose(vector(got), x, rtol=1e-12, atol=0)
+    fixed = "numFixedIterations" in config
+    assert stats.iterations == (3 if fixed else 4) and (fixed or np.allclose(stats.history, residuals[::2], rtol=1e-9))
+    assert len(kept) == 4 + stats.iterations + (not fixed)  # matrix, plan, b and zeros come before
